@@ -17,6 +17,7 @@ def local_session(cores: int | None = None, memory: str = "8g") -> SparkSession:
         .appName("tessera")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
