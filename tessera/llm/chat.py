@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,24 +44,30 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     messages: tree, no_tree, node, parent (null or unknown: a root), score (null: 0). A branch's score is the mean
     over its nodes; ties go to the longer branch, then to the smaller leaf. Self-joins double the distance
     that a row knows of its ancestors, so a chain of n nodes takes log2(n) joins keyed by node, never one
-    task a tree. Nodes of a cycle have no root and are on no path.
+    task a tree; a node that knows its root takes part no longer. Nodes of a cycle have no root and are on no path.
     """
     key = ["tree", "no_tree"]
     own = messages.select(*key, "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = messages.select(*key, F.col("node").alias("parent"), F.lit(True).alias("known"))
     up = own.join(known, [*key, "parent"], "left").select(*key, "node", F.when(F.col("known"), F.col("parent")).alias("above"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum"))
-    jumps = [materialize(up, "jump")]
-    while len(jumps) < 48 and not jumps[-1].where("above IS NOT NULL").isEmpty():
-        low = jumps[-1]
-        high = low.select(*key, F.col("node").alias("above"), F.col("above").alias("next"), F.col("steps").alias("more"), F.col("sum").alias("plus"))
-        joined = low.join(high, [*key, "above"], "left")
-        jumps.append(materialize(joined.select(*key, "node", F.col("next").alias("above"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("sum") + F.coalesce("plus", F.lit(0.0))).alias("sum")), "jump"))
-    parents = jumps[0].where("above IS NOT NULL").select(*key, F.col("above").alias("node"))
-    leaves = jumps[-1].where("above IS NULL").join(parents, [*key, "node"], "left_anti")
+    step, done, jumps = materialize(up, "jump"), [], []
+    while True:
+        done.append(step.where("above IS NULL"))
+        active = step.where("above IS NOT NULL")
+        if len(jumps) == 48 or active.isEmpty():
+            break
+        jumps.append(active)
+        known = reduce(DataFrame.unionByName, [active, *done])
+        high = known.select(*key, F.col("node").alias("above"), F.col("above").alias("next"), F.col("steps").alias("more"), F.col("sum").alias("plus"))
+        joined = active.join(high, [*key, "above"])
+        step = materialize(joined.select(*key, "node", F.col("next").alias("above"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("sum") + F.col("plus")).alias("sum")), "jump")
+    leaves = reduce(DataFrame.unionByName, done)
+    if jumps:
+        leaves = leaves.join(jumps[0].select(*key, F.col("above").alias("node")), [*key, "node"], "left_anti")
     best = Window.partitionBy(*key).orderBy((F.col("sum") / F.col("steps")).desc(), F.col("steps").desc(), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
     found = materialize(chosen.select(*key, "branch", "node", F.col("steps").alias("length"), F.lit(0).cast("long").alias("from_leaf")), "path")
-    for k, jump in enumerate(jumps[:-1]):
+    for k, jump in enumerate(jumps):
         further = found.join(jump.select(*key, "node", "above"), [*key, "node"]).where("above IS NOT NULL")
         further = further.select(*key, "branch", F.col("above").alias("node"), "length", (F.col("from_leaf") + (1 << k)).alias("from_leaf"))
         grown = materialize(found.unionByName(further), "path")
