@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
@@ -188,3 +188,9 @@ SELECT doc_id, size, cast(source_size AS bigint) AS source_size, target,
   cast(size * ((CASE WHEN first + size / 2e0 < target THEN 1 ELSE 0 END) + (CASE WHEN source_size + first + size / 2e0 < target THEN 1 ELSE 0 END)) AS bigint) AS taken
 FROM placed
 """
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the plan of the mix of what is left, a row a document: doc_id, source, size, source_size, target, taken, copies and the shards they go to."""
+    plan = mix(docs)
+    return plan.select("doc_id", "source", "size", "source_size", "target", "taken", F.size("placements").alias("copies"), F.array_join(F.transform("placements", lambda p: p["shard"].cast("string")), ",").alias("shards"))
