@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, licenses, mixing, quality, simhash, suffix, toxicity
+from tessera.llm import chat, decontaminate, licenses, lm, mixing, quality, simhash, suffix, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_score_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,6 +54,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_score_lm": op1_score_lm,
         "op2_mix_sources": op2_mix_sources,
         "op3_format_chat": op3_format_chat,
         "op4_quality": op4_quality,
