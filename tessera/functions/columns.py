@@ -111,7 +111,8 @@ def combine_embeddings(vectors: list, weights: list[float]) -> Column:
     """Weighted mean of the vectors that are there; null if none is."""
     parts = [(F.when(has_vector(v), _doubles(v)), w) for v, w in zip(vectors, weights, strict=True)]
     total = sum((F.when(v.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for v, w in parts), F.lit(0.0))
-    scaled = F.filter(F.array(*[F.transform(v, lambda x, w=w: x * w) for v, w in parts]), lambda v: v.isNotNull())
+    times = lambda v, w: F.transform(v, lambda x: x * w)
+    scaled = F.filter(F.array(*[times(v, w) for v, w in parts]), lambda v: v.isNotNull())
     summed = F.aggregate(F.slice(scaled, 2, F.greatest(F.size(scaled) - 1, F.lit(0))), F.get(scaled, F.lit(0)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
     return F.when(total > 0, F.transform(summed, lambda x: x / total))
 
