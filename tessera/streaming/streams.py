@@ -11,8 +11,8 @@ from tessera.sources.tables import validate_records
 
 
 def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A stream over the Parquet files of a path, a few at a time."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
+    """A stream over the Parquet files of a path, a few at a time. The path may name one file; as a pattern it may be either."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def stream_health_trend(stream: DataFrame, late: str = "2 hours") -> DataFrame:
