@@ -305,13 +305,14 @@ def _spans(docs: DataFrame) -> DataFrame:
     dealt = docs.repartition("k")
     own = dealt.join(flags.where("is_first = 1").select("k").hint("shuffle_hash"), "k", "left_semi").select("k", "text")
     rows = own.mapInArrow(_anchor_rows, "h long, k long, packed long")
-    repeated = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # a table of its own, so that the join below has plain exchanges on both sides and a hot gram's partition can be split
+    repeated = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "grams")
     marks = rows.join(repeated, "h").groupBy("k", (F.col("n") > HOT_GROUP).alias("hot")).agg(F.collect_list(F.struct("h", "packed")).alias("marks"))
     marked = lambda hot: own.join(marks.where(F.col("hot") == hot).select("k", "marks").hint("shuffle_hash"), "k")
     contexts = marked(False).mapInArrow(_contexts(single=False), "h long, k long, packed long, context binary")
     found = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_repeats, "k long, a long, b long")
     hot = marked(True).mapInArrow(_contexts(single=True), "string binary, k long, start long")
-    least = hot.groupBy("string").agg(F.min(F.struct("k", "start")).alias("first"))
+    least = materialize(hot.groupBy("string").agg(F.min(F.struct("k", "start")).alias("first")), "strings")
     again = hot.join(least, "string").where(F.struct("k", "start") != F.col("first")).select("k", F.col("start").alias("a"), (F.col("start") + SPAN).alias("b"))
     spans = materialize(found.unionByName(again), "spans").groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return dealt.join(flags.select("k", "first_k", "is_first").hint("shuffle_hash"), "k").join(spans.hint("shuffle_hash"), "k", "left")
