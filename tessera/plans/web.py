@@ -18,8 +18,8 @@ query("C1_html_extract", f"SELECT page_id, {TITLE} AS title, regexp_extract(html
     lambda t: W.html_extract(t("pages")).join(t("pages").where("trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) <> '' AND regexp_extract(html, '<title>([^<]*)</title>', 1) NOT LIKE '%&%' AND html RLIKE '<html[^>]* lang=\"[^\"]+\"'").select("page_id"), "page_id", "left_semi").select("page_id", "title", "language", F.length("html").cast("long").alias("n_html"))
 )
 query("C1_html_text")(lambda t: W.html_extract(t("pages")).select("page_id", "content_hash", "content_length", "word_count", F.size("keywords").alias("n_keywords"), F.size("images").alias("n_images"), "published"))
-query("C2_extract_links", "SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"(https?://[^\"]*)\"', 1))) AS n FROM pages")(
-    lambda t: t("pages").select("page_id").join(W.extract_links(t("pages")).where("url RLIKE '^https?://'").groupBy("page_id").agg(F.count("*").alias("n")), "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+query("C2_extract_links", "SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]+)\"', 1))) AS n FROM pages")(
+    lambda t: t("pages").select("page_id").join(W.extract_links(t("pages")).groupBy("page_id").agg(F.count("*").alias("n")), "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 )
 
 
