@@ -118,7 +118,8 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     weight[cls[own], place[own]] = count[own] + SMOOTH
     weight[:, PLACES - 1] = rest
     with np.errstate(divide="ignore"):
-        return Vocabulary(words, count, cls, place, endings, int(total), int(distinct), rest, np.log(weight.sum(axis=1)).astype(np.float32), np.maximum(np.log(weight), -1e4).astype(np.float32))
+        whole = weight.sum(axis=1)
+        return Vocabulary(words, count, cls, place, endings, int(total), int(distinct), rest, np.log(whole / whole.sum()).astype(np.float32), np.maximum(np.log(weight / whole[:, None]), -1e4).astype(np.float32))
 
 
 class Encoder:
@@ -133,7 +134,7 @@ class Encoder:
     def encode(self, found: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Head index (-1: another word), class and place of each token, and its hashed features: the word before, the two before, and the one before that (a skip)."""
         ids = np.fromiter(map(self.index.get, found, repeat(-1)), np.int64, len(found))
-        cls, place = self.cls[ids], self.place[ids]
+        cls, place = self.cls.take(ids, mode="wrap"), self.place.take(ids, mode="wrap")  # -1: the last
         other = np.flatnonzero(ids < 0)
         cls[other] = np.fromiter((self.v.endings.get(found[i][-2:], CLASSES - 1) for i in other.tolist()), np.int64, len(other))
         known = ids.copy()
@@ -172,16 +173,30 @@ def _buckets(keys: list[np.ndarray], cls: np.ndarray | None) -> list[np.ndarray]
 
 
 def _softmax(table: np.ndarray, buckets: list[np.ndarray], offset: np.ndarray) -> np.ndarray:
-    z = table[buckets[0]]
+    z = table.take(buckets[0], axis=0)
     for b in buckets[1:]:
-        z += table[b]
+        z += table.take(b, axis=0)
     z += offset
-    z -= z.max(axis=1, keepdims=True)
+    np.minimum(z, 60, out=z)  # offsets are log probabilities, so no sum overflows
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z *= (1 / np.einsum("ij->i", z))[:, None]
     return z
 
 
+def _summed(rows: np.ndarray, order: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of rows over runs of the order. Most runs are of one row, which is its own sum; the others are differences of running sums."""
+    out = rows.take(order[head], axis=0)
+    many = np.flatnonzero(size > 1)
+    if len(many):
+        n = size[many]
+        ends = np.cumsum(n)
+        inside = np.repeat(head[many] - (ends - n), n) + np.arange(ends[-1])
+        running = np.cumsum(rows.take(order[inside], axis=0), axis=0, dtype=np.float64).take(ends - 1, axis=0)
+        running[1:] -= running[:-1].copy()
+        out[many] = running
+    return out
+
+
 class Scorer:
     """log10 probabilities of tokens under the model."""
 
@@ -196,7 +211,7 @@ class Scorer:
             c, p, k = cls[s], place[s], [x[s] for x in keys]
             n = np.arange(len(c))
             pc = _softmax(self.w.classes, _buckets(k, None), self.v.class_offset)[n, c]
-            pp = _softmax(self.w.places, _buckets(k, c), self.v.place_offset[c])[n, p]
+            pp = _softmax(self.w.places, _buckets(k, c), self.v.place_offset.take(c, axis=0))[n, p]
             out[s] = np.log10(np.maximum(pc, 1e-30).astype(np.float64)) + np.log10(np.maximum(pp, 1e-30).astype(np.float64))
         return out
 
@@ -212,19 +227,22 @@ class Trainer:
 
     def step(self, cls: np.ndarray, place: np.ndarray, keys: list[np.ndarray]) -> None:
         n = np.arange(len(cls))
-        for t, (target, offset, buckets) in enumerate(((cls, self.v.class_offset, _buckets(keys, None)), (place, self.v.place_offset[cls], _buckets(keys, cls)))):
+        for t, (target, offset, buckets) in enumerate(((cls, self.v.class_offset, _buckets(keys, None)), (place, self.v.place_offset.take(cls, axis=0), _buckets(keys, cls)))):
             table, seen, touched = self.tables[t], self.seen[t], self.touched[t]
             slope = _softmax(table, buckets, offset)
             slope[n, target] -= 1
             for b in buckets:
-                order = np.argsort(b)
-                sorted_ = b[order]
+                order = np.argsort(b.astype(np.uint16), kind="stable")
+                sorted_ = b.take(order)
                 head = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-                gradient = np.add.reduceat(slope[order], head, axis=0)
-                own = sorted_[head]
-                seen[own] += np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
-                touched[own] += np.diff(np.append(head, len(b)))
-                table[own] -= (RATE / np.sqrt(seen[own] + 1.0))[:, None] * gradient
+                size = np.diff(np.append(head, len(b)))
+                gradient = _summed(slope, order, head, size)
+                own = sorted_.take(head)
+                squares = seen.take(own) + np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
+                seen[own] = squares
+                touched[own] += size
+                gradient *= (RATE / np.sqrt(squares + 1.0))[:, None]
+                table[own] = table.take(own, axis=0) - gradient
 
     def read(self, batch: pa.RecordBatch) -> None:
         _, cls, place, keys = self.encoder.encode(*tokens(batch))
@@ -260,15 +278,13 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Weights:
     changed; blocks of buckets are averaged by touch in parallel. At most WORKERS tasks train, so a block is of bounded
     size, and the averaged model, of fixed size, is what the driver hands to the next round.
     """
-    spark, w = docs.sparkSession, Weights.zero()
+    w = Weights.zero()
     schema = "t int, at int, weights binary, touched binary"
     workers = int(min(WORKERS, max(6, v.total // rounds // WORKER_TOKENS)))
-    known = spark.sparkContext.broadcast(v)
     for r in range(rounds):
-        start = spark.sparkContext.broadcast(w)
 
-        def run(batches: Iterable[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(known.value, start.value)
+        def run(batches: Iterable[pa.RecordBatch], start=w) -> Iterator[pa.RecordBatch]:
+            trainer = Trainer(v, start)
             for batch in text_chunks(batches):
                 trainer.read(batch)
             yield from trainer.blocks()
@@ -281,7 +297,6 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Weights:
             seen = np.frombuffer(touched.as_buffer(), np.float32) > 0
             table[at.as_py() : at.as_py() + BLOCK][seen] = np.frombuffer(weights.as_buffer(), np.float32).reshape(BLOCK, table.shape[1])[seen]
         w = Weights(*tables)
-        start.destroy()
     return w
 
 
@@ -295,16 +310,13 @@ def score_texts(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> Data
     known and unknown have probabilities that sum to 1. Counts of words outside the head are joined by word, not looked up.
     Repeated rows are scored each for itself. Without training rows every weight is 0.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 10) == 0, F.lit(True)))
     learned = slim.where(~F.col("held_out"))
     counts = materialize(count_tokens(learned), "counts")
     v = vocabulary(counts, head)
     w = train(learned, v, rounds)
-    model = spark.sparkContext.broadcast((v, w))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w = model.value
         scorer = Scorer(v, w)
         log_count, log_rest = np.append(np.log10(v.count + SMOOTH), 0.0), np.log10(v.rest)
         for batch in text_chunks(batches):
