@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, text_buffers, text_chunks, whole_groups
@@ -19,6 +19,8 @@ SPAN, GRAM = 100, 24
 SHALLOW_WORDS = 5
 #: Anchors of one gram beyond this many are matched by grouping their strings, which combines before it shuffles.
 HOT_GROUP = 50_000
+#: So are grams with more than one of HOT_SHARE anchors; their rows go to SALTS tasks. At most 2 * HOT_SHARE grams are so frequent.
+HOT_SHARE, SALTS = 2_000, 64
 #: Starts that one pass works on; a longer text is cut, each part reading SPAN - 1 bytes into the next.
 PIECE = 2_000_000
 _POSITION_BITS = np.uint64(23)
@@ -242,14 +244,55 @@ def repeated_starts(group: np.ndarray, doc: np.ndarray, start: np.ndarray, left:
     return out
 
 
-def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchored(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """anchors() of all texts, with whole texts' starts; hashes have 48 bits, which is plenty: what they join is compared byte by byte."""
     for batch in text_chunks(batches):
         raw, starts = text_buffers(batch.column("text"))
-        pieces = [(raw, starts, 0)] if len(raw) <= PIECE * 2 else [(raw[s : s + PIECE + SPAN - 1], np.array([0, min(PIECE + SPAN - 1, len(raw) - s)]), s) for s in range(0, len(raw), PIECE)] if batch.num_rows == 1 else None
+        pieces = [(raw, starts, 0)]
+        if batch.num_rows == 1 and len(raw) > PIECE:
+            pieces = [(raw[s : s + PIECE + SPAN - 1], np.array([0, min(PIECE + SPAN - 1, len(raw) - s)]), s) for s in range(0, len(raw), PIECE)]
         for part, cuts, shift in pieces:
             hashed, row, start, left, count = anchors(part, cuts)
-            packed = (start + shift) << 14 | left << 7 | (count - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), batch.column("k").take(pa.array(row)), pa.array(packed)], ["h", "k", "packed"])
+            yield batch, (hashed >> np.uint64(16)).view(np.int64), row, start + shift, left, count
+
+
+def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams with more than one of 2 * HOT_SHARE of a task's anchors, with their number there; and how many anchors there are (h null)."""
+    for_all = [h for _, h, *_ in _anchored(batches)]
+    h, n = np.unique(np.concatenate(for_all), return_counts=True) if for_all else (np.zeros(0, np.int64),) * 2
+    often = n * 2 * HOT_SHARE > n.sum()
+    yield pa.RecordBatch.from_arrays([pa.array([*h[often].tolist(), None], pa.int64()), pa.array([*n[often].tolist(), int(n.sum())], pa.int64())], ["h", "n"])
+
+
+def frequent_grams(docs: DataFrame) -> np.ndarray:
+    """Every gram with more than one of HOT_SHARE of all anchors, and at most 2 * HOT_SHARE grams.
+
+    What tasks leave out of a gram's count is less than one of 2 * HOT_SHARE of all anchors, so such a gram's count from the tasks
+    that tell it is more than that too; and no more than 2 * HOT_SHARE grams can have so many.
+    """
+    told = materialize(docs.select("text").mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
+    total = told.where("h IS NULL").agg(F.sum("n")).first()[0] or 0
+    found = told.where(F.col("h").isNotNull() & (F.col("n") * 2 * HOT_SHARE >= total) & (F.col("n") > 1)).limit(2 * HOT_SHARE).collect()
+    return np.sort(np.array([r.h for r in found], np.int64))
+
+
+def _anchor_rows(hot: np.ndarray):
+    """Rows of anchors: key (the gram, salted if it is hot), k, and packed: start, distance, number of strings and whether it is hot."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, h, row, start, left, count in _anchored(batches):
+            at = np.searchsorted(hot, h)
+            often = np.append(hot, -1)[at] == h
+            key = np.where(often, h ^ (start % SALTS + 1) << 48, h)
+            packed = start << 15 | left << 8 | (count - 1) << 1 | often
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("k").take(pa.array(row)), pa.array(packed)], ["h", "k", "packed"])
+
+    return run
+
+
+def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, distance to the anchor and number of strings."""
+    return packed >> 15, (packed >> 8) & 127, ((packed >> 1) & 127) + 1
 
 
 def _contexts(single: bool):
@@ -265,7 +308,7 @@ def _contexts(single: bool):
             h, packed = flat.field("h").to_numpy(), flat.field("packed").to_numpy()
             at = cuts - cuts[0]
             row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            start, left, count = packed >> 14, (packed >> 7) & 127, (packed & 127) + 1
+            start, left, count = unpack(packed)
             begin = starts[row] + start
             end = begin + count - 1 + SPAN
             kept = np.flatnonzero(end <= starts[row + 1])  # rows that share an id may be shorter
@@ -285,7 +328,7 @@ def _contexts(single: bool):
 def _repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in whole_groups(batches, "h"):
         packed, doc = table.column("packed").to_numpy(), table.column("k").to_numpy()
-        start, left, count = packed >> 14, (packed >> 7) & 127, (packed & 127) + 1
+        start, left, count = unpack(packed)
         found = repeated_starts(table.column("h").to_numpy(), doc, start, left, count, table.column("context").to_pylist())
         edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, a = np.nonzero(edge == 1)
@@ -304,15 +347,16 @@ def _spans(docs: DataFrame) -> DataFrame:
     flags = materialize(slim.join(firsts, "digest").groupBy("k").agg(F.min("first_k").alias("first_k"), F.max((F.col("first_k") == F.col("k")).cast("int")).alias("is_first")), "copies")
     dealt = docs.repartition("k")
     own = dealt.join(flags.where("is_first = 1").select("k").hint("shuffle_hash"), "k", "left_semi").select("k", "text")
-    rows = own.mapInArrow(_anchor_rows, "h long, k long, packed long")
-    # a table of its own, so that the join below has plain exchanges on both sides and a hot gram's partition can be split
-    repeated = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "grams")
-    marks = rows.join(repeated, "h").groupBy("k", (F.col("n") > HOT_GROUP).alias("hot")).agg(F.collect_list(F.struct("h", "packed")).alias("marks"))
+    rows = own.mapInArrow(_anchor_rows(frequent_grams(docs)), "h long, k long, packed long")
+    # one shuffle by gram: counts by a window, whose groups are salted or hold less than one of HOT_SHARE of the rows
+    counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("h"))).withColumn("frequent", F.col("packed").bitwiseAND(F.lit(1)) == 1)
+    repeated = counted.where("frequent OR n > 1").withColumn("hot", F.col("frequent") | (F.col("n") > HOT_GROUP))
+    marks = repeated.groupBy("k", "hot").agg(F.collect_list(F.struct("h", "packed")).alias("marks"))
     marked = lambda hot: own.join(marks.where(F.col("hot") == hot).select("k", "marks").hint("shuffle_hash"), "k")
     contexts = marked(False).mapInArrow(_contexts(single=False), "h long, k long, packed long, context binary")
     found = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_repeats, "k long, a long, b long")
     hot = marked(True).mapInArrow(_contexts(single=True), "string binary, k long, start long")
-    least = materialize(hot.groupBy("string").agg(F.min(F.struct("k", "start")).alias("first")), "strings")
+    least = hot.groupBy("string").agg(F.min(F.struct("k", "start")).alias("first"))
     again = hot.join(least, "string").where(F.struct("k", "start") != F.col("first")).select("k", F.col("start").alias("a"), (F.col("start") + SPAN).alias("b"))
     spans = materialize(found.unionByName(again), "spans").groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return dealt.join(flags.select("k", "first_k", "is_first").hint("shuffle_hash"), "k").join(spans.hint("shuffle_hash"), "k", "left")
