@@ -199,11 +199,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         w = windows(block)
         if not w.text:
             continue
-        keys = docs.sparkSession.sparkContext.broadcast(w)
         reach = WINDOW * 2
 
-        def run(batches: Iterable[pa.RecordBatch], keys=keys) -> Iterator[pa.RecordBatch]:
-            w = keys.value
+        def run(batches: Iterable[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
             for batch in text_chunks(batches):
                 found = []
                 texts = batch.column("text").to_pylist()

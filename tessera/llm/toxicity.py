@@ -95,13 +95,13 @@ def fit(positive: Rows, unlabelled: Rows, prior: float, steps: int = 400, rate:
     return theta[:n], float(theta[n])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4_096, most_unlabelled: int = 16_384, most_features: int = 4_096, least_z: float = 4.0) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4_096, most_unlabelled: int = 16_384, most_features: int = 4_096, least_z: float = 4.0, least_share: float = 0.005) -> Model | None:
     """A model from confirmed toxic texts and unlabelled ones; None without any toxic one.
 
     Labels come from rows whose crc32(doc_id) mod 4 is not 2. At most most_positive toxic documents and
     most_unlabelled others are read, in the order of a hash of their ids: bounded samples, whatever the input.
     The class prior is the share of toxic rows among all usable labels. The most_features buckets with the
-    largest |z| of their document shares between the samples carry weights.
+    largest |z| of their document shares between the samples carry weights, if they are in least_share of either. Equal texts count once.
     """
     usable = labels.where((remainder(F.col("doc_id"), 4) != 2) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = usable.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
@@ -110,14 +110,17 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4_096, most_u
     prior = min(0.95, max(0.001, toxic / n))
     positive = sample_texts(docs, usable.where("toxic = 1").select("doc_id", F.lit(True).alias("positive")), most_positive)
     others = docs.where(remainder(F.col("doc_id"), 4) != 2).select("doc_id", F.lit(False).alias("positive"))
-    sample = materialize(positive.unionByName(sample_texts(docs, others, most_unlabelled)), "toxic-sample")
+    # copies of a text would pass its rare words off as signs
+    sample = positive.unionByName(sample_texts(docs, others, most_unlabelled)).groupBy("positive", F.xxhash64("text").alias("digest")).agg(F.first("text").alias("text"))
+    sample = materialize(sample, "toxic-sample")
     p, u = _sample_counts(sample)
     np_, nu = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
     if not np_ or not nu:
         return None
     share = (p + u) / (np_ + nu)
     z = (p / np_ - u / nu) / np.sqrt(np.maximum(share * (1 - share) * (1 / np_ + 1 / nu), 1e-12))
-    strong = np.flatnonzero((np.abs(z) >= least_z) & (p + u >= 5))
+    common = (p >= max(5, least_share * np_)) | (u >= max(5, least_share * nu))
+    strong = np.flatnonzero((np.abs(z) >= least_z) & common)
     strong = strong[np.argsort(-np.abs(z[strong]), kind="stable")][:most_features]
     slot = np.full(BUCKETS, len(strong), np.int32)
     slot[strong] = np.arange(len(strong))
