@@ -19,7 +19,7 @@ SPAN, GRAM = 100, 24
 SHALLOW_WORDS = 5
 #: Anchors of one gram beyond this many are matched by grouping their strings, which combines before it shuffles.
 HOT_GROUP = 50_000
-#: So are grams with more than one of HOT_SHARE anchors; their rows go to SALTS tasks. At most 2 * HOT_SHARE grams are so frequent.
+#: Of those the grams with more than one of HOT_SHARE anchors are known beforehand, 2 * HOT_SHARE grams at most; their rows go to SALTS tasks.
 HOT_SHARE, SALTS = 2_000, 64
 #: Starts that one pass works on; a longer text is cut, each part reading SPAN - 1 bytes into the next.
 PIECE = 2_000_000
@@ -265,14 +265,14 @@ def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_grams(docs: DataFrame) -> np.ndarray:
-    """Every gram with more than one of HOT_SHARE of all anchors, and at most 2 * HOT_SHARE grams.
+    """Every gram with more than one of HOT_SHARE of all anchors and more than HOT_GROUP, and at most 2 * HOT_SHARE grams.
 
     What tasks leave out of a gram's count is less than one of 2 * HOT_SHARE of all anchors, so such a gram's count from the tasks
     that tell it is more than that too; and no more than 2 * HOT_SHARE grams can have so many.
     """
     told = materialize(docs.select("text").mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
     total = told.where("h IS NULL").agg(F.sum("n")).first()[0] or 0
-    found = told.where(F.col("h").isNotNull() & (F.col("n") * 2 * HOT_SHARE >= total) & (F.col("n") > 1)).limit(2 * HOT_SHARE).collect()
+    found = told.where(F.col("h").isNotNull() & (F.col("n") * 2 * HOT_SHARE >= total) & (F.col("n") > HOT_GROUP // 2)).limit(2 * HOT_SHARE).collect()
     return np.sort(np.array([r.h for r in found], np.int64))
 
 
@@ -348,7 +348,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     dealt = docs.repartition("k")
     own = dealt.join(flags.where("is_first = 1").select("k").hint("shuffle_hash"), "k", "left_semi").select("k", "text")
     rows = own.mapInArrow(_anchor_rows(frequent_grams(docs)), "h long, k long, packed long")
-    # one shuffle by gram: counts by a window, whose groups are salted or hold less than one of HOT_SHARE of the rows
+    # one shuffle by gram: counts by a window, whose groups are salted, or small, or hold less than one of HOT_SHARE of the rows
     counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("h"))).withColumn("frequent", F.col("packed").bitwiseAND(F.lit(1)) == 1)
     repeated = counted.where("frequent OR n > 1").withColumn("hot", F.col("frequent") | (F.col("n") > HOT_GROUP))
     marks = repeated.groupBy("k", "hot").agg(F.collect_list(F.struct("h", "packed")).alias("marks"))
@@ -358,7 +358,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     hot = marked(True).mapInArrow(_contexts(single=True), "string binary, k long, start long")
     least = hot.groupBy("string").agg(F.min(F.struct("k", "start")).alias("first"))
     again = hot.join(least, "string").where(F.struct("k", "start") != F.col("first")).select("k", F.col("start").alias("a"), (F.col("start") + SPAN).alias("b"))
-    spans = materialize(found.unionByName(again), "spans").groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = found.unionByName(again).groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return dealt.join(flags.select("k", "first_k", "is_first").hint("shuffle_hash"), "k").join(spans.hint("shuffle_hash"), "k", "left")
 
 
