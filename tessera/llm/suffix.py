@@ -345,7 +345,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     slim = docs.select("k", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     firsts = slim.groupBy("digest").agg(F.min("k").alias("first_k"))
     flags = materialize(slim.join(firsts, "digest").groupBy("k").agg(F.min("first_k").alias("first_k"), F.max((F.col("first_k") == F.col("k")).cast("int")).alias("is_first")), "copies")
-    dealt = docs.repartition("k")
+    dealt = docs  # each join by k asks for the same exchange of it, which Spark then makes once
     own = dealt.join(flags.where("is_first = 1").select("k").hint("shuffle_hash"), "k", "left_semi").select("k", "text")
     rows = own.mapInArrow(_anchor_rows(frequent_grams(docs)), "h long, k long, packed long")
     # one shuffle by gram: counts by a window, whose groups are salted, or small, or hold less than one of HOT_SHARE of the rows
@@ -411,13 +411,15 @@ def dedup(docs: DataFrame) -> DataFrame:
         for batch, texts, runs in _cut(batches):
             n_removed = [int((b - a).sum()) for a, b in runs]
             digests = [hashlib.sha256(_rest(t, a, b)).hexdigest() for t, (a, b) in zip(texts, runs, strict=True)]
+            ids = batch.column("k").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(a) for a, _ in runs], pa.int64()), pa.array(digests, pa.string())],
+                [pa.array(ids, mask=ids == NO_ID), pa.array(map(len, texts), pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(a) for a, _ in runs], pa.int64()), pa.array(digests, pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    slim = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return _spans(slim).select("doc_id", "text", "k", "first_k", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # k stands for doc_id, so that all reads of texts have the same columns and share one exchange
+    slim = _keyed(docs.select("doc_id", "text")).select("text", "k")
+    return _spans(slim).select("text", "k", "first_k", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
