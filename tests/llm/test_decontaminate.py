@@ -72,3 +72,16 @@ def test_verbatim_passages_of_the_tables(spark, sf_dir):
     got = {(r.doc_id, r.item_id) for r in d.find_leaks(docs, bench).collect()}
     assert want <= got
     assert len({i for i, _ in got}) <= len({i for i, _ in want}) + 2
+
+
+def test_excerpts_cut_at_every_offset_are_found(spark):
+    rng = random.Random(12)
+    item = "".join(rng.choice("abcdefgh") for _ in range(233))
+    filler = lambda n: "".join(rng.choice("ijklmnop") for _ in range(n))
+    docs = [(at, filler(70) + item[at : at + d.WINDOW] + filler(70)) for at in range(len(item) - d.WINDOW + 1)]
+    docs += [(1000 + at, filler(70) + edited(rng, item[at : at + d.WINDOW], 6) + filler(70)) for at in range(len(item) - d.WINDOW + 1)]
+    docs += [(2000, filler(70) + item[59:191] + filler(70)), (2001, filler(70) + item[20:110] + filler(70))]
+    got = {r.doc_id: r for r in d.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(got) == {i for i, _ in docs} - {2001}  # 90 characters: under the least passage, and more than eight edits from any window
+    assert all(got[i].edits == 0 for i, _ in docs if i < 1000)
+    assert got[2000].n_windows >= 33
