@@ -232,6 +232,26 @@ def _blocks(benchmark: DataFrame, size: int = BLOCK_CHARS) -> list[list[tuple[in
     return blocks
 
 
+def _lines(column: pa.Array, w: Index) -> list[np.ndarray]:
+    """Place of the text, item id, window's offset, first character, end and edits of each window that a column of normalised texts holds; long texts are cut into pieces."""
+    reach, found = WINDOW * 2, []
+    coded = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in column.to_pylist()]
+    sizes = [len(c) for c in coded]
+    if max(sizes) > PIECE:
+        cut = [(i, at) for i, n in enumerate(sizes) for at in range(0, max(1, n - reach), PIECE)]
+        groups = [[(i, at, coded[i][at : at + PIECE + reach])] for i, at in cut]
+    else:
+        groups = [[(i, 0, c) for i, c in enumerate(coded)]]
+    for group in groups:
+        codes = np.concatenate([c for _, _, c in group]).astype(np.uint64)
+        row = np.repeat(np.arange(len(group)), [len(c) for _, _, c in group])
+        base = np.cumsum([0, *(len(c) for _, _, c in group)])
+        lines = find(codes, row, w)
+        own, shift = lines[:, 0], (np.array([at for _, at, _ in group]) - base[:-1])[lines[:, 0]]
+        found.append((np.array([i for i, _, _ in group])[own], w.item[lines[:, 1]], lines[:, 2], lines[:, 3] + shift, lines[:, 4] + shift, lines[:, 5]))
+    return [np.concatenate(column) for column in zip(*found, strict=True)]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and benchmark item of which it holds a passage: doc_id, item_id, n_windows (windows found), chars (from the first to the end of the last), edits (fewest of a window).
 
@@ -245,27 +265,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         w = index(block)
         if not len(w.item):
             continue
-        reach = WINDOW * 2
 
         def run(batches: Iterable[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
             for batch in text_chunks(batches):
-                found = []
-                texts = batch.column("text").to_pylist()
-                coded = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
-                sizes = [len(c) for c in coded]
-                if max(sizes) > PIECE:
-                    cut = [(i, at) for i, n in enumerate(sizes) for at in range(0, max(1, n - reach), PIECE)]
-                    groups = [[(i, at, coded[i][at : at + PIECE + reach])] for i, at in cut]
-                else:
-                    groups = [[(i, 0, c) for i, c in enumerate(coded)]]
-                for group in groups:
-                    codes = np.concatenate([c for _, _, c in group]).astype(np.uint64)
-                    row = np.repeat(np.arange(len(group)), [len(c) for _, _, c in group])
-                    base = np.cumsum([0, *(len(c) for _, _, c in group)])
-                    lines = find(codes, row, w)
-                    own, shift = lines[:, 0], (np.array([at for _, at, _ in group]) - base[:-1])[lines[:, 0]]
-                    found.append((np.array([i for i, _, _ in group])[own], w.item[lines[:, 1]], lines[:, 2], lines[:, 3] + shift, lines[:, 4] + shift, lines[:, 5]))
-                at, *rest = (pa.array(np.concatenate(column), pa.int64()) for column in zip(*found, strict=True))
+                at, *rest = (pa.array(column, pa.int64()) for column in _lines(batch.column("text"), w))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), *rest], ["doc_id", "item_id", "window_at", "first", "end", "edits"])
 
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("text"))
@@ -278,7 +281,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "item_id").agg(F.countDistinct("window_at").alias("n_windows"), (F.max("end") - F.min("first")).alias("chars"), F.min("edits").alias("edits"))
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs whose text holds no passage of a benchmark item (find_leaks). Each row is judged by its own text, whatever its id; nothing is shuffled."""
+    names, schema = docs.columns, docs.schema
+    for block in _blocks(benchmark):
+        w = index(block)
+        if not len(w.item):
+            continue
+
+        def run(batches: Iterable[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
+            for batch in text_chunks(batches, "normal_text"):
+                clean = np.ones(batch.num_rows, bool)
+                clean[_lines(batch.column("normal_text"), w)[0]] = False
+                yield batch.select(names).filter(pa.array(clean))
+
+        docs = docs.withColumn("normal_text", normal(F.col("text"))).mapInArrow(run, schema)
+    return docs
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a passage of a benchmark item go."""
-    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("leaked_id")), "left_anti")
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -44,8 +44,8 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(values), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row; null and empty texts have 0."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the string columns of `carry` and fp (the fingerprint's bits as a signed long) of every row; null and empty texts have 0."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
@@ -53,9 +53,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             whole = raw.tobytes()
             at = starts.tolist()
             values = np.fromiter((fingerprint(whole[a:b], shingle) for a, b in zip(at[:-1], at[1:], strict=True)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *carry)), pa.array(values.view(np.int64))], ["doc_id", *carry, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
+    return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} string" for c in carry), "fp long"]))
 
 
 def trie_pairs(values: np.ndarray, roots: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], bits: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +184,12 @@ def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "side", "rest").mapInArrow(_links(budget), "u long, v long")
 
 
+def _rooted(classes: DataFrame, budget: int) -> DataFrame:
+    """classes (fp, distinct, and others) with root, the same for all fingerprints that links join."""
+    roots = components(links(classes.select("fp"), budget))
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id reachable over links) of each row of docs.
 
@@ -192,14 +199,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataF
     """
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(classes.select("fp"), budget))
-    member = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    member = _rooted(classes, budget)
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
     named = member.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the least id stays of each near-duplicate group; doc_id names a document."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """Pipeline stage: of each near-duplicate group the row with the least id stays, of rows with that id (null last) the one with the least digest.
+
+    A row is known by a digest of its id and text, so rows without an id, or with one id and different texts, stand for themselves.
+    """
+    digest = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256)
+    keyed = docs.withColumn("row_key", digest)
+    fps = materialize(fingerprints(keyed, carry=("row_key",)), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    classes = fps.groupBy("fp").agg(F.min(first).alias("first"))
+    kept = _rooted(classes, 2).groupBy("root").agg(F.min("first").alias("first")).select("first.row_key")
+    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
