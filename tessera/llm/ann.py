@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 
-#: Rows that the lists' centres are fitted on at most, and centres at most.
-FIT_ROWS, MOST_LISTS = 32_768, 8_192
-#: Share of the lists that a query probes, and how many at least.
-PROBED, LEAST_PROBED = 0.6, 16
+#: Rows that the lists' centres are fitted on at most, of them a list, and centres at most.
+FIT_ROWS, FIT_PER_LIST, MOST_LISTS = 65_536, 16, 8_192
+#: The probes are as many lists as hold this share of the true neighbours of TRIED fitted rows among the fitted rows; how many at least.
+TARGET, TRIED, LEAST_PROBED = 0.95, 512, 16
 #: Candidates and queries that one task group holds: short lists share a group, larger ones are dealt to several.
 CANDIDATES, QUERIES = 4_096, 1_024
 #: Dimensions of a block, and the deviations of a partial distance that abandon a candidate.
@@ -40,42 +40,56 @@ class Index:
     most: float
     centres: np.ndarray
     rotation: np.ndarray
+    probes: int = LEAST_PROBED
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate((x, np.sqrt(np.maximum(self.most**2 - (x**2).sum(axis=1), 0))[:, None]), axis=1)
 
     def rotated(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         lifted = np.concatenate((x, np.zeros((len(x), 1))), axis=1) if query else self.lifted(x)
-        return (lifted @ self.rotation).astype(np.float32)
+        return lifted @ self.rotation
 
     def distances(self, rotated: np.ndarray) -> np.ndarray:
         return (self.centres**2).sum(axis=1)[None, :] - 2 * rotated @ self.centres.T
 
-    @property
-    def probes(self) -> int:
-        return min(len(self.centres), max(LEAST_PROBED, int(np.ceil(PROBED * len(self.centres)))))
 
+def _probes_for(index: Index, x: np.ndarray, own: np.ndarray, k: int) -> int:
+    """How many lists hold TARGET of the k nearest fitted rows (x, in the lists `own`) of TRIED of them. All rows lie closer together than the sample, so that many hold no less of theirs."""
+    tried = x[:TRIED]
+    score = tried @ x.T
+    score[np.arange(len(tried)), np.arange(len(tried))] = -np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return len(index.centres)
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    far = index.distances(index.rotated(tried, query=True))
+    reached = np.take_along_axis(far, own[near], axis=1)
+    needed = np.sort(np.concatenate([np.searchsorted(np.sort(f), r) for f, r in zip(far, reached, strict=True)])) + 1
+    return int(needed[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))) - 1)])
 
-def fit(classes: DataFrame, lists: int | None = None, rounds: int = 8) -> Index | None:
+
+def fit(classes: DataFrame, lists: int | None = None, rounds: int = 6, k: int = 20) -> Index | None:
     """An index fitted on at most FIT_ROWS rows, the first in the order of a hash of their ids; None without rows. The largest norm is of all rows."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     n, most = classes.agg(F.count("*"), F.max(norm)).first()
     if not n:
         return None
-    rows = classes.orderBy(F.xxhash64(F.lit("fit"), "cid"), "cid").select("embedding").limit(FIT_ROWS).toArrow()
+    lists = min(lists or int(max(1, round(4 * n**0.5))), MOST_LISTS, n)
+    rows = classes.orderBy(F.xxhash64(F.lit("fit"), "cid"), "cid").select("embedding").limit(min(FIT_ROWS, max(4_096, FIT_PER_LIST * lists))).toArrow()
     x = np.array(rows.column("embedding").combine_chunks().flatten()).reshape(rows.num_rows, -1)
     dim, rng = x.shape[1], np.random.default_rng(20)
     rotation, upper = np.linalg.qr(rng.standard_normal((dim + 1, dim + 1)))
-    index = Index(dim, float(most) * (1 + 1e-12), np.zeros((0, dim + 1), np.float32), rotation * np.sign(np.diag(upper)))
-    lists = min(lists or int(max(1, round(n**0.5))), MOST_LISTS, len(x))
+    index = Index(dim, float(most) * (1 + 1e-12), np.zeros((0, dim + 1)), rotation * np.sign(np.diag(upper)))
+    lists = min(lists, len(x))
     y = index.rotated(x)
     index.centres = y[rng.permutation(len(y))[:lists]].copy()
+    nearest = lambda: np.concatenate([index.distances(y[at : at + 4096]).argmin(axis=1) for at in range(0, len(y), 4096)])
     for _ in range(rounds):
-        own = np.concatenate([index.distances(y[at : at + 4096]).argmin(axis=1) for at in range(0, len(y), 4096)])
-        sums = np.zeros((lists, dim + 1))
-        np.add.at(sums, own, y)
-        count = np.bincount(own, minlength=lists)
-        index.centres[count > 0] = (sums[count > 0] / count[count > 0, None]).astype(np.float32)
+        own = nearest()
+        order = np.argsort(own, kind="stable")
+        held, head = np.unique(own[order], return_index=True)
+        index.centres[held] = np.add.reduceat(y[order], head, axis=0) / np.diff(np.append(head, len(y)))[:, None]
+    index.probes = min(lists, max(LEAST_PROBED, _probes_for(index, x, nearest(), k)))
     return index
 
 
@@ -118,66 +132,94 @@ def _probed(index: Index, probes: int, together: int):
     return run
 
 
-def adaptive_scan(q: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
-    """Indices of candidates that may be among the `most` nearest of the query: those that no test has abandoned.
+def adaptive_scan(q: np.ndarray, y: np.ndarray, held: np.ndarray, probed: np.ndarray, most: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) index pairs that may be among the `most` nearest of the query: those that no test has abandoned.
 
-    q and the rows of x are rotated at random, so after d of D dimensions the whole squared distance is about D / d
-    times the part. A candidate whose part exceeds that share of the most-th nearest distance so far, by DEVIATIONS /
-    sqrt(d) more, is abandoned; the rest goes on to the next block. Candidates come in parts that double, each under the
-    distance that the parts before have reached.
+    The rows of y, rotated at random like those of q, stand list by list: held is each one's list, ascending, and probed says
+    for query and list whether the one probes the other. After d of D dimensions the whole squared distance is about D / d
+    times the part. A candidate whose part exceeds that share of the most-th nearest distance so far, by DEVIATIONS / sqrt(d)
+    more, is abandoned; the rest goes on to the next block. The first block is a matrix product of a list's queries and
+    candidates. Each query starts with the list `first` (its nearest), for a distance that the others are held against.
     """
-    size = x.shape[1]
-    near = np.arange(min(len(x), 4 * most))
-    gap = x[near] - q
-    reached = np.einsum("ij,ij->i", gap, gap)
-    out, at_row, step = [near], len(near), len(near)
-    while at_row < len(x):
-        limit = np.partition(reached, most - 1)[most - 1]
-        step *= 2
-        alive = np.arange(at_row, min(at_row + step, len(x)))
-        part = np.zeros(len(alive), np.float32)
-        for at in range(0, size, BLOCK):
-            to = min(at + BLOCK, size)
-            gap = x[alive, at:to] - q[at:to]
-            part = part + np.einsum("ij,ij->i", gap, gap)
-            bound = limit if to == size else limit * (to / size) * (1 + DEVIATIONS / np.sqrt(to)) ** 2
-            kept = part <= bound * (1 + 1e-5)
-            alive, part = alive[kept], part[kept]
-        at_row += step
-        out.append(alive)
-        reached = np.concatenate((reached, part))
-    alive = np.concatenate(out)
-    if len(alive) > most:
-        alive = alive[reached <= np.partition(reached, most - 1)[most - 1] * (1 + 1e-5)]
-    return alive
+    size, n = y.shape[1], len(q)
+    best = np.full((n, most), np.inf)
+    cuts = [(at, min(at + BLOCK, size)) for at in range(0, size, BLOCK)]
+    own_q, own_y = (q[:, : cuts[0][1]], y[:, : cuts[0][1]])
+    norm_q, norm_y = np.einsum("ij,ij->i", own_q, own_q), np.einsum("ij,ij->i", own_y, own_y)
+    edges = np.searchsorted(held, np.arange(probed.shape[1] + 1))
+    lists = np.flatnonzero(np.diff(edges))
+    begun = np.zeros_like(probed)
+    if first is not None:
+        begun[np.arange(n), first] = True
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for now in (probed & begun, probed & ~begun):
+        for k in lists.tolist():
+            asking = np.flatnonzero(now[:, k])
+            if not len(asking):
+                continue
+            a, b = edges[k], edges[k + 1]
+            limit = best[asking].max(axis=1)
+            part = norm_q[asking, None] + norm_y[None, a:b] - 2 * own_q[asking] @ own_y[a:b].T
+            row, at = np.nonzero(part <= _bound(limit, cuts[0][1], size)[:, None])
+            part = part[row, at]
+            for lo, hi in cuts[1:]:
+                gap = y[a + at, lo:hi] - q[asking[row], lo:hi]
+                part = part + np.einsum("ij,ij->i", gap, gap)
+                kept = part <= _bound(limit, hi, size)[row]
+                row, at, part = row[kept], at[kept], part[kept]
+            if not len(row):
+                continue
+            out.append((asking[row], a + at, part))
+            order = np.lexsort((part, row))
+            row, part = row[order], part[order]
+            head = np.searchsorted(row, np.arange(len(asking)))
+            rank = np.arange(len(row)) - head[row]
+            near = rank < most
+            grown = np.full((len(asking), most), np.inf)
+            grown[row[near], rank[near]] = part[near]
+            hit = np.flatnonzero(grown[:, 0] < np.inf)
+            best[asking[hit]] = np.partition(np.concatenate((best[asking[hit]], grown[hit]), axis=1), most - 1, axis=1)[:, :most]
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row, at, part = (np.concatenate(v) for v in zip(*out, strict=True))
+    kept = part <= _bound(best.max(axis=1), size, size)[row]
+    return row[kept], at[kept]
+
+
+def _bound(limit: np.ndarray, d: int, size: int) -> np.ndarray:
+    """The largest part over d of size dimensions that may still end within the limit."""
+    share = 1.0 if d == size else d / size * (1 + DEVIATIONS / np.sqrt(d)) ** 2
+    return limit * share * (1 + 1e-9)
 
 
 def _scan(index: Index, most: int):
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        out_q, out_c, out_s, sizes = [], [], [], []
+        cut, qid, cid, score = np.zeros(1, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if candidates.num_rows and queries.num_rows:
-            cid = candidates.column("id").to_numpy()
-            order = np.argsort(cid)
-            cid, x = cid[order], _matrix(candidates.column("embedding"), index.dim)[order]
-            held = candidates.column("list").to_numpy()[order]
-            y = index.rotated(x)
-            q = _matrix(queries.column("embedding"), index.dim)
+            order = np.lexsort((candidates.column("id").to_numpy(), candidates.column("list").to_numpy()))
+            cid, x = candidates.column("id").to_numpy()[order], _matrix(candidates.column("embedding"), index.dim)[order]
+            numbers, held = np.unique(candidates.column("list").to_numpy()[order], return_inverse=True)
+            qid, q = queries.column("id").to_numpy(), _matrix(queries.column("embedding"), index.dim)
             turned = index.rotated(q, query=True)
-            probed = np.zeros(len(index.centres), bool)
-            for i, (qid, lists) in enumerate(zip(queries.column("id").to_pylist(), queries.column("lists").to_pylist(), strict=True)):
-                probed[lists] = True
-                own = np.flatnonzero(probed[held])
-                probed[lists] = False
-                near = own[adaptive_scan(turned[i], y[own], most)]
-                score = x[near] @ q[i]
-                best = np.lexsort((cid[near], -score))[:most]
-                out_q.append(qid)
-                out_c.append(cid[near[best]])
-                out_s.append(score[best])
-                sizes.append(len(best))
-        cut = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-        found = pa.StructArray.from_arrays([pa.array(-np.concatenate(out_s) if out_s else np.zeros(0)), pa.array(np.concatenate(out_c) if out_c else np.zeros(0, np.int64))], ["s", "cid"])
-        return pa.table({"qid": pa.array(out_q, pa.int64()), "found": pa.ListArray.from_arrays(cut, found)})
+            lists = queries.column("lists").combine_chunks()
+            flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(qid)), np.diff(lists.offsets.to_numpy()))
+            at = np.minimum(np.searchsorted(numbers, flat), len(numbers) - 1)
+            there = numbers[at] == flat  # a list may have no candidates in this part of its group
+            probed = np.zeros((len(qid), len(numbers)), bool)
+            probed[row[there], at[there]] = True
+            centres = index.centres[numbers]
+            far = (centres**2).sum(axis=1)[None, :] - 2 * turned @ centres.T
+            first = np.where(probed, far, np.inf).argmin(axis=1)
+            row, at = adaptive_scan(turned, index.rotated(x), held, probed, most, first)
+            score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[at[i : i + 65_536]], q[row[i : i + 65_536]]) for i in range(0, len(row), 65_536))])
+            order = np.lexsort((cid[at], -score, row))
+            row, at, score = row[order], at[order], score[order]
+            near = np.arange(len(row)) - np.searchsorted(row, row) < most
+            row, cid, score = row[near], cid[at[near]], score[near]
+            asked, head = np.unique(row, return_index=True)
+            qid, cut = qid[asked], np.append(head, len(row)).astype(np.int32)
+        found = pa.StructArray.from_arrays([pa.array(-score), pa.array(cid, pa.int64())], ["s", "cid"])
+        return pa.table({"qid": pa.array(qid, pa.int64()), "found": pa.ListArray.from_arrays(pa.array(cut), found)})
 
     return run
 
@@ -205,8 +247,8 @@ def search(vectors: DataFrame, wanted: Column, k: int = 20, lists: int | None =
     Nearest is the largest inner product of the original vectors in double precision, ties to the smaller vec_id; a query itself
     is no candidate, all other rows are. Vectors null, zero, of another length than most, or with null or non-finite components take no
     part, nor do rows without an id. Equal vectors are one candidate and one query, of which the k + 1 smallest ids are kept, which is
-    all that any answer can name, so a vector that very many rows share costs as much as one. Queries that find fewer than k in the
-    lists they probe are sought in all lists. Rows that repeat a vec_id are distinct candidates and one query.
+    all that any answer can name, so a vector that very many rows share costs as much as one. A query probes as many lists as the
+    fitted sample needs for TARGET of its own neighbours; queries that find fewer than k in them are sought in all lists. Rows that repeat a vec_id are distinct candidates and one query.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -219,7 +261,7 @@ def search(vectors: DataFrame, wanted: Column, k: int = 20, lists: int | None =
     classes = materialize(valid.withColumn("nth", first).where(F.col("nth") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.col("ids")[0]), "classes")
     asking = valid.where(wanted).distinct()
     queries = materialize(asking.groupBy("embedding").agg(F.min("vec_id").alias("qid")), "queries")
-    index = fit(classes, lists)
+    index = fit(classes, lists, k=k)
     listed = materialize(classes.select("cid", "embedding").mapInArrow(_listed(index), "id long, embedding array<double>, list int"), "lists")
     n = listed.count()
     found = materialize(_probe(index, listed, n, queries, index.probes, k + 1), "found")

@@ -54,6 +54,6 @@ def test_abandoned_candidates_are_far():
     x = rng.standard_normal((2000, 64)).astype(np.float32)
     q = rng.standard_normal(64).astype(np.float32)
     d = ((x - q) ** 2).sum(axis=1)
-    alive = ann.adaptive_scan(q, x, 20)
+    _, alive = ann.adaptive_scan(q[None], x, np.repeat(np.arange(20), 100), np.ones((1, 20), bool), 20, np.array([0]))
     assert len(set(np.argsort(d)[:20].tolist()) & set(alive.tolist())) >= 19
     assert len(alive) < 200
