@@ -20,7 +20,8 @@ SHALLOW_WORDS = 5
 #: Anchors of one gram beyond this many are matched by grouping their strings, which combines before it shuffles.
 HOT_GROUP = 50_000
 #: Of those the grams with more than one of HOT_SHARE anchors are known beforehand, 2 * HOT_SHARE grams at most; their rows go to SALTS tasks.
-HOT_SHARE, SALTS = 2_000, 64
+#: A task tells the grams that it holds more than TOLD times, if they are more than one of 2 * HOT_SHARE of its anchors.
+HOT_SHARE, SALTS, TOLD = 100_000, 64, 8
 #: Starts that one pass works on; a longer text is cut, each part reading SPAN - 1 bytes into the next.
 PIECE = 2_000_000
 _POSITION_BITS = np.uint64(23)
@@ -204,8 +205,8 @@ def deep_shallow_sort(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarr
     return order, lcp
 
 
-def repeated_starts(group: np.ndarray, doc: np.ndarray, start: np.ndarray, left: np.ndarray, count: np.ndarray, context: list[bytes]) -> np.ndarray:
-    """Of each anchor, which of its strings (columns, by start) also start earlier.
+def repeated_starts(group: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, left: np.ndarray, count: np.ndarray, context: list[bytes]) -> np.ndarray:
+    """Of each anchor, which of its strings (columns, by start) also start earlier, in the order of doc, row and start.
 
     Two strings are equal if they lie at one distance d from their anchors, share d bytes to its left and SPAN - d from it on.
     Sorted to the right and (reversed) to the left, anchors that share that much are neighbours without a smaller lcp between, so
@@ -227,7 +228,7 @@ def repeated_starts(group: np.ndarray, doc: np.ndarray, start: np.ndarray, left:
     high = np.minimum(left, nearest(order_l, lcp_l))
     at = start + left
     rank = np.empty(n, np.int64)
-    rank[np.lexsort((at, doc))] = np.arange(n)
+    rank[np.lexsort((at, row, doc))] = np.arange(n)
     run_r, run_l = np.empty(n, np.int64), np.empty(n, np.int64)
     for d in range(int(max(0, low.min(initial=0))), int(high.max(initial=-1)) + 1):
         active = np.flatnonzero((low <= d) & (d <= high))
@@ -239,7 +240,7 @@ def repeated_starts(group: np.ndarray, doc: np.ndarray, start: np.ndarray, left:
         own, key = active[by], key[by]
         head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         first = np.repeat(own[head], np.diff(np.append(head, len(own))))
-        later = own[(doc[own] != doc[first]) | (at[own] != at[first])]
+        later = own[(row[own] != row[first]) | (doc[own] != doc[first]) | (at[own] != at[first])]
         out[later, left[later] - d] = True
     return out
 
@@ -257,18 +258,19 @@ def _anchored(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 
 def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grams with more than one of 2 * HOT_SHARE of a task's anchors, with their number there; and how many anchors there are (h null)."""
+    """Grams that make up more than one of 2 * HOT_SHARE of a task's anchors (and more than TOLD), with their number there; and how many anchors there are (h null)."""
     for_all = [h for _, h, *_ in _anchored(batches)]
     h, n = np.unique(np.concatenate(for_all), return_counts=True) if for_all else (np.zeros(0, np.int64),) * 2
-    often = n * 2 * HOT_SHARE > n.sum()
+    often = n > max(TOLD, n.sum() / (2 * HOT_SHARE))
     yield pa.RecordBatch.from_arrays([pa.array([*h[often].tolist(), None], pa.int64()), pa.array([*n[often].tolist(), int(n.sum())], pa.int64())], ["h", "n"])
 
 
 def frequent_grams(docs: DataFrame) -> np.ndarray:
     """Every gram with more than one of HOT_SHARE of all anchors and more than HOT_GROUP, and at most 2 * HOT_SHARE grams.
 
-    What tasks leave out of a gram's count is less than one of 2 * HOT_SHARE of all anchors, so such a gram's count from the tasks
-    that tell it is more than that too; and no more than 2 * HOT_SHARE grams can have so many.
+    What tasks leave out of a gram's count is less than one of 2 * HOT_SHARE of all anchors (of tasks with few anchors, TOLD each), so
+    such a gram's count from the tasks that tell it is more than that too; and no more than 2 * HOT_SHARE grams can have so many.
+    A gram that is not found here is only slower: its rows are counted in one task instead of SALTS.
     """
     told = materialize(docs.select("text").mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
     total = told.where("h IS NULL").agg(F.sum("n")).first()[0] or 0
@@ -277,7 +279,7 @@ def frequent_grams(docs: DataFrame) -> np.ndarray:
 
 
 def _anchor_rows(hot: np.ndarray):
-    """Rows of anchors: key (the gram, salted if it is hot), k, and packed: start, distance, number of strings and whether it is hot."""
+    """Rows of anchors: key (the gram, salted if it is hot), r, and packed: start, distance, number of strings and whether it is hot."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, h, row, start, left, count in _anchored(batches):
@@ -285,7 +287,7 @@ def _anchor_rows(hot: np.ndarray):
             often = np.append(hot, -1)[at] == h
             key = np.where(often, h ^ (start % SALTS + 1) << 48, h)
             packed = start << 15 | left << 8 | (count - 1) << 1 | often
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("k").take(pa.array(row)), pa.array(packed)], ["h", "k", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("r").take(pa.array(row)), pa.array(packed)], ["h", "r", "packed"])
 
     return run
 
@@ -301,7 +303,7 @@ def _contexts(single: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             raw, starts = text_buffers(batch.column("text"))
-            whole, ids = raw.tobytes(), batch.column("k").to_numpy()
+            whole, ids, keys = raw.tobytes(), batch.column("k").to_numpy(), batch.column("r").to_numpy()
             marks = batch.column("marks")
             cuts = marks.offsets.to_numpy()
             flat = marks.flatten()
@@ -311,55 +313,62 @@ def _contexts(single: bool):
             start, left, count = unpack(packed)
             begin = starts[row] + start
             end = begin + count - 1 + SPAN
-            kept = np.flatnonzero(end <= starts[row + 1])  # rows that share an id may be shorter
+            kept = np.flatnonzero(end <= starts[row + 1])  # rows whose r is equal by chance may be shorter
             for part in np.array_split(kept, max(1, len(kept) // 20_000)):
                 if single:
                     p = np.repeat(begin[part], count[part]) + np.concatenate([np.arange(c) for c in count[part]]) if len(part) else part
                     rows = np.repeat(row[part], count[part])
                     digest = [xxhash.xxh3_128_digest(whole[x : x + SPAN]) for x in p.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(ids[rows]), pa.array(p - starts[rows])], ["string", "k", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(ids[rows]), pa.array(keys[rows]), pa.array(p - starts[rows])], ["string", "k", "r", "start"])
                 else:
                     context = [whole[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(ids[row[part]]), pa.array(packed[part]), pa.array(context, pa.binary())], ["h", "k", "packed", "context"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(ids[row[part]]), pa.array(keys[row[part]]), pa.array(packed[part]), pa.array(context, pa.binary())], ["h", "k", "r", "packed", "context"])
 
     return run
 
 
 def _repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in whole_groups(batches, "h"):
-        packed, doc = table.column("packed").to_numpy(), table.column("k").to_numpy()
+        packed, doc, own = (table.column(c).to_numpy() for c in ("packed", "k", "r"))
         start, left, count = unpack(packed)
-        found = repeated_starts(table.column("h").to_numpy(), doc, start, left, count, table.column("context").to_pylist())
+        found = repeated_starts(table.column("h").to_numpy(), doc, own, start, left, count, table.column("context").to_pylist())
         edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, a = np.nonzero(edge == 1)
         _, b = np.nonzero(edge == -1)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(start[row] + a), pa.array(start[row] + b - 1 + SPAN)], ["k", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(own[row]), pa.array(start[row] + a), pa.array(start[row] + b - 1 + SPAN)], ["k", "r", "a", "b"])
+
+
+def _split_join(rows: DataFrame, groups, key: str) -> DataFrame:
+    """rows joined with groups(rows by key). The groups are dealt by one column more than the key, so that the join exchanges both sides, and adaptive execution can split a key with very many rows."""
+    return rows.join(groups(rows.groupBy(key, F.substring(key, 1, 1).alias("_dealt"))).drop("_dealt"), key)
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    """docs (k, text and others) with first_k, the least k with the same text, and spans, the byte ranges to remove (null: none).
+    """docs (r, k, text, rest) with copy, whether an earlier row has the same text, and spans, the byte ranges to remove (null: none).
 
-    Copies of a whole text only need its first: they take no part in the search. docs is shuffled once, by k; all
-    later reads of texts reuse that exchange.
+    Rows go by k, and rows of one k by r, a hash of id and text; rows with the same id and text are one document. Copies of a whole
+    text only need its first: they take no part in the search. Texts are shuffled once, by r; all later reads of them have the
+    same columns and reuse that exchange. Two rows whose r is equal by chance are told apart by k.
     """
-    slim = docs.select("k", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    firsts = slim.groupBy("digest").agg(F.min("k").alias("first_k"))
-    flags = materialize(slim.join(firsts, "digest").groupBy("k").agg(F.min("first_k").alias("first_k"), F.max((F.col("first_k") == F.col("k")).cast("int")).alias("is_first")), "copies")
-    dealt = docs  # each join by k asks for the same exchange of it, which Spark then makes once
-    own = dealt.join(flags.where("is_first = 1").select("k").hint("shuffle_hash"), "k", "left_semi").select("k", "text")
-    rows = own.mapInArrow(_anchor_rows(frequent_grams(docs)), "h long, k long, packed long")
+    slim = docs.select("r", "k", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    # an earlier row: of a smaller k, or of the same k and a smaller r, which rows of one text don't have
+    later = _split_join(slim, lambda g: g.agg(F.min("k").alias("first")), "digest").where(F.col("k") > F.col("first"))
+    copies = materialize(later.groupBy("r").agg(F.collect_set("k").alias("copy_of")), "copies")
+    marked_copies = docs.join(copies.hint("shuffle_hash"), "r", "left").withColumn("copy", F.coalesce(F.array_contains("copy_of", F.col("k")), F.lit(False)))
+    own = marked_copies.where("NOT copy").select("r", "k", "text", "rest")
+    rows = own.mapInArrow(_anchor_rows(frequent_grams(docs)), "h long, r long, packed long")
     # one shuffle by gram: counts by a window, whose groups are salted, or small, or hold less than one of HOT_SHARE of the rows
     counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("h"))).withColumn("frequent", F.col("packed").bitwiseAND(F.lit(1)) == 1)
     repeated = counted.where("frequent OR n > 1").withColumn("hot", F.col("frequent") | (F.col("n") > HOT_GROUP))
-    marks = repeated.groupBy("k", "hot").agg(F.collect_list(F.struct("h", "packed")).alias("marks"))
-    marked = lambda hot: own.join(marks.where(F.col("hot") == hot).select("k", "marks").hint("shuffle_hash"), "k")
-    contexts = marked(False).mapInArrow(_contexts(single=False), "h long, k long, packed long, context binary")
-    found = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_repeats, "k long, a long, b long")
-    hot = marked(True).mapInArrow(_contexts(single=True), "string binary, k long, start long")
-    least = hot.groupBy("string").agg(F.min(F.struct("k", "start")).alias("first"))
-    again = hot.join(least, "string").where(F.struct("k", "start") != F.col("first")).select("k", F.col("start").alias("a"), (F.col("start") + SPAN).alias("b"))
-    spans = found.unionByName(again).groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return dealt.join(flags.select("k", "first_k", "is_first").hint("shuffle_hash"), "k").join(spans.hint("shuffle_hash"), "k", "left")
+    marks = repeated.groupBy("r", "hot").agg(F.collect_list(F.struct("h", "packed")).alias("marks"))
+    marked = lambda hot: own.join(marks.where(F.col("hot") == hot).select("r", "marks").hint("shuffle_hash"), "r")
+    contexts = marked(False).mapInArrow(_contexts(single=False), "h long, k long, r long, packed long, context binary")
+    found = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_repeats, "k long, r long, a long, b long")
+    hot = marked(True).mapInArrow(_contexts(single=True), "string binary, k long, r long, start long")
+    again = _split_join(hot, lambda g: g.agg(F.min(F.struct("k", "r", "start")).alias("first")), "string").where(F.struct("k", "r", "start") != F.col("first"))
+    again = again.select("k", "r", F.col("start").alias("a"), (F.col("start") + SPAN).alias("b"))
+    spans = found.unionByName(again).groupBy("r").agg(F.collect_list(F.struct("k", "a", "b")).alias("spans"))
+    return marked_copies.select("r", "k", "text", "rest", "copy").join(spans.hint("shuffle_hash"), "r", "left")
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -370,14 +379,14 @@ def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[head], b[np.append(head[1:], len(b)) - 1]
 
 
-def removed_runs(text: bytes, copy: bool, spans: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
+def removed_runs(text: bytes, copy: bool, k: int, spans: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
     if copy and len(text) >= SPAN:
         return np.array([0]), np.array([len(text)])
     if spans is None or not len(spans):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = spans.field("a").to_numpy(), spans.field("b").to_numpy()
-    inside = b <= len(text)
-    return merged(a[inside], b[inside]) if inside.any() else (a[:0], b[:0])
+    own = spans.field("k").to_numpy() == k
+    a, b = spans.field("a").to_numpy()[own], spans.field("b").to_numpy()[own]
+    return merged(a, b) if len(a) else (a, b)
 
 
 def _rest(text: bytes, a: np.ndarray, b: np.ndarray) -> bytes:
@@ -390,13 +399,13 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, li
         raw, starts = text_buffers(batch.column("text"))
         whole, at = raw.tobytes(), starts.tolist()
         texts = [whole[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-        copies = (batch.column("first_k").to_numpy() != batch.column("k").to_numpy()).tolist()
-        spans = batch.column("spans")
-        yield batch, texts, [removed_runs(t, c, spans[i].values if spans[i].is_valid else None) for i, (t, c) in enumerate(zip(texts, copies, strict=True))]
+        copies, ids, spans = batch.column("copy").to_pylist(), batch.column("k").to_pylist(), batch.column("spans")
+        yield batch, texts, [removed_runs(t, c, k, spans[i].values if spans[i].is_valid else None) for i, (t, c, k) in enumerate(zip(texts, copies, ids, strict=True))]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+def _keyed(docs: DataFrame, rest: list[str]) -> DataFrame:
+    """r, the hash that a row is known by; k, its place in the order; text; and the columns rest, packed, so that no name of theirs meets another."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("r"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -404,33 +413,38 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     A byte goes if a 100-byte string over it also starts earlier: in a smaller doc_id, or earlier in the same text. Texts are
     UTF-8 bytes, whole; null is empty; texts under 100 bytes lose nothing. A null doc_id comes before all others.
-    Rows that share a doc_id stand at one place of the order: of equal starts neither is earlier.
+    Different texts of one doc_id (or of none) are documents of their own, in the order of a hash of their text; rows that repeat both
+    are one document, whose result each of them has. No rows give no rows.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts, runs in _cut(batches):
             n_removed = [int((b - a).sum()) for a, b in runs]
             digests = [hashlib.sha256(_rest(t, a, b)).hexdigest() for t, (a, b) in zip(texts, runs, strict=True)]
-            ids = batch.column("k").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=ids == NO_ID), pa.array(map(len, texts), pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(a) for a, _ in runs], pa.int64()), pa.array(digests, pa.string())],
+                [batch.column("rest").field("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(a) for a, _ in runs], pa.int64()), pa.array(digests, pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    # k stands for doc_id, so that all reads of texts have the same columns and share one exchange
-    slim = _keyed(docs.select("doc_id", "text")).select("text", "k")
-    return _spans(slim).select("text", "k", "first_k", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _spans(_keyed(rows, ["doc_id"])).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated bytes taken out of text (and n_chars, if there, counted anew). A character that a run only covers in part stays; a text that loses all it had goes, with its row; texts without repeats stay as they are."""
-    names = docs.columns
-    text_at = names.index("text")
+    """docs with the repeated bytes taken out of text (and n_chars, if there, counted anew).
+
+    Which bytes repeat is dedup's rule, with what it says of null and repeated ids and of repeated rows. A character that a run only
+    covers in part stays; a text that loses all it had goes, with its row; texts without repeats, null and empty ones
+    too, stay as they are. Other columns, whatever their names, are carried along.
+    """
+    names, types = docs.columns, {f.name: f.dataType for f in docs.schema.fields}
+    rest = [c for c in names if c != "text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts, runs in _cut(batches):
             new: list[str | None] = batch.column("text").to_pylist()
             kept = np.ones(len(texts), bool)
+            changed = np.zeros(len(texts), bool)
             for i, (t, (a, b)) in enumerate(zip(texts, runs, strict=True)):
                 if not len(a):
                     continue
@@ -440,19 +454,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 b = edge[np.searchsorted(edge, b, "right") - 1]
                 some = b > a
                 new[i] = _rest(t, a[some], b[some]).decode()
-                kept[i] = bool(new[i])
-            arrays = [batch.column(c) for c in names]
-            arrays[text_at] = pa.array(new, batch.column("text").type)
-            if "n_chars" in names:
-                counted = [len(x) if x is not None else None for x in new]
-                old = batch.column("n_chars").to_pylist()
-                arrays[names.index("n_chars")] = pa.array([c if len(r[0]) else o for c, o, r in zip(counted, old, runs, strict=True)], batch.column("n_chars").type)
-            yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array(kept))
+                kept[i], changed[i] = bool(new[i]), some.any()
+            size = pa.array([len(x) if x is not None else None for x in new], pa.int64())
+            out = pa.RecordBatch.from_arrays([pa.array(new, batch.column("text").type), pa.array(changed), size, batch.column("rest")], ["text", "changed", "size", "rest"])
+            yield out.filter(pa.array(kept))
 
-    spans = _spans(_keyed(docs).select("k", *[F.col(c) for c in names]))
-    return spans.select("k", "first_k", "spans", *names).mapInArrow(run, docs.schema)
+    keyed = _keyed(docs, rest)
+    cut = _spans(keyed).mapInArrow(run, f"text string, changed boolean, size long, rest {keyed.schema['rest'].dataType.simpleString()}")
+    field = lambda c: F.col("rest").getField(c)
+    counted = {"n_chars": F.when(F.col("changed"), F.col("size").cast(types.get("n_chars", "long"))).otherwise(field("n_chars"))} if "n_chars" in rest else {}
+    return cut.select(*[F.col("text") if c == "text" else counted.get(c, field(c)).alias(c) for c in names])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: passages of 100 bytes or more that stand earlier too are cut out of the texts."""
+    """Pipeline stage: passages of 100 bytes or more that stand earlier too are cut out of the texts, by remove_repeats' rules."""
     return remove_repeats(docs)
