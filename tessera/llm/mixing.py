@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,70 +66,119 @@ def permuted_positions(docs: DataFrame) -> DataFrame:
     )
 
 
-def _left_draw(counts: Column, left: Column, salt: Column) -> Column:
-    """How many of each source's blocks a random half of given size takes: a multivariate hypergeometric draw, block by block.
+def _log_factorial(n: Column) -> Column:
+    """log(n!) by Stirling's series at n + 8."""
+    y = n + 8.0
+    below = reduce(lambda a, b: a * b, [n + float(j) for j in range(1, 8)])
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) - F.log(below)
+
+
+def _bound(fields: dict[str, Column], body) -> Column:
+    """body of a struct of fields, each of which is evaluated once, however often the body names it."""
+    return F.element_at(F.transform(F.array(F.struct(*[c.alias(n) for n, c in fields.items()])), body), 1)
+
 
-    counts: blocks by source; left: blocks that the half holds; salt: makes nodes differ.
+def hypergeometric(unit: Column, whole: Column, kind: Column, drawn: Column) -> Column:
+    """How many of `kind` among `drawn` taken from `whole` without replacement: the quantile of `unit` (in [0, 1)), all doubles of whole numbers.
+
+    The values are tried from the likeliest outwards, so the steps are as many as the spread, about a root of the numbers, not as many
+    as there are blocks.
     """
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    choose = lambda n, k: _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
+
+    def ranged(p: Column) -> Column:
+        low, high = F.greatest(F.lit(0.0), p["drawn"] - (p["whole"] - p["kind"])), F.least(p["kind"], p["drawn"])
+        mode = F.least(F.greatest(F.floor((p["drawn"] + 1) * (p["kind"] + 1) / (p["whole"] + 2)).cast("double"), low), high)
+        share = p["kind"] / F.greatest(p["whole"], F.lit(1.0))
+        spread = F.sqrt(F.greatest(p["drawn"] * share * (1 - share) * (p["whole"] - p["drawn"]) / F.greatest(p["whole"] - 1, F.lit(1.0)), F.lit(0.0)))
+        steps = F.least(high - low, F.ceil(14 * spread) + 30).cast("int")
+        return _bound({"p": p, "low": low, "high": high, "mode": mode, "steps": steps}, drawing)
+
+    def drawing(r: Column) -> Column:
+        p, mode = r["p"], r["mode"]
+        whole, kind, drawn = p["whole"], p["kind"], p["drawn"]
+        likely = F.exp(choose(kind, mode) + choose(whole - kind, drawn - mode) - choose(whole, drawn))
+        begin = _bound({"likely": likely}, lambda x: F.struct((p["unit"] - x["likely"]).alias("left"), x["likely"].alias("up"), x["likely"].alias("down"), F.when(p["unit"] < x["likely"], mode).alias("got")))
+
+        def step(s: Column, i: Column) -> Column:
+            x, y = mode + i, mode - i
+            up = F.when(x <= r["high"], s["up"] * (kind - x + 1) * (drawn - x + 1) / (x * (whole - kind - drawn + x))).otherwise(0.0)
+            down = F.when(y >= r["low"], s["down"] * (y + 1) * (whole - kind - drawn + y + 1) / ((kind - y) * (drawn - y))).otherwise(0.0)
+            got = lambda t: F.when(s["got"].isNotNull(), s["got"]).when(s["left"] < t["up"], x).when(s["left"] < t["up"] + t["down"], y)
+            return _bound({"up": up, "down": down}, lambda t: F.struct((s["left"] - t["up"] - t["down"]).alias("left"), t["up"].alias("up"), t["down"].alias("down"), got(t).alias("got")))
+
+        tried = F.when(r["steps"] > 0, F.sequence(F.lit(1), r["steps"])).otherwise(F.array().cast("array<int>"))
+        return F.coalesce(F.aggregate(tried, begin, step)["got"], mode).cast("long")
 
-    def source(state: Column, k: Column) -> Column:
-        begin = F.struct(state["room"].alias("room"), state["rest"].alias("rest"), F.lit(0).cast("long").alias("got"))
+    return _bound({"unit": unit, "whole": whole, "kind": kind, "drawn": drawn}, ranged)
 
-        def block(s: Column, i: Column) -> Column:
-            unit = F.pmod(F.xxhash64(salt, F.size(state["out"]), i), F.lit(1 << 40)) / F.lit(float(1 << 40))
-            takes = (unit * s["rest"] < s["room"]).cast("long")
-            return F.struct((s["room"] - takes).alias("room"), (s["rest"] - 1).alias("rest"), (s["got"] + takes).alias("got"))
 
-        steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>"))
-        done = F.aggregate(steps, begin, block)
-        return F.struct(done["room"].alias("room"), done["rest"].alias("rest"), F.concat(state["out"], F.array(done["got"])).alias("out"))
+def _left_draw(counts: Column, left: Column, salt: Column) -> Column:
+    """How many of each source's blocks a random half of given size takes: a multivariate hypergeometric draw, source by source.
+
+    counts: (at, n), blocks by source; left: blocks that the half holds; salt: makes nodes differ.
+    """
 
-    start = F.struct(left.alias("room"), total.alias("rest"), F.array().cast("array<long>").alias("out"))
+    def source(state: Column, x: Column) -> Column:
+        unit = F.pmod(F.xxhash64(salt, x["at"]), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        got = hypergeometric(unit, state["rest"].cast("double"), x["n"].cast("double"), state["room"].cast("double"))
+        more = lambda g: F.concat(state["out"], F.array(F.struct(x["at"].alias("at"), g["got"].alias("n"))))
+        return _bound({"got": got}, lambda g: F.struct((state["room"] - g["got"]).alias("room"), (state["rest"] - x["n"]).alias("rest"), more(g).alias("out")))
+
+    start = F.struct(left.alias("room"), _total(counts).alias("rest"), F.array().cast("array<struct<at:int,n:bigint>>").alias("out"))
     return F.aggregate(counts, start, source)["out"]
 
 
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+
+
 def splitting_tree(quotas: DataFrame, levels: int) -> DataFrame:
-    """Block quotas of the 2**levels shards, from one row (counts: array<long> by source).
+    """Block quotas (shard, counts) of the 2**levels shards, from one row (counts: array of (at, n), n blocks of the source at that place).
 
     Each level is one Generate over the nodes of the level above; the halves of a node differ by a block at most
-    in size, and which sources fill them is drawn without replacement, so the leaves sum to the quotas exactly.
+    in size, and which sources fill them is drawn without replacement, so the leaves sum to the quotas exactly. A node
+    names only sources that it has blocks of.
     """
     nodes = quotas.select(F.lit(0).cast("long").alias("shard"), "counts")
+    some = lambda c: F.filter(c, lambda x: x["n"] > 0)
     for level in range(levels):
-        total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-        nodes = nodes.withColumn("drawn", _left_draw(F.col("counts"), ((total + F.pmod("shard", F.lit(2))) / 2).cast("long"), F.struct(F.lit(SEED), F.lit(level), F.col("shard"))))
-        halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("drawn").alias("counts")), F.struct((F.col("shard") * 2 + 1).alias("shard"), F.zip_with("counts", "drawn", lambda a, b: a - b).alias("counts")))
+        left = ((_total(F.col("counts")) + F.pmod("shard", F.lit(2))) / 2).cast("long")
+        drawn = _left_draw(F.col("counts"), left, F.struct(F.lit(SEED), F.lit(level), F.col("shard")))
+        right = lambda d: F.zip_with("counts", d, lambda a, b: F.struct(a["at"].alias("at"), (a["n"] - b["n"]).alias("n")))
+        halves = _bound({"drawn": drawn}, lambda x: F.array(F.struct((F.col("shard") * 2).alias("shard"), some(x["drawn"]).alias("counts")), F.struct((F.col("shard") * 2 + 1).alias("shard"), some(right(x["drawn"])).alias("counts"))))
         nodes = materialize(nodes.select(F.inline(halves)).repartition(min(2 ** (level + 1), 64)), f"tree{level}") if level % 4 == 3 else nodes.select(F.inline(halves))
     return nodes
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 65_536, shard_blocks: int = 64) -> DataFrame:
-    """The plan of a mix, a row for each row of docs: doc_id, source, size, source_size, target, placements and taken.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 65_536, shard_blocks: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The plan of a mix, a row for each row of docs: doc_id, source, the columns of `carry`, size, source_size, target, placements and taken.
 
     docs needs doc_id, source and text. size counts words of the whole text (null: 0); a source's target
     is source_targets'. The documents of a source are permuted by a seeded hash and cut into blocks of about
     block_words words; whole passes over the source and a prefix of one more pass make up its target, the
     last document being taken when its middle lies before the target. A splitting tree deals the block quotas
     to shards; each shard draws disjoint blocks of each source, and a document's placements are an array of
-    (copy, shard, rank) with rank a seeded local shuffle key. taken is size times the number of placements.
+    (copy, shard, rank), one for each drawn block that it stands in, with rank a seeded local shuffle key. taken is size times the
+    number of placements: what no shard draws is not taken.
 
     Null and empty texts have size 0: they are taken as often as words at their place are, which adds none.
     Null sources are one source, last. Repeated rows are dealt each for itself. No rows give no rows.
     Other columns of docs are not read; write_mix joins them.
     """
-    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry)
     slim = materialize(slim, "sizes")
     targets = materialize(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     # one row a source, as the mix's own statement: its number is checked before it is sent to all tasks
     quotas = targets.withColumn("blocks", F.ceil(F.col("target") / block_words)).agg(F.array_sort(F.collect_list(F.struct("source", "blocks"))).alias("by_source"))
     row = targets.agg(F.count("*").alias("sources"), F.coalesce(F.sum(F.ceil(F.col("target") / block_words)), F.lit(0)).alias("blocks")).first()
     levels = max(0, (max(1, int(row["blocks"])) // shard_blocks).bit_length())
-    leaves = splitting_tree(quotas.select(F.transform("by_source", lambda x: x["blocks"].cast("long")).alias("counts")), levels)
+    counts = F.transform("by_source", lambda x, i: F.struct(i.alias("at"), x["blocks"].cast("long").alias("n")))
+    leaves = splitting_tree(quotas.select(counts.alias("counts")), levels)
     order = Window.partitionBy("at").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     names = quotas.select(F.posexplode("by_source").alias("at", "s")).select("at", F.col("s.source").alias("source"))
     drawn = (
-        leaves.select("shard", F.posexplode("counts").alias("at", "n"))
+        leaves.select("shard", F.inline("counts"))
         .withColumn("from", F.coalesce(F.sum("n").over(order), F.lit(0)))
         .where("n > 0")
         .select("at", "shard", F.explode(F.sequence("from", F.col("from") + F.col("n") - 1)).alias("slot"))
@@ -146,17 +197,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         placed = (
             placed.withColumn("block", F.when(wanted, F.floor(place / block_words)))
             .join(found, ["has_source", "no_source", "block"], "left")
-            .withColumn(f"place{copy}", F.when(wanted, F.struct(F.lit(copy).alias("copy"), F.col(f"shard{copy}").alias("shard"), rank.alias("rank"))))
+            .withColumn(f"place{copy}", F.when(F.col(f"shard{copy}").isNotNull(), F.struct(F.lit(copy).alias("copy"), F.col(f"shard{copy}").alias("shard"), rank.alias("rank"))))
             .drop("block", f"shard{copy}")
         )
     found = F.filter(F.array(*[F.col(f"place{c}") for c in range(int(-(-most // 1)))]), lambda x: x.isNotNull())
-    return placed.select("doc_id", "source", "size", "source_size", "target", found.alias("placements")).withColumn("taken", F.col("size") * F.size("placements"))
+    return placed.select("doc_id", "source", *carry, "size", "source_size", "target", found.alias("placements")).withColumn("taken", F.col("size") * F.size("placements"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The mixed corpus, a row for each placement of a document: shard, rank, copy, doc_id, source, text, size, source_size, target and taken (words of this row).
+
+    A shard's rows come together, in the order of their local shuffle. Rows are known by a number that is written with them, so
+    null and repeated ids and repeated rows are placed each for itself. Documents that no shard draws are left out. how: mix's parameters.
+    """
+    held = materialize(docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row_id")), "mix-documents")
+    plan = mix(held, carry=("row_id",), **how)
+    placed = plan.select("row_id", "size", "source_size", "target", F.inline("placements"))
+    rows = placed.join(held, "row_id").select("shard", "rank", "copy", "doc_id", "source", "text", "size", "source_size", "target", F.col("size").alias("taken"))
+    return rows.repartition("shard").sortWithinPartitions("shard", "rank", "copy", "doc_id")
 
 
-def write_mix(plan: DataFrame, docs: DataFrame, path: str, shards: int) -> None:
-    """Writes the texts of a mix: one row a placement, a shard's rows together and in the order of their local shuffle."""
-    rows = plan.select("doc_id", F.inline("placements")).join(docs, "doc_id")
-    rows.repartition(shards, "shard").sortWithinPartitions("shard", "rank").write.parquet(path)
+def write_mix(docs: DataFrame, path: str, **how) -> None:
+    """Writes mixed() as Parquet: a shard's rows in one file, in order."""
+    mixed(docs, **how).write.parquet(path)
 
 
 #: The mix in DuckDB SQL over a relation named {docs}, with the default weights, share and limit.
@@ -191,6 +254,5 @@ FROM placed
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the plan of the mix of what is left, a row a document: doc_id, source, size, source_size, target, taken, copies and the shards they go to."""
-    plan = mix(docs)
-    return plan.select("doc_id", "source", "size", "source_size", "target", "taken", F.size("placements").alias("copies"), F.array_join(F.transform("placements", lambda p: p["shard"].cast("string")), ",").alias("shards"))
+    """Pipeline stage: the mixed corpus of what is left, by mixed(), in smaller shards so that many tasks write it. Empty and null texts have no words and may be placed, adding none."""
+    return mixed(docs, shard_blocks=16)

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline
 from tessera.llm.decontaminate import find_leaks
 
@@ -25,8 +27,11 @@ def test_stages_on_what_is_left(spark):
         docs, left = out, [*left, len(ids)]
     assert left == sorted(left, reverse=True) and left[-1] > 0.5 * left[0]
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
-    assert len(mixed) == left[-1]
-    assert sum(r.taken for r in mixed) > 1.4 * sum(r.size for r in mixed)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    size = {i: len((t or "").split()) for i, t in texts.items()}
+    assert all(r.text == texts[r.doc_id] and r.taken == r.size == size[r.doc_id] for r in mixed)
+    assert sum(r.taken for r in mixed) > 1.4 * sum(size.values())
+    assert max(Counter(r.doc_id for r in mixed).values()) == 2
 
 
 def test_empty_documents(spark):
