@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, text_buffers, text_chunks, whole_groups
+from tessera.llm.common import materialize, mix, text_buffers, text_chunks, whole_groups
 from tessera.llm.graph import components
 
 #: Bits of the three blocks of a fingerprint: of two differing bits none falls into one of the blocks at least.
@@ -20,23 +20,30 @@ GROUP_CAP = 65_536
 STEP_BITS = 10
 #: Node pairs that one pass of the traversal holds at most; the rest waits.
 FRONTIER = 200_000
+#: Near copies: words of a shingle, least similarity of their sets, differing bits that a candidate may have (a pair at the least similarity has 9.8 of 64 expected).
+WORDS, SIMILARITY, NEAR_BITS = 5, 0.8, 16
+#: Bands that near copies enter the trie by, and minima in one: a pair at 0.8 shares none of 16 x 4 once in 4,600.
+BANDS, MINIMA = 16, 4
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """64-bit SimHash of a text: a bit is 1 if it is set in over half the XXH64 hashes (seed 42) of its word shingles."""
-    found = text.lower().split()
+def shingle_hashes(found: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 hashes (seed 42) of the word shingles, space-joined; fewer words are one shingle, none give none."""
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     if len(found) < shingle:
-        hashed = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.cumsum(lengths + 1) - 1
-        first, last = (ends - lengths)[: len(found) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashed = [digest(joined[a:b], 42) for a, b in zip(first, last, strict=True)]
-    values = np.array(hashed, np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(lengths + 1) - 1
+    first, last = (ends - lengths)[: len(found) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], 42) for a, b in zip(first, last, strict=True)], np.uint64)
+
+
+def majority(values: np.ndarray) -> int:
+    """64 bits, each 1 if it is set in over half the values."""
+    if not len(values):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(values), 65_536):
         part = values[at : at + 65_536]
@@ -44,6 +51,11 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(values), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """64-bit SimHash of a text: a bit is 1 if it is set in over half the XXH64 hashes (seed 42) of its word shingles."""
+    return majority(shingle_hashes(text.lower().split(), shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the string columns of `carry` and fp (the fingerprint's bits as a signed long) of every row; null and empty texts have 0."""
 
@@ -59,13 +71,15 @@ def fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ())
     return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} string" for c in carry), "fp long"]))
 
 
-def trie_pairs(values: np.ndarray, roots: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], bits: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_pairs(values: np.ndarray, roots: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], bits: int, budget: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of values within budget differing bits, by traversing pairs of binary trie nodes together.
 
     values: uint64, sorted within each root, so that a trie node is a range of them. roots: the ranges
     (a from, a to, b from, b to) of the node pairs to start from; equal ranges are a node paired with
     itself. Going down a bit, a pair becomes the pairs of its children; a 0 with a 1 costs one differing bit,
     and a pair over the budget is dropped with all below it. Two single leaves are compared at once.
+    label (values distinct within a root, equal labels: joined already): only pairs that join what was apart are returned, labels
+    become those of the joined, and node pairs that hold one label alone are dropped.
     """
     zeros = [np.concatenate(([0], np.cumsum((values >> np.uint64(d)) & np.uint64(1) == 0))) for d in range(bits)]
     out_a, out_b = [], []
@@ -73,14 +87,21 @@ def trie_pairs(values: np.ndarray, roots: tuple[np.ndarray, np.ndarray, np.ndarr
     while waiting:
         d, al, ah, bl, bh, cost = waiting.pop()
         same = al == bl
+        if label is not None:
+            steps = np.concatenate(([0, 0], np.cumsum(label[1:] != label[:-1])))  # steps[i + 1]: changes of label up to i
+            some = (ah > al) & (bh > bl)
+            la, lb = label[np.minimum(al, len(label) - 1)], label[np.minimum(bl, len(label) - 1)]
+            open_ = some & ~((la == lb) & (steps[ah] == steps[np.minimum(al + 1, len(label))]) & (steps[bh] == steps[np.minimum(bl + 1, len(label))]))
+            al, ah, bl, bh, cost, same = (v[open_] for v in (al, ah, bl, bh, cost, same))
         kept = (ah > al) & (bh > bl) & ~(same & (ah - al == 1))
         single = kept & (ah - al == 1) & (bh - bl == 1)
         if single.any():
             x, y = al[single], bl[single]
             low = np.uint64((1 << max(d + 1, 0)) - 1)
             near = np.bitwise_count((values[x] ^ values[y]) & low) + cost[single] <= budget
-            out_a.append(x[near])
-            out_b.append(y[near])
+            x, y = (x[near], y[near]) if label is None else joining(label, x[near], y[near])
+            out_a.append(x)
+            out_b.append(y)
         rest = kept & ~single
         if not rest.any():
             continue
@@ -106,6 +127,26 @@ def trie_pairs(values: np.ndarray, roots: tuple[np.ndarray, np.ndarray, np.ndarr
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def joining(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (x, y) a forest that joins labels that were apart; label is changed to the joined ones' least."""
+    out_x, out_y = [x[:0]], [y[:0]]
+    while len(x):
+        lx, ly = label[x], label[y]
+        apart = np.flatnonzero(lx != ly)
+        if not len(apart):
+            break
+        x, y, high, low = x[apart], y[apart], np.maximum(lx[apart], ly[apart]), np.minimum(lx[apart], ly[apart])
+        moved, pick = np.unique(high, return_index=True)  # each label goes to one lower label: no cycle
+        out_x.append(x[pick])
+        out_y.append(y[pick])
+        to = np.arange(len(label))
+        to[moved] = low[pick]
+        while not np.array_equal(to, deeper := to[to]):
+            to = deeper
+        label[:] = to[label]
+    return np.concatenate(out_x), np.concatenate(out_y)
+
+
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least index that each of n nodes reaches over the edges (a, b)."""
     label = np.arange(n)
@@ -205,15 +246,124 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataF
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def minima(values: np.ndarray) -> np.ndarray:
+    """BANDS hashes of MINIMA least values each: the values are dealt to bins by a hash, the least of each bin counts; an empty bin takes the next one's."""
+    mixed = np.sort(mix(values ^ np.uint64(0x5DEECE66D)))
+    bins = BANDS * MINIMA
+    at = np.searchsorted(mixed, np.arange(bins, dtype=np.uint64) << np.uint64(64 - bins.bit_length() + 1))
+    full = np.flatnonzero(np.diff(np.append(at, len(mixed))) > 0)
+    take = np.searchsorted(full, np.arange(bins))
+    least = mixed[at[full[take % len(full)]]] + ((take >= len(full)) * bins + full[take % len(full)] - np.arange(bins)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        powers = np.uint64(0x100000001B3) ** np.arange(MINIMA, dtype=np.uint64)
+        return mix((mix(least).reshape(BANDS, MINIMA) * powers).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+
+
+def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row: a digest of its words, the SimHash of its shingles and its band hashes."""
+    for batch in text_chunks(batches):
+        raw, starts = text_buffers(batch.column("text"))
+        whole, at = raw.tobytes(), starts.tolist()
+        digests, fps, bands = [], [], []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            found = whole[a:b].lower().split()
+            values = shingle_hashes(found, WORDS)
+            digests.append(xxhash.xxh3_128_digest(b" ".join(found)))
+            fps.append(majority(values))
+            bands.append(minima(values) if len(values) else np.zeros(BANDS, np.uint64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], ["doc_id", "row_key", "digest", "fp", "bands"])
+
+
+def _band_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges between the texts of a band that the trie join finds, closest first, as forests."""
+    for part in whole_groups(batches, "key"):
+        key, fp, c = part.column("key").to_numpy(), part.column("fp").to_numpy().view(np.uint64), part.column("c").to_numpy()
+        order = np.lexsort((fp, key))
+        key, fp, c = key[order], fp[order], c[order]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
+        head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        again = np.flatnonzero(~fresh)
+        u, v = [c[again]], [c[head[again]]]  # equal fingerprints are one leaf
+        key, fp, c = key[fresh], fp[fresh], c[fresh]
+        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        ends = np.append(cut[1:], len(key))
+        more = ends - cut > 1
+        label = np.arange(len(key))
+        for budget in (2, 5, 8, 11, NEAR_BITS):
+            a, b = trie_pairs(fp, (cut[more], ends[more], cut[more], ends[more]), 64, budget, label)
+            u.append(c[a])
+            v.append(c[b])
+        u, v = np.concatenate(u), np.concatenate(v)
+        apart = u != v
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)[apart]), pa.array(np.minimum(u, v)[apart])], ["u", "v"])
+
+
+def _dealt(rows: DataFrame, cap: int) -> DataFrame:
+    """rows (key, ...) with the keys of more than cap rows replaced: their rows are dealt to parts, and each pair of parts is a group of its own, so no group is unbounded and no pair is lost."""
+    sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap).withColumn("parts", F.ceil(2 * F.col("n") / cap).cast("long")), "hot-bands")
+    if sizes.isEmpty():
+        return rows
+    own = F.pmod(F.xxhash64("c"), F.col("parts"))
+    hot = rows.join(sizes.select("key", "parts"), "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    hot = hot.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select(*rows.columns)
+    return rows.join(sizes.select("key"), "key", "left_anti").select(*rows.columns).unionByName(hot)
+
+
+def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingle hashes of a text, sorted."""
+    for batch in text_chunks(batches):
+        raw, starts = text_buffers(batch.column("text"))
+        whole, at = raw.tobytes(), starts.tolist()
+        sets = [np.unique(shingle_hashes(whole[a:b].lower().split(), WORDS)).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(sets, pa.binary())], ["c", "shingles"])
+
+
+def _similar(least: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                if min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x):
+                    both = np.sort(np.concatenate((x, y)))
+                    shared = int((both[1:] == both[:-1]).sum())
+                    kept[i] = shared >= least * (len(x) + len(y) - shared)
+            yield batch.select(["u", "v"]).filter(pa.array(kept))
+
+    return run
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """row_key (a digest of id and text) and group of each row of docs (doc_id, row_key, text) that is kept: one of each group of near copies.
+
+    Rows with the same words (lower case) are one text. Texts whose WORDS-word shingle sets have a similarity of at least `similarity`
+    are linked: texts that share a band of least shingle hashes enter the trie of their SimHash fingerprints together, its self-join
+    finds those within NEAR_BITS bits, closest first, and the shingles of a pair found are compared exactly. A group is what
+    links reach; of it the row with the least id stays, null last, then the least row_key. Rows without words are one text.
+    """
+    sketch = docs.select("doc_id", "row_key", "text").mapInArrow(_sketched, "doc_id long, row_key string, digest binary, fp long, bands array<long>")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    texts = sketch.groupBy("digest").agg(F.min(first).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("c"), "first", "fp", "bands"), "near-texts")
+    bands = texts.select("c", "fp", F.explode("bands").alias("key"))
+    found = _dealt(bands, GROUP_CAP).repartition("key").sortWithinPartitions("key").mapInArrow(_band_links, "u long, v long")
+    edges = materialize(found.distinct(), "near-edges")
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(texts, "c").select("c", "first.row_key")
+    sets = materialize(docs.select("row_key", "text").join(nodes, "row_key").dropDuplicates(["c"]).select("c", "text").mapInArrow(_sets, "c long, shingles binary"), "near-shingles")
+    pairs = edges.join(sets.select(F.col("c").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("c").alias("v"), F.col("shingles").alias("b")), "v")
+    roots = components(pairs.select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u long, v long"))
+    grouped = texts.join(roots.withColumnRenamed("node", "c"), "c", "left").groupBy(F.coalesce("root", "c").alias("group")).agg(F.min("first").alias("first"))
+    return grouped.select("first.row_key", "group")
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each near-duplicate group the row with the least id stays, of rows with that id (null last) the one with the least digest.
+    """Pipeline stage: of each group of near copies (near_copies) the row with the least id stays, of rows with that id (null last) the one with the least digest.
 
     A row is known by a digest of its id and text, so rows without an id, or with one id and different texts, stand for themselves.
+    Rows without words are one group. Other columns, whatever their names, are carried packed. No rows give no rows.
     """
     digest = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256)
-    keyed = docs.withColumn("row_key", digest)
-    fps = materialize(fingerprints(keyed, carry=("row_key",)), "fingerprints")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    classes = fps.groupBy("fp").agg(F.min(first).alias("first"))
-    kept = _rooted(classes, 2).groupBy("root").agg(F.min("first").alias("first")).select("first.row_key")
-    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("row_key"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = near_copies(keyed.select("doc_id", "row_key", "text"))
+    return keyed.select("row_key", "row").join(kept.select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row.*")
