@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 
@@ -77,3 +78,78 @@ def test_hot_groups_are_dealt_anew(spark, monkeypatch):
             p, q = sorted((find(x), find(y)))
             root[q] = p
     assert {f: roots.get(f, f) for f in signed} == {f: find(f) for f in signed}
+
+
+def varied(rng, groups=12):
+    """(doc_id, text) rows: originals, near copies with some words changed, and texts of their own."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for _ in range(groups):
+        base = [word() for _ in range(rng.choice((60, 200, 500)))]
+        for _ in range(rng.randrange(1, 9)):
+            new = list(base)
+            for _ in range(rng.choice((0, 1, 2, 4, 12))):
+                new[rng.randrange(len(new))] = word()
+            rows.append(" ".join(new))
+        rows.append(" ".join(base).upper())
+    rows += [" ".join(word() for _ in range(n)) for n in (0, 1, 2, 4, 5, 80, 300)] + [None, "", " \n"]
+    rng.shuffle(rows)
+    return [(i, t) for i, t in enumerate(rows)]
+
+
+def groups_at(rows, similarity=0.8):
+    """The groups that links of five-word shingle similarity reach, by all pairs."""
+    sets = {i: set(simhash.shingle_hashes((t or "").encode().lower().split(), 5).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        shared = len(sets[a] & sets[b])
+        if sets[a] == sets[b] or (shared and shared >= similarity * len(sets[a] | sets[b])):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {find(i) for i in sets}
+
+
+def test_stage_keeps_one_of_each_group_of_near_copies(spark, monkeypatch):
+    rows = varied(random.Random(21))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for cap in (simhash.GROUP_CAP, 4):
+        monkeypatch.setattr(simhash, "GROUP_CAP", cap)
+        assert {r.doc_id for r in simhash.stage(spark, df, "").collect()} == groups_at(rows)
+    assert simhash.stage(spark, df.limit(0), "").count() == 0
+
+
+def test_stage_recall_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    kept, want = {r.doc_id for r in simhash.stage(spark, docs, "").collect()}, groups_at(rows)
+    gone = {i for i, _ in rows} - want
+    assert want <= kept and len(gone - kept) >= 0.98 * len(gone)
+
+
+def test_stage_carries_clashing_columns(spark):
+    rows = [(1, "a b c", "x", 1, None, 2.5), (2, "a B c", "y", 2, True, None), (3, "d", "z", 3, False, 0.0)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, kept_id string, row_key long, row boolean, digest double")
+    out = simhash.stage(spark, df, "")
+    assert out.schema == df.schema
+    assert sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
+
+
+def test_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(6)
+    centres = rng.integers(0, 1 << 63, 6, np.uint64)
+    values = np.unique(np.array([c ^ np.uint64(sum(1 << int(b) for b in set(rng.integers(0, 64, 8).tolist()))) for c in centres for _ in range(40)], np.uint64))
+    for budget in (3, 9, 16):
+        label = np.arange(len(values))
+        whole = (np.array([0]), np.array([len(values)])) * 2
+        a, b = simhash.trie_pairs(values, whole, 64, budget, label)
+        assert all(bin(int(values[x] ^ values[y])).count("1") <= budget for x, y in zip(a, b, strict=True))
+        x, y = simhash.trie_pairs(values, whole, 64, budget)
+        want = simhash.spanning(len(values), x, y)
+        assert len(a) == len(values) - len(set(want.tolist()))
+        assert np.array_equal(simhash.spanning(len(values), a, b), want)
