@@ -13,8 +13,6 @@ from tessera.operators.predicates import filter_tags_overlap, filter_type
 # Words that are not indexed; positions count them all the same.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 TERM = r"[\p{L}\p{N}]+"
-#: Terms of a query that a rank looks at; more make no cover likelier.
-MOST_TERMS = 8
 
 
 def terms_of(text: str) -> list[str]:
@@ -32,16 +30,17 @@ def _wanted(index: DataFrame, terms: DataFrame) -> DataFrame:
     return index.join(terms, "term")
 
 
-def query_terms(queries: DataFrame, text: str = "query", most: int = MOST_TERMS) -> DataFrame:
-    """The first distinct terms of each query, numbered from 0."""
+def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
+    """The distinct terms of each query, numbered from 0."""
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda w: ~w.isin(*STOP)))
-    return queries.select("query_id", F.posexplode(F.slice(words, 1, most)).alias("term_no", "term"))
+    return queries.select("query_id", F.posexplode(words).alias("term_no", "term"))
 
 
 def match_all_terms(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, id) of the rows that have every term of the query."""
+    """(query_id, id) of the rows that have every term of the query, however many these are."""
     need = terms.groupBy("query_id").agg(F.count("*").alias("n"))
-    have = _wanted(index, terms).groupBy("query_id", "id").agg(F.countDistinct("term").alias("have"))
+    once = _wanted(index.select("id", "term").distinct(), terms)
+    have = once.groupBy("query_id", "id").agg(F.count("*").alias("have"))
     return have.join(need, "query_id").where("have = n").select("query_id", "id")
 
 
@@ -56,17 +55,23 @@ def text_rank(index: DataFrame, terms: DataFrame) -> DataFrame:
 def text_rank_cd(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, id, text_rank) by cover density: each minimal span that holds all terms adds 0.1 / (1 + words in it that are none).
 
-    Going through a text's postings, the last place of every term bounds the span that ends here; it is minimal
-    if it starts later than the one before.
+    Only rows with all terms have a span. Their postings are folded in order: the last place of every term bounds the span that ends
+    at a place; it is minimal if it starts later than the one before. Any number of terms is looked at.
     """
     need = terms.groupBy("query_id").agg(F.count("*").alias("n"))
-    rows = _wanted(index, terms).join(need, "query_id")
-    by = Window.partitionBy("query_id", "id").orderBy("pos")
-    far = F.lit(1 << 40).cast("long")
-    start = F.least(*[F.when(F.col("n") > t, F.coalesce(F.last(F.when(F.col("term_no") == t, F.col("pos")), ignorenulls=True).over(by), F.lit(-1))).otherwise(far) for t in range(MOST_TERMS)])
-    spans = rows.withColumn("start", start).withColumn("before", F.coalesce(F.lag("start").over(by), F.lit(-1))).where("start >= 0 AND start > before")
-    noise = F.col("pos") - F.col("start") + 1 - F.col("n")
-    return spans.groupBy("query_id", "id").agg(F.sum(0.1 / (1 + noise)).alias("text_rank"))
+    whole = match_all_terms(index, terms).join(need, "query_id")
+    rows = _wanted(index, terms).join(whole, ["query_id", "id"])
+    places = rows.groupBy("query_id", "id", "n").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "term_no"))).alias("places"))
+    begin = F.struct(F.array_repeat(F.lit(-1).cast("long"), F.col("n").cast("int")).alias("last"), F.lit(-1).cast("long").alias("before"), F.lit(0.0).alias("rank"))
+
+    def place(s: Column, p: Column) -> Column:
+        last = F.transform(s["last"], lambda x, i: F.when(i == p["term_no"], p["pos"]).otherwise(x))
+        start = F.array_min(last)
+        minimal = (start >= 0) & (start > s["before"])
+        more = F.when(minimal, 0.1 / (1 + p["pos"] - start + 1 - F.col("n"))).otherwise(0.0)
+        return F.struct(last.alias("last"), F.greatest(start, s["before"]).alias("before"), (s["rank"] + more).alias("rank"))
+
+    return places.select("query_id", "id", F.aggregate("places", begin, place)["rank"].alias("text_rank"))
 
 
 def parse_websearch(query: str) -> list[list[tuple[bool, list[str]]]]:

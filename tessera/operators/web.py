@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 from tessera.operators.joins import existing_doc_lookup, no_active_job
 from tessera.operators.windows import latest_version
+from tessera.sources.scratch import shared_root
 
 SKIPPED = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside"}
 MAIN = {"article", "main"}
@@ -104,7 +105,7 @@ def read_page(url: str, html: str) -> dict:
         "published": _date(m("article:published_time", ""), m("date", ""), *page.times),
         "content": text,
         "html": (html or "")[:100_000],
-        "links": list(dict.fromkeys(links))[:100],
+        "links": list(dict.fromkeys(links)),
         "images": images[:20],
     }
 
@@ -145,7 +146,7 @@ def filter_normalize_urls(links: DataFrame, include: list[str] | None = None, ex
     return kept.select("base_url", F.regexp_replace("url", "#.*$", "").alias("url")).distinct()
 
 
-def robots_rules(robots: DataFrame, agent: str = "kms-crawler", legacy: bool = False) -> DataFrame:
+def robots_rules(robots: DataFrame, agent: str = "corpus-crawler", legacy: bool = False) -> DataFrame:
     """robots (host, content) as rules (host, kind, value): disallow prefixes, crawl_delay in milliseconds and sitemaps that hold for any agent or our own.
 
     legacy: paths are lower-cased and a sitemap only counts outside a group that holds, up to its first colon.
@@ -163,7 +164,7 @@ def robots_rules(robots: DataFrame, agent: str = "kms-crawler", legacy: bool = F
     return out.where("NOT (kind = 'disallow' AND value = '/')") if legacy else out
 
 
-def robots_filter(urls: DataFrame, robots: DataFrame, agent: str = "kms-crawler", legacy: bool = False) -> DataFrame:
+def robots_filter(urls: DataFrame, robots: DataFrame, agent: str = "corpus-crawler", legacy: bool = False) -> DataFrame:
     """URLs whose path no disallowed prefix of their host starts."""
     rules = robots_rules(robots, agent, legacy).where("kind = 'disallow'").select("host", F.col("value").alias("prefix"))
     path = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1)
@@ -179,12 +180,10 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, max_p
     """
     spark = edges.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     start = Window.orderBy("url")
-    level = seeds.select("url").distinct().withColumn("depth", F.lit(0)).withColumn("parent", F.lit(None).cast("string")).withColumn("place", F.row_number().over(start).cast("long"))
-    level = level.where(F.col("place") <= max_pages).checkpoint()
+    # max_pages seeds at most are left before they are numbered
+    level = seeds.select("url").distinct().orderBy("url").limit(max_pages).withColumn("depth", F.lit(0)).withColumn("parent", F.lit(None).cast("string")).withColumn("place", F.row_number().over(start).cast("long")).checkpoint()
     seen, known = level, level.count()
     for depth in range(1, max_depth + 1):
         if known >= max_pages:

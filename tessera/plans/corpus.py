@@ -23,21 +23,21 @@ query("S2_count_exact", "SELECT count(*) AS n FROM kb_documents WHERE transcript
 
 
 def uploads(t: Tables) -> DataFrame:
-    """Parts of uploads: the documents of a session of their own each, but for every eleventh, which is missing."""
-    name = F.concat(F.lit("/in/chunks/s"), (F.col("doc_id") % 20).cast("string"), F.lit("/chunk_"), F.lpad(F.floor(F.col("doc_id") / 20).cast("string"), 6, "0"))
-    return t("documents").where("doc_id % 11 <> 10").select(name.alias("path"), F.col("text").alias("content"))
+    """Parts of uploads: twenty documents a session, but for every 37th, which is missing."""
+    name = F.concat(F.lit("/in/chunks/s"), F.floor(F.col("doc_id") / 20).cast("string"), F.lit("/chunk_"), F.lpad((F.col("doc_id") % 20).cast("string"), 6, "0"))
+    return t("documents").where("doc_id % 37 <> 36").select(name.alias("path"), F.col("text").alias("content"))
 
 
 def promised(t: Tables) -> DataFrame:
-    return t("documents").groupBy(F.concat(F.lit("s"), (F.col("doc_id") % 20).cast("string")).alias("session")).agg((F.max(F.floor(F.col("doc_id") / 20)) + 1).alias("expected"))
+    return t("documents").groupBy(F.concat(F.lit("s"), F.floor(F.col("doc_id") / 20).cast("string")).alias("session")).agg((F.max(F.col("doc_id") % 20) + 1).alias("expected"))
 
 
-PARTS = "SELECT concat('s', cast(doc_id % 20 AS varchar)) AS session, doc_id // 20 AS part, doc_id % 11 <> 10 AS there, text FROM documents"
+PARTS = "SELECT concat('s', cast(doc_id // 20 AS varchar)) AS session, doc_id % 20 AS part, doc_id % 37 <> 36 AS there, text FROM documents"
 query("S3_blob_manifest", f"SELECT session, cast(count(*) FILTER (WHERE there) AS int) AS found, cast(max(part) + 1 AS bigint) AS expected, bool_and(there) AS complete, coalesce(string_agg(cast(part AS varchar), ',' ORDER BY part) FILTER (WHERE NOT there), '') AS missing FROM ({PARTS}) GROUP BY 1")(
     lambda t: S.blob_manifest(uploads(t), promised(t)).withColumn("missing", F.array_join(F.transform("missing", lambda x: x.cast("string")), ","))
 )
-query("S4_blob_reassemble", f"SELECT session, CASE WHEN bool_and(there) THEN sha256(string_agg(text, '' ORDER BY part)) END AS digest, CASE WHEN bool_and(there) THEN 'completed' ELSE 'error' END AS status FROM ({PARTS.replace('% 11 <> 10', '% 29 <> 28')}) GROUP BY 1")(
-    lambda t: S.blob_reassemble(t("documents").where("doc_id % 29 <> 28").select(F.concat(F.lit("chunks/s"), (F.col("doc_id") % 20).cast("string"), F.lit("/chunk_"), F.lpad(F.floor(F.col("doc_id") / 20).cast("string"), 6, "0")).alias("path"), F.col("text").alias("content")), promised(t)).select("session", F.sha2("content", 256).alias("digest"), "status")
+query("S4_blob_reassemble", f"SELECT session, CASE WHEN bool_and(there) THEN sha256(string_agg(text, '' ORDER BY part)) END AS digest, CASE WHEN bool_and(there) THEN 'completed' ELSE 'error' END AS status FROM ({PARTS.replace('% 37 <> 36', '% 29 <> 28')}) GROUP BY 1")(
+    lambda t: S.blob_reassemble(t("documents").where("doc_id % 29 <> 28").select(F.concat(F.lit("chunks/s"), F.floor(F.col("doc_id") / 20).cast("string"), F.lit("/chunk_"), F.lpad((F.col("doc_id") % 20).cast("string"), 6, "0")).alias("path"), F.col("text").alias("content")), promised(t)).select("session", F.sha2("content", 256).alias("digest"), "status")
 )
 query("S5_text_ingest", "SELECT id, regexp_extract(lower(file_path), '(\\.[^./]+)$', 1) AS ext, CASE WHEN lower(file_path) LIKE '%.txt' OR lower(file_path) LIKE '%.md' THEN length(trim(content_text)) END AS n, CASE WHEN lower(file_path) LIKE '%.txt' OR lower(file_path) LIKE '%.md' THEN 'completed' ELSE 'error' END AS status FROM kb_documents WHERE content_text IS NOT NULL")(
     lambda t: S.text_ingest(t("kb_documents").where("content_text IS NOT NULL").select("id", F.col("file_path").alias("path"), F.col("content_text").alias("content"))).select("id", "ext", F.length("content_text").cast("long").alias("n"), "status")
@@ -89,7 +89,8 @@ query("S17_schema_evolve", "SELECT id, title, 0 AS chunk_total, 1e0 AS relevance
 query("S18_ingest_pipeline")(lambda t: S.ingest_pipeline(t("kb_documents"), hashed_embedder(), AS_OF)[0].select("id", "transcription_status", "chunk_count", "processing_error", F.col("embedding").isNotNull().alias("own_vector")))
 
 query("T8_split_sections")(lambda t: X.split_sections(t("documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", r"(?m)^(\S+)\.$", "# $1").alias("content_text"))).select("id", "section", "title", F.length("body").alias("n_chars")))
-query("T9_pack_paragraphs", "SELECT doc_id AS id, 0 AS section, length(text) AS n_chars FROM documents WHERE text <> '' AND NOT contains(text, chr(10) || chr(10))")(lambda t: X.pack_paragraphs(t("documents").where("text <> '' AND NOT contains(text, '\\n\\n')").select(F.col("doc_id").alias("id"), F.col("text").alias("content_text"))).select("id", "section", F.length("body").cast("long").alias("n_chars")))
+# each line of a text is a paragraph, so that there is something to pack; packing is a fold, tested against brute force
+query("T9_pack_paragraphs")(lambda t: X.pack_paragraphs(t("documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "\n", "\n\n").alias("content_text"))).select("id", "section", F.length("body").cast("long").alias("n_chars"), F.sha2("body", 256).alias("digest")))
 query("T10_chunk_section")(lambda t: X.chunk_section(t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))).select("document_id", "chunk_index", "token_count", F.length("chunk_text").alias("n_chars")))
 query("T11_chunk_type", "SELECT doc_id, CASE WHEN regexp_matches(text, '```(.|\\n)*```') OR regexp_matches(text, '(?m)^\\s*(function|class|def|interface|const|let|var)\\s+') THEN 'code' WHEN regexp_matches(text, '\\|.*\\|.*\\|') OR regexp_matches(text, '(?m)^\\s*\\+[-+]+\\+\\s*$') THEN 'table' WHEN regexp_matches(text, '(?m)^\\s*[-*+•]\\s+') OR regexp_matches(text, '(?m)^\\s*\\d+\\.\\s+') THEN 'list' ELSE 'text' END AS kind FROM documents")(lambda t: t("documents").select("doc_id", C.chunk_type("text").alias("kind")))
 query("T12_chunk_documents")(lambda t: X.chunk_documents(t("kb_documents")).select("document_id", "chunk_index", "token_count", "chunk_type", F.sha2("chunk_text", 256).alias("digest")))

@@ -38,15 +38,15 @@ FROM events WHERE event_type IN ('click', 'view')""",
   CASE WHEN page_id % 4 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' + page_id * INTERVAL '1' HOUR END AS last_crawled,
   CASE WHEN page_id % 6 = 0 THEN NULL ELSE TIMESTAMP '2024-01-25 00:00:00' + page_id * INTERVAL '1' HOUR END AS next_crawl
 FROM pages""",
-    "kb_crawl_jobs": """SELECT event_id AS id, event_id % 250 AS source_id,
+    "kb_crawl_jobs": """SELECT event_id AS id, cast(floor(event_id / 8.0E0) AS bigint) AS source_id,
   CASE WHEN event_id % 97 = 0 THEN 'running' WHEN event_id % 89 = 0 THEN 'pending' WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status,
   ts AS created_at, event_id % 40 AS pages_crawled
-FROM events WHERE event_id < 2000""",
+FROM events""",
     "kb_pages": """SELECT page_id AS id, page_id % 40 AS source_id, url, html AS content_text,
   CASE page_id % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'error' WHEN 2 THEN 'skipped' ELSE 'completed' END AS processing_status,
   TIMESTAMP '2024-01-01 00:00:00' + page_id * INTERVAL '1' MINUTE AS crawled_at
 FROM pages""",
-    "kb_versions": """SELECT doc_id % 200 AS page_id, cast(floor(doc_id / 200.0E0) AS bigint) + 1 AS version_number, text AS content_text, length(text) AS content_length
+    "kb_versions": """SELECT cast(floor(doc_id / 5.0E0) AS bigint) AS page_id, doc_id % 5 + 1 AS version_number, text AS content_text, length(text) AS content_length
 FROM documents""",
     "kb_metrics": """SELECT event_id AS id, ts, event_type AS name, value, CASE WHEN event_type = 'view' THEN 'count' ELSE 'ms' END AS unit, concat('component_', cast(user_id % 5 AS varchar(20))) AS component
 FROM events""",

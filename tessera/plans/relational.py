@@ -64,8 +64,8 @@ LEFT JOIN (SELECT source_id, string_agg(concat(cast(id AS varchar), ':', process
         "id", F.array_join(F.transform("jobs", lambda x: F.concat_ws(":", x["id"].cast("string"), x["status"])), ",").alias("jobs"), F.array_join(F.transform("pages", lambda x: F.concat_ws(":", x["id"].cast("string"), x["processing_status"])), ",").alias("pages")
     )
 )
-query("J8_enrich_hits", "SELECT f.id, count(a.frame_id) AS n_analysis, count(a.frame_id) AS n_technical FROM kb_frames f LEFT JOIN kb_technical a ON a.frame_id = f.id WHERE f.frame_number < 20 GROUP BY 1")(
-    lambda t: J.enrich_hits(t("kb_frames").where("frame_number < 20").select("id"), t("kb_technical").select("frame_id", "confidence"), t("kb_technical")).select("id", F.size("analysis").cast("long").alias("n_analysis"), F.size("technical").cast("long").alias("n_technical"))
+query("J8_enrich_hits", "SELECT f.id, count(a.frame_id) AS n_analysis, count(a.frame_id) AS n_technical FROM kb_frames f LEFT JOIN kb_technical a ON a.frame_id = f.id GROUP BY 1")(
+    lambda t: J.enrich_hits(t("kb_frames").select("id"), t("kb_technical").select("frame_id", "confidence"), t("kb_technical")).select("id", F.size("analysis").cast("long").alias("n_analysis"), F.size("technical").cast("long").alias("n_technical"))
 )
 query("J9_bucket_join", "SELECT f.id, b.m AS bucket_start FROM kb_frames f JOIN (SELECT document_id, floor(frame_timestamp / 30.0) AS k, min(frame_timestamp) AS m FROM kb_frames GROUP BY 1, 2) b ON b.document_id = f.document_id AND b.k = floor(f.frame_timestamp / 30.0)")(lambda t: J.bucket_join(t("kb_frames"), 30.0).select("id", "bucket_start"))
 query("J10_page_source_filter", "SELECT p.id, s.domain FROM kb_pages p JOIN kb_web_sources s ON s.id = p.source_id WHERE s.domain = (SELECT min(domain) FROM kb_web_sources)")(

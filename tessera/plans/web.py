@@ -51,13 +51,13 @@ query("C4_robots_rules", f"SELECT host, 'crawl_delay' AS kind, '2000' AS value F
 
 def graph(t: Tables) -> DataFrame:
     """Made edges between pages: each to the page of three times and seven times its number, around."""
-    n = t("pages").select(F.col("page_id").cast("string").alias("src"), "page_id")
-    return n.select("src", F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), ((F.col("page_id") * m + i) % 200).cast("string").alias("dst")) for i, m in enumerate((3, 7))])))
+    n = t("pages").select(F.col("page_id").cast("string").alias("src"), "page_id").crossJoin(t("pages").agg((F.max("page_id") + 1).alias("n")))
+    return n.select("src", F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), ((F.col("page_id") * m + i) % F.col("n")).cast("string").alias("dst")) for i, m in enumerate((3, 7))])))
 
 
-EDGES = "SELECT cast(page_id AS varchar) AS src, 0 AS pos, cast((page_id * 3) % 200 AS varchar) AS dst FROM pages UNION ALL SELECT cast(page_id AS varchar), 1, cast((page_id * 7 + 1) % 200 AS varchar) FROM pages"
-query("C5_crawl_frontier", f"WITH RECURSIVE e AS ({EDGES}), walk(url, depth) AS (SELECT '1', 0 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.url WHERE w.depth < 5) SELECT url, min(depth) AS depth FROM walk GROUP BY 1")(
-    lambda t: W.crawl_frontier(graph(t), t("pages").where("page_id = 1").select(F.col("page_id").cast("string").alias("url")), 5, 100_000).select("url", "depth")
+EDGES = "SELECT cast(page_id AS varchar) AS src, 0 AS pos, cast((page_id * 3) % n AS varchar) AS dst FROM p UNION ALL SELECT cast(page_id AS varchar), 1, cast((page_id * 7 + 1) % n AS varchar) FROM p"
+query("C5_crawl_frontier", f"WITH RECURSIVE p AS (SELECT page_id, (SELECT max(page_id) + 1 FROM pages) AS n FROM pages), e AS ({EDGES}), walk(url, depth) AS (SELECT cast(page_id AS varchar), 0 FROM pages WHERE page_id % 50 = 1 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.url WHERE w.depth < 5) SELECT url, min(depth) AS depth FROM walk GROUP BY 1")(
+    lambda t: W.crawl_frontier(graph(t), t("pages").where("page_id % 50 = 1").select(F.col("page_id").cast("string").alias("url")), 5, 1_000_000).select("url", "depth")
 )
 query("C6_sources_due", f"SELECT id, priority FROM kb_web_sources s WHERE status = 'active' AND (next_crawl IS NULL OR next_crawl <= {TS}) AND NOT EXISTS (SELECT 1 FROM kb_crawl_jobs j WHERE j.source_id = s.id AND j.status IN ('pending', 'running')) ORDER BY priority DESC, coalesce(last_crawled, TIMESTAMP '1970-01-01 00:00:00'), id LIMIT 20")(lambda t: W.sources_due(t("kb_web_sources"), t("kb_crawl_jobs"), AS_OF, 20).select("id", "priority"))
 
@@ -67,12 +67,12 @@ def versions(t: Tables) -> DataFrame:
 
 
 def incoming(t: Tables) -> DataFrame:
-    return t("documents").where("doc_id % 3 = 0 AND doc_id < 250").select(F.col("doc_id").alias("page_id"), C.content_hash("text").alias("content_hash"), F.length("text").alias("content_length"))
+    return t("documents").select(F.col("doc_id").alias("page_id"), C.content_hash("text").alias("content_hash"), F.length("text").alias("content_length"))
 
 
 HASH = "sha256(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
 LATEST = f"SELECT page_id, max(version_number) AS v, arg_max(h, version_number) AS h, arg_max(content_length, version_number) AS n FROM (SELECT *, {HASH.format('content_text')} AS h FROM kb_versions) GROUP BY 1"
-CHANGES = f"SELECT i.page_id, i.content_length, v IS NULL OR i.content_hash <> h AS changed, CASE WHEN v IS NULL THEN 100e0 WHEN h = i.content_hash THEN 0e0 ELSE abs(i.content_length - n) * 100e0 / greatest(n, 1) END AS pct, CASE WHEN v IS NULL THEN true WHEN h = i.content_hash THEN false ELSE abs(i.content_length - n) * 100e0 / greatest(n, 1) > 10 OR abs(i.content_length - n) > 1000 END AS significant_change, CASE WHEN v IS NULL THEN 1 WHEN h = i.content_hash THEN v ELSE v + 1 END AS version_number FROM (SELECT doc_id AS page_id, {HASH.format('text')} AS content_hash, length(text) AS content_length FROM documents WHERE doc_id % 3 = 0 AND doc_id < 250) i LEFT JOIN ({LATEST}) l ON l.page_id = i.page_id"
+CHANGES = f"SELECT i.page_id, i.content_length, v IS NULL OR i.content_hash <> h AS changed, CASE WHEN v IS NULL THEN 100e0 WHEN h = i.content_hash THEN 0e0 ELSE abs(i.content_length - n) * 100e0 / greatest(n, 1) END AS pct, CASE WHEN v IS NULL THEN true WHEN h = i.content_hash THEN false ELSE abs(i.content_length - n) * 100e0 / greatest(n, 1) > 10 OR abs(i.content_length - n) > 1000 END AS significant_change, CASE WHEN v IS NULL THEN 1 WHEN h = i.content_hash THEN v ELSE v + 1 END AS version_number FROM (SELECT doc_id AS page_id, {HASH.format('text')} AS content_hash, length(text) AS content_length FROM documents) i LEFT JOIN ({LATEST}) l ON l.page_id = i.page_id"
 query("C7_detect_changes", f"SELECT page_id, changed, round(pct, 6) AS change_percentage, significant_change, version_number FROM ({CHANGES})")(lambda t: W.detect_changes(incoming(t), versions(t)).select("page_id", "changed", F.round("change_percentage", 6).alias("change_percentage"), "significant_change", "version_number"))
 query("C8_append_version", f"SELECT page_id, version_number, significant_change, content_length FROM ({CHANGES}) WHERE changed")(lambda t: W.append_version(W.detect_changes(incoming(t), versions(t))).select("page_id", "version_number", "significant_change", F.col("content_length").cast("long").alias("content_length")))
 
@@ -87,8 +87,8 @@ def to_documents(t: Tables) -> DataFrame:
     return W.page_to_document(changes, docs).select("document_id", "updates", F.array_join("tags", ",").alias("tags"), "to_embed")
 
 
-query("C11_start_guard", "SELECT q.id, CASE WHEN s.status IS NULL THEN 'not_found' WHEN s.status <> 'active' THEN 'not_active' WHEN EXISTS (SELECT 1 FROM kb_crawl_jobs j WHERE j.source_id = q.id AND j.status IN ('pending', 'running')) THEN 'already_running' ELSE 'ok' END AS verdict FROM (SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id < 400) q LEFT JOIN kb_web_sources s ON s.id = q.id")(
-    lambda t: W.start_guard(t("documents").where("doc_id < 400").select(F.col("doc_id").alias("id")), t("kb_web_sources"), t("kb_crawl_jobs"))
+query("C11_start_guard", "SELECT q.id, CASE WHEN s.status IS NULL THEN 'not_found' WHEN s.status <> 'active' THEN 'not_active' WHEN EXISTS (SELECT 1 FROM kb_crawl_jobs j WHERE j.source_id = q.id AND j.status IN ('pending', 'running')) THEN 'already_running' ELSE 'ok' END AS verdict FROM (SELECT DISTINCT doc_id AS id FROM documents) q LEFT JOIN kb_web_sources s ON s.id = q.id")(
+    lambda t: W.start_guard(t("documents").select(F.col("doc_id").alias("id")), t("kb_web_sources"), t("kb_crawl_jobs"))
 )
 query("C12_reschedule", f"SELECT s.id, CASE WHEN r.ok IS NOT NULL THEN {TS} ELSE s.last_crawled END AS last_crawled, CASE WHEN r.ok THEN {TS} + INTERVAL '24' HOUR ELSE s.next_crawl END AS next_crawl, CASE WHEN r.ok THEN 0 WHEN r.ok IS NOT NULL THEN 1 END AS error_count FROM kb_web_sources s LEFT JOIN (SELECT source_id, bool_and(status <> 'failed') AS ok FROM kb_crawl_jobs WHERE source_id % 2 = 0 GROUP BY 1) r ON r.source_id = s.id")(
     lambda t: W.reschedule(t("kb_web_sources"), t("kb_crawl_jobs").where("source_id % 2 = 0").groupBy("source_id").agg(F.bool_and(F.col("status") != "failed").alias("ok"), F.sum("pages_crawled").alias("pages_crawled")), AS_OF).select("id", "last_crawled", "next_crawl", "error_count")

@@ -8,7 +8,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; without that setting a temporary one, in local mode (tests) only, as executors elsewhere don't see it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="tessera-")
+    return root.rstrip("/")
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; without that setting (tests) under a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared root."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -40,14 +40,23 @@ def blob_manifest(files: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def blob_reassemble(parts: DataFrame, expected: DataFrame) -> DataFrame:
-    """One content for each complete session, its parts in order; incomplete sessions have status error and no content."""
-    whole = blob_manifest(parts, expected)
-    joined = blob_parts(parts).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("part", F.col("content").cast("binary").alias("content")))).alias("p"))
-    content = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["content"]))
+    """One content for each complete session, its parts in order, put together once; incomplete sessions have status error and no content.
+
+    Only parts of complete sessions are gathered. A content is one value, so a session holds 2 GB at most; ordered_parts has larger ones.
+    """
+    whole = blob_manifest(parts, expected).select("session", "complete")
+    joined = ordered_parts(parts, whole).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("part", F.hex("content").alias("content")))).alias("p"))
+    content = F.unhex(F.array_join(F.col("p.content"), ""))
     out = whole.join(joined, "session", "left")
     return out.select("session", F.when(F.col("complete"), content).alias("content"), F.when(F.col("complete"), "completed").otherwise("error").alias("status"))
 
 
+def ordered_parts(parts: DataFrame, whole: DataFrame) -> DataFrame:
+    """session, part and content (binary) of the complete sessions (session, complete), a row a part: a session's parts in one partition, in order."""
+    rows = blob_parts(parts).select("session", "part", F.col("content").cast("binary").alias("content"))
+    return rows.join(whole.where("complete").select("session"), "session", "left_semi").repartition("session").sortWithinPartitions("session", "part")
+
+
 TEXT_TYPES = (".txt", ".md", ".markdown")
 
 

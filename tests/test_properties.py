@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import fulltext, ranking, text, vectors, web
+from tessera.plans import registry
 from tessera.sources import tables
 from tessera.streaming import streams
 
@@ -57,9 +58,8 @@ def test_top_k_is_a_prefix(spark, sf_dir):
 
 def test_ann_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").withColumnRenamed("vec_id", "id")
-    q = e.where("id % 25 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    model, cells = vectors.ivf_build(e, 20)
-    near = {(r.query_id, r.id) for r in vectors.ivf_search(model, cells, q, 10, 14).collect()}
+    q = e.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    near = {(r.query_id, r.id) for r in registry.queries()["V12_ann_search"](spark, "/root/testdata/sf0.01").collect()}
     exact = {(r.query_id, r.id) for r in vectors.best(vectors.scored(q, e), 10).collect()}
     assert len(near & exact) / len(exact) >= 0.9
 
@@ -148,3 +148,50 @@ def test_stream_changes_over_batches(spark, tmp_path):
         want[(p, i)] = last.get(p) != t
         last[p] = t
     assert got == want
+
+
+def test_long_queries_are_answered_whole(spark):
+    """Nine and twenty terms: a row that lacks one is no hit, and ranks are those of a plain count of minimal spans."""
+    names = [f"w{i}x" for i in range(20)]
+    texts = [" ".join(names), " ".join(names[:19]), " ".join(reversed(names)) + " gap " + " ".join(names), " ".join(n + " pad" for n in names), ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    index = fulltext.tokenize_index(docs, "id", "text")
+    for n in (1, 9, 20):
+        terms = fulltext.query_terms(spark.createDataFrame([(7, " ".join(names[:n]))], "query_id long, query string"))
+        assert terms.count() == n
+        want = {}
+        for i, t in enumerate(texts):
+            places = [(p, names.index(w)) for p, w in enumerate(t.split()) if w in names[:n]]
+            last, before, rank = {}, -1, 0.0
+            for p, w in places:
+                last[w] = p
+                start = min(last.values())
+                if len(last) == n and start > before:
+                    before, rank = start, rank + 0.1 / (1 + p - start + 1 - n)
+            if len(last) == n:
+                want[i] = round(rank, 9)
+        assert {r.id for r in fulltext.match_all_terms(index, terms).collect()} == set(want)
+        assert {r.id: round(r.text_rank, 9) for r in fulltext.text_rank_cd(index, terms).collect()} == want
+
+
+def test_packed_paragraphs(spark):
+    rows = [(1, "a\n\nb"), (2, "\n\n".join("x" * n for n in (900, 900, 900, 2500, 10, 4000, 1))), (3, ""), (4, None), (5, "y" * 9000)]
+    got = {}
+    for r in sorted(text.pack_paragraphs(spark.createDataFrame(rows, "id long, content_text string"), 2000).collect(), key=lambda r: (r.id, r.section)):
+        got.setdefault(r.id, []).append(r.body)
+    for i, t in rows:
+        want, held = [], ""
+        for p in (t or "").split("\n\n"):
+            if held and len(held) + len(p) < 2000:
+                held += "\n\n" + p
+            else:
+                want, held = want + [held] * bool(held), p
+        want += [held] * bool(held)
+        assert got.get(i, []) == want
+
+
+def test_all_links_of_a_page(spark):
+    html = "<html><body>" + "".join(f'<a href="/p{i}">x</a>' for i in range(300)) + "</body></html>"
+    pages = spark.createDataFrame([(1, "https://a.example/", html)], "page_id long, url string, html string")
+    assert web.extract_links(pages).count() == 100
+    assert web.extract_links(pages, 250).count() == 250
