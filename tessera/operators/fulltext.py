@@ -25,9 +25,9 @@ def tokenize_index(df: DataFrame, id: str, col: str) -> DataFrame:
     return df.select(F.col(id).alias("id"), F.posexplode(words).alias("pos", "term")).where(~F.col("term").isin(*STOP))
 
 
-def _wanted(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of the terms (query_id, term_no, term): an equi-join on the term."""
-    return index.join(terms, "term")
+def _frequencies(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, term, tf) of the terms that any query has: each row's postings of a term become one before queries are joined."""
+    return index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -37,16 +37,21 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
 
 
 def match_all_terms(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, id) of the rows that have every term of the query, however many these are."""
-    need = terms.groupBy("query_id").agg(F.count("*").alias("n"))
-    once = _wanted(index.select("id", "term").distinct(), terms)
-    have = once.groupBy("query_id", "id").agg(F.count("*").alias("have"))
-    return have.join(need, "query_id").where("have = n").select("query_id", "id")
+    """(query_id, id) of the rows that have every term of the query, however many these are.
+
+    Only the rows that have a query's rarest term are looked at for its others.
+    """
+    held = _frequencies(index, terms)
+    rows = held.groupBy("term").agg(F.count("*").alias("rows"))
+    rare = terms.join(rows, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "term")).alias("rare"), F.count("*").alias("n"))
+    maybe = held.join(rare.select("query_id", "n", F.col("rare.term").alias("term")), "term").select("query_id", "id", "n")
+    have = maybe.join(terms, "query_id").join(held, ["id", "term"]).groupBy("query_id", "id", "n").agg(F.count("*").alias("have"))
+    return have.where("have = n").select("query_id", "id")
 
 
 def text_rank(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, id, text_rank): each term adds 1 + ln(its frequency) in tenths, over the number of terms."""
-    tf = _wanted(index, terms).groupBy("query_id", "id", "term").agg(F.count("*").alias("tf"))
+    tf = _frequencies(index, terms).join(terms, "term")
     need = terms.groupBy("query_id").agg(F.count("*").alias("n"))
     summed = tf.groupBy("query_id", "id").agg(F.sum(0.1 * (1 + F.log("tf"))).alias("s"))
     return summed.join(need, "query_id").select("query_id", "id", (F.col("s") / F.col("n")).alias("text_rank"))
@@ -60,7 +65,7 @@ def text_rank_cd(index: DataFrame, terms: DataFrame) -> DataFrame:
     """
     need = terms.groupBy("query_id").agg(F.count("*").alias("n"))
     whole = match_all_terms(index, terms).join(need, "query_id")
-    rows = _wanted(index, terms).join(whole, ["query_id", "id"])
+    rows = index.join(whole.join(terms, "query_id"), ["id", "term"])
     places = rows.groupBy("query_id", "id", "n").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "term_no"))).alias("places"))
     begin = F.struct(F.array_repeat(F.lit(-1).cast("long"), F.col("n").cast("int")).alias("last"), F.lit(-1).cast("long").alias("before"), F.lit(0.0).alias("rank"))
 

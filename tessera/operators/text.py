@@ -156,8 +156,8 @@ def word_cloud(docs: DataFrame, k: int = 25, compounds: tuple[str, ...] = COMPOU
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content_text", F.lit("")), F.coalesce("transcription", F.lit(""))))
     rows = docs.select("id", "type", text.alias("text"))
     cleaned = F.split(F.regexp_replace("text", r"[^a-zA-Z\s]", " "), r"\s+")
-    first = F.min_by("type", "id")
-    words = rows.select("id", "type", F.explode(cleaned).alias("word")).where((F.length("word") > 3) & ~F.col("word").isin(*CLOUD_STOP)).groupBy("word").agg(F.count("*").alias("count"), first.alias("category"), F.lit(0).alias("phrase"))
+    first = F.min("id").alias("first")
+    words = rows.select("id", "type", F.explode(cleaned).alias("word")).where((F.length("word") > 3) & ~F.col("word").isin(*CLOUD_STOP)).groupBy("word").agg(F.count("*").alias("count"), first, F.lit(0).alias("phrase"))
 
     def counted(term: str) -> Column:
         """How often a term occurs; the pattern only runs over texts that hold its longest word, which is found much faster."""
@@ -165,10 +165,15 @@ def word_cloud(docs: DataFrame, k: int = 25, compounds: tuple[str, ...] = COMPOU
         return F.when(F.col("text").contains(rare), F.regexp_count("text", F.lit(re.sub(r"[-\s]", r"[-\\s]+", term)))).otherwise(0)
 
     found = F.array(*[F.struct(F.lit(t.replace("-", " ")).alias("word"), counted(t).alias("n")) for t in compounds])
-    phrases = rows.select("id", "type", F.inline(found)).where("n > 0").groupBy("word").agg((F.sum("n") * 2).alias("count"), first.alias("category"), F.lit(1).alias("phrase"))
+    phrases = rows.select("id", "type", F.inline(found)).where("n > 0").groupBy("word").agg((F.sum("n") * 2).alias("count"), first, F.lit(1).alias("phrase"))
     every = words.unionByName(phrases)
-    one = every.groupBy("word").agg(F.min_by(F.struct("count", "category"), "phrase").alias("t")).select("word", "t.count", F.coalesce("t.category", F.lit("unknown")).alias("category"))
-    return one.orderBy(F.desc("count"), "word").limit(k)
+    of = lambda kind, c: F.when(F.col("phrase") == kind, F.col(c))
+    sums = every.groupBy("word").agg(*[F.min(of(kind, c)).alias(f"{c}{kind}") for kind in (0, 1) for c in ("count", "first")])
+    once = sums.select("word", F.coalesce("count0", "count1").alias("count"), F.when(F.col("count0").isNotNull(), F.col("first0")).otherwise(F.col("first1")).alias("first"))
+    top = once.orderBy(F.desc("count"), "word").limit(k).select("word", "count", F.col("first").alias("id"))
+    # only the k terms that stay look up their category
+    types = docs.join(top.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("type").alias("type"))
+    return top.join(types, "id", "left").select("word", "count", F.coalesce("type", F.lit("unknown")).alias("category")).orderBy(F.desc("count"), "word")
 
 
 _STRINGS = T.ArrayType(T.StringType())
