@@ -23,12 +23,14 @@ _BASE = np.uint64(0x100000001B3)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a session without it (tests) a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or without that setting a new temporary one, in local mode (tests) only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             found = kept.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
             found = spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -15,14 +15,15 @@ def remainder(doc_id: Column, of: int) -> Column:
 
 
 def bounded(ids: DataFrame, most: int) -> DataFrame:
-    """At most `most` rows of ids (with doc_id), the first in the order of a hash of the id: the same rows on every run."""
-    return ids.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(most)
+    """At most `most` rows of ids (with doc_id, each once), the first in the order of a hash of the id: the same rows on every run."""
+    return ids.dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(most)
 
 
 def sample_texts(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
-    """Texts of the sample: ids (doc_id and label columns) has at most `most` rows, which is what makes it fit to be broadcast."""
+    """Texts of the sample, `most` rows at most: ids (doc_id and label columns) are cut to so many, which makes them fit to be broadcast, and of texts that share an id one counts, by a hash."""
     chosen = materialize(bounded(ids, most), "sample-ids")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy(*ids.columns).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 class Rows:

@@ -1,4 +1,4 @@
-"""Quality by ordinal cumulative-link regression: shared hashed-text weights and ordered thresholds."""
+"""Quality by ordinal cumulative-link regression: shared weights of hashed words and character classes, and ordered thresholds."""
 
 from __future__ import annotations
 
@@ -10,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, mix, text_buffers, text_chunks, words
+from tessera.llm.common import LOWER, materialize, mix, text_buffers, text_chunks, words
 from tessera.llm.learn import Adam, Rows, remainder, sample_texts, sigmoid
 
-#: Buckets of hashed n-grams of character classes, and of the lengths that are hashed.
+#: Buckets of hashed words (lower case), of hashed pairs of them, and of n-grams of character classes, with the lengths of the latter.
 BUCKETS, GRAMS = 1 << 14, (2, 4)
 #: Steps of the share of words that repeat the word before them, and of distinct words, each a feature of its own.
 STEPS = 16
-COLUMNS = BUCKETS * len(GRAMS) + 2 * STEPS
+PARTS = len(GRAMS) + 2
+COLUMNS = BUCKETS * PARTS + 2 * STEPS
 
 
 def _classes() -> np.ndarray:
@@ -35,7 +36,7 @@ CLASSES = _classes()
 
 
 def features(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, column, value) parts: shares of the class n-grams of a text, and 1 for the step of each share of words."""
+    """(row, column, value) parts: shares of the class n-grams, words and word pairs of a text, and a constant for the step of each share of words."""
     raw, starts = text_buffers(batch.column("text"))
     n = batch.num_rows
     size = np.diff(starts)
@@ -51,8 +52,13 @@ def features(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.nda
         bucket = (mix(code[inside] + np.uint64(width << 60)) % np.uint64(BUCKETS)).astype(np.int64)
         at = own[inside]
         parts.append((at, bucket + g * BUCKETS, 1.0 / np.maximum(size[at] - width + 1, 1)))
-    hashed, _, _, of = words(raw, starts)
+    hashed, _, _, of = words(LOWER[raw], starts)
     count = np.bincount(of, minlength=n)
+    parts.append((of, (hashed % np.uint64(BUCKETS)).astype(np.int64) + len(GRAMS) * BUCKETS, 1.0 / count[of]))
+    together = of[1:] == of[:-1]
+    with np.errstate(over="ignore"):
+        pair = mix(hashed[:-1] * np.uint64(3) + hashed[1:])[together]
+    parts.append((of[1:][together], (pair % np.uint64(BUCKETS)).astype(np.int64) + (len(GRAMS) + 1) * BUCKETS, 1.0 / count[of[1:][together]]))
     again = np.bincount(of[1:][(hashed[1:] == hashed[:-1]) & (of[1:] == of[:-1])], minlength=n) if len(hashed) else np.zeros(n)
     order = np.lexsort((hashed, of))
     fresh = np.ones(len(hashed), bool)
@@ -60,7 +66,7 @@ def features(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.nda
     distinct = np.bincount(of[order][fresh], minlength=n)
     for k, share in enumerate((again / np.maximum(count, 1), distinct / np.maximum(count, 1))):
         step = np.minimum((share * STEPS).astype(np.int64), STEPS - 1)
-        parts.append((np.arange(n), BUCKETS * len(GRAMS) + k * STEPS + step, np.full(n, 0.2)))
+        parts.append((np.arange(n), BUCKETS * PARTS + k * STEPS + step, np.full(n, 0.2)))
     return parts
 
 
@@ -68,7 +74,7 @@ def features(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.nda
 class Model:
     """P(grade > k) = sigmoid(weights . x - thresholds[k]); thresholds rise."""
 
-    grades: list[int]
+    grades: list[float]
     weight: np.ndarray
     thresholds: np.ndarray
 
@@ -80,7 +86,7 @@ class Model:
         return sigmoid(z[:, None] - self.thresholds[None, :])
 
 
-def fit(x: Rows, grade: np.ndarray, levels: int, steps: int = 300, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: Rows, grade: np.ndarray, levels: int, steps: int = 200, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of greatest likelihood of grades 0..levels-1.
 
     Thresholds are a first one plus exponentials of free steps, so they stay in order. With tails t_k = P(y > k),
@@ -116,9 +122,9 @@ def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", most_rows
     At most most_rows rated documents are read, in the order of a hash of their ids: a bounded sample. Documents
     whose crc32(doc_id) mod 4 is 2 stay out, for a held-out measure. A document that is rated twice counts with its lowest grade.
     """
-    rated = labels.where(F.col(rating).isNotNull() & (remainder(F.col("doc_id"), 4) != 2)).groupBy("doc_id").agg(F.min(F.col(rating).cast("int")).alias("grade"))
+    rated = labels.where(F.col(rating).isNotNull() & (remainder(F.col("doc_id"), 4) != 2)).groupBy("doc_id").agg(F.min(F.col(rating).cast("double")).alias("grade"))
     sample = materialize(sample_texts(docs, rated, most_rows), "rated")
-    grades = sorted(r[0] for r in sample.select("grade").distinct().limit(1_000).collect())
+    grades = sorted(r[0] for r in sample.select("grade").distinct().collect())  # no more than the sample has rows
     if len(grades) < 2:
         return None
 
@@ -131,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", most_rows
             columns = pa.ListArray.from_arrays(cut, pa.array((pair % COLUMNS).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("grade"), columns, pa.ListArray.from_arrays(cut, pa.array(value.astype(np.float32)))], ["grade", "columns", "values"])
 
-    rows = sample.mapInArrow(run, "grade int, columns array<int>, values array<float>").toArrow()
+    rows = sample.mapInArrow(run, "grade double, columns array<int>, values array<float>").toArrow()
     columns, values = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("columns", "values"))
     sizes = np.array([len(c) for c in columns], np.int64)
     x = Rows(np.repeat(np.arange(len(sizes)), sizes), np.concatenate(columns).astype(np.int64), np.concatenate(values).astype(np.float64), len(sizes), COLUMNS)
@@ -139,39 +145,47 @@ def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", most_rows
     return Model(grades, weight, thresholds)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, rating: str = "quality", keep_from: int = 1, least: float = 0.5, carry: list[str] | None = None, **sample) -> DataFrame:
-    """doc_id, held_out, expected_grade, tail (P(grade >= keep_from)) and kept (tail >= least) of every row of docs; carry: its columns to keep beside.
+def _judge(model: Model | None, text: pa.Array, keep_from: float) -> tuple[pa.Array, np.ndarray]:
+    """Expected grade and P(grade >= keep_from) of each text; without a model null and 1."""
+    n = len(text)
+    if model is None:
+        return pa.nulls(n, pa.float64()), np.ones(n)
+    tails = model.tails(pa.RecordBatch.from_arrays([text], ["text"]))
+    grades = np.array(model.grades, float)
+    at = int(np.searchsorted(grades, keep_from))
+    tail = np.ones(n) if at == 0 else np.zeros(n) if at == len(grades) else tails[:, at - 1]
+    return pa.array(grades[0] + tails @ np.diff(grades)), tail
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, rating: str = "quality", keep_from: float = 1, least: float = 0.5, **sample) -> DataFrame:
+    """doc_id, held_out, expected_grade, tail (P(grade >= keep_from)) and kept (tail >= least) of every row of docs.
 
     A null or empty text has the features of no words. Without two grades to learn from, nothing is rejected:
-    expected_grade is null, tail 1. Repeated rows are scored each for itself.
+    expected_grade is null, tail 1. Repeated rows are scored each for itself. Of texts that share a rated id one is learned from.
     """
     model = train(docs, labels, rating, **sample)
-    carry = carry or []
-    kept = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text") if "text" not in carry else F.lit(None).cast("string").alias("_text"), *carry)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "text" if "text" in carry else "_text"):
-            n = batch.num_rows
-            text = batch.column("text" if "text" in carry else "_text")
-            if model is None:
-                grade, tail = pa.nulls(n, pa.float64()), np.ones(n)
-            else:
-                tails = model.tails(pa.RecordBatch.from_arrays([text], ["text"]))
-                grades = np.array(model.grades, float)
-                grade = pa.array(grades[0] + tails @ np.diff(grades))
-                at = int(np.searchsorted(grades, keep_from))
-                tail = np.ones(n) if at == 0 else np.zeros(n) if at == len(grades) else tails[:, at - 1]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), grade, pa.array(tail), pa.array(tail >= least), *(batch.column(c) for c in carry)], ["_id", "expected_grade", "tail", "kept", *carry])
-
-    schema = "_id long, expected_grade double, tail double, kept boolean" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    scored = kept.mapInArrow(run, schema)
-    if "doc_id" not in carry:
-        scored = scored.withColumnRenamed("_id", "doc_id")
-        return scored.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))).select("doc_id", "held_out", "expected_grade", "tail", "kept", *carry)
-    return scored.drop("_id")
+        for batch in text_chunks(batches):
+            grade, tail = _judge(model, batch.column("text"), keep_from)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), grade, pa.array(tail), pa.array(tail >= least)], ["doc_id", "held_out", "expected_grade", "tail", "kept"])
+
+    held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, expected_grade double, tail double, kept boolean")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, rating: str = "quality", keep_from: float = 1, least: float = 0.5, **sample) -> DataFrame:
+    """The rows of docs that score_quality keeps, as they are, whatever their columns are named."""
+    model, names = train(docs, labels, rating, **sample), docs.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches):
+            _, tail = _judge(model, batch.column("text"), keep_from)
+            yield batch.select(names).filter(pa.array(tail >= least))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose probability of a good grade is under one half go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_quality(docs, labels, carry=docs.columns).where("kept").select(*docs.columns)
+    """Pipeline stage: documents whose probability of a good grade is under one half go. Each row is judged by its own text, null and empty ones as texts without words; repeated rows go or stay together; no rows give no rows."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
