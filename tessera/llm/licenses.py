@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, text_buffers, text_chunks
 
-# Openings and notices of public licences, with the label that each stands for.
+# Notices, openings and whole texts of public licences, with the label that each stands for.
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
@@ -25,6 +25,37 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.""",
+    ),
 )
 # The phrases of the base labels, as the words that stand before "license".
 PHRASES = {("mit",): "mit", ("apache",): "apache", ("general", "public"): "gpl"}
@@ -39,38 +70,60 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton of token sequences: every state is a set of substrings, with one place where they end."""
+    """Generalised suffix automaton of token sequences: every state is a set of substrings that end at the same places."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.place = [-1], [0], [(-1, -1)]
+        self.link, self.length = [-1], [0]
+        ends: list[tuple[int, tuple[int, int]]] = []
         for k, sequence in enumerate(sequences):
             last = 0
             for i, token in enumerate(sequence):
-                last = self._extend(last, token, (k, i))
-
-    def _state(self, length: int, link: int, moves: dict[int, int], place: tuple[int, int]) -> int:
+                last = self._extend(last, token)
+                ends.append((last, (k, i + 1)))
+        # of a state: where its prefix states end, and the states that link to it, whose ends are its own too
+        self.own: dict[int, list[tuple[int, int]]] = {}
+        for state, end in ends:
+            self.own.setdefault(state, []).append(end)
+        self.below: dict[int, list[int]] = {}
+        for state, link in enumerate(self.link):
+            self.below.setdefault(link, []).append(state)
+        self._places: dict[int, list[tuple[int, int]]] = {}
+
+    def places(self, state: int) -> list[tuple[int, int]]:
+        """Every (sequence, end in it) of the substrings of a state, gathered once from the states below it."""
+        found = self._places.get(state)
+        if found is None:
+            found, waiting = [], [state]
+            while waiting:
+                s = waiting.pop()
+                found += self.own.get(s, [])
+                waiting += self.below.get(s, [])
+            found.sort()
+            self._places[state] = found
+        return found
+
+    def _state(self, length: int, link: int, moves: dict[int, int]) -> int:
         self.next.append(moves)
         self.link.append(link)
         self.length.append(length)
-        self.place.append(place)
         return len(self.next) - 1
 
     def _split(self, p: int, token: int, q: int) -> int:
         """The state of the longest substring of q that p's move by token reaches."""
         if self.length[p] + 1 == self.length[q]:
             return q
-        clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]), self.place[q])
+        clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
         self.link[q] = clone
         while p >= 0 and self.next[p].get(token) == q:
             self.next[p][token] = clone
             p = self.link[p]
         return clone
 
-    def _extend(self, last: int, token: int, place: tuple[int, int]) -> int:
+    def _extend(self, last: int, token: int) -> int:
         if token in self.next[last]:  # an earlier sequence has this prefix
             return self._split(last, token, self.next[last][token])
-        new, p = self._state(self.length[last] + 1, 0, {}, place), last
+        new, p = self._state(self.length[last] + 1, 0, {}), last
         while p >= 0 and token not in self.next[p]:
             self.next[p][token] = new
             p = self.link[p]
@@ -78,20 +131,20 @@ class Automaton:
             self.link[new] = self._split(p, token, self.next[p][token])
         return new
 
-    def matches(self, stream: list[int], least: int) -> list[tuple[int, int, int, int]]:
-        """Maximal matches of at least `least` tokens: (end in the stream, length, sequence, end in it), by streaming matching statistics."""
+    def matches(self, stream: list[int], least: int) -> list[tuple[int, int, int]]:
+        """Maximal matches of at least `least` tokens: (end in the stream, length, state), by streaming matching statistics."""
         out, state, length = [], 0, 0
         for i, token in enumerate(stream):
             if token not in self.next[state]:
                 if length >= least:
-                    out.append((i, length, self.place[state][0], self.place[state][1] + 1))
+                    out.append((i, length, state))
                 while state and token not in self.next[state]:
                     state = self.link[state]
                     length = self.length[state]
             to = self.next[state].get(token)
             state, length = (0, 0) if to is None else (to, length + 1)
         if length >= least:
-            out.append((len(stream), length, self.place[state][0], self.place[state][1] + 1))
+            out.append((len(stream), length, state))
         return out
 
 
@@ -107,26 +160,26 @@ class Scanner:
         self.automaton = Automaton(self.sequences)
         self.least, self.gap, self.cover = least, gap, cover
 
-    def _placed(self, stream: list[int], end: int, length: int) -> Iterator[tuple[int, int]]:
-        """Every (template, end in it) of a match; the automaton keeps one place a state, the short templates are looked through for the others."""
-        piece = stream[end - length : end]
-        for k, s in enumerate(self.sequences):
-            for i in range(len(s) - length + 1):
-                if s[i] == piece[0] and s[i : i + length] == piece:
-                    yield k, i + length
-
     def spans(self, stream: list[int]) -> list[tuple[int, float]]:
-        """(template, share of it that one chain of matches covers). A chain's matches go forward in text and template, gaps being of at most `gap` tokens."""
-        chains: dict[int, tuple[int, int, int]] = {}
+        """(template, share of it that its best chain of matches covers). A chain's matches go forward in text and template, gaps being of at most `gap` tokens in each.
+
+        By dynamic programming: the best chain that ends in a match extends the best one that ends in a match near before it; what
+        both cover in text or template counts once.
+        """
+        ends: dict[int, list[tuple[int, int, int]]] = {}  # of a template: (end in the text, end in it, covered), by end in the text
         best: dict[int, int] = {}
-        for end, length, _, _ in self.automaton.matches(stream, self.least):
-            for k, at in list(self._placed(stream, end, length)):
-                to, template_to, covered = chains.get(k, (-(10**9), 0, 0))
-                lap = max(0, to - (end - length), template_to - (at - length))
-                near = end - length - to <= self.gap and 0 <= at - template_to and at - length - template_to <= self.gap
-                covered = covered + length - lap if near and lap < length else length
-                chains[k] = (end, at, covered)
-                best[k] = max(best.get(k, 0), covered)
+        for end, length, state in self.automaton.matches(stream, self.least):
+            for k, at in self.automaton.places(state):
+                before = ends.setdefault(k, [])
+                most = length
+                for to, template_to, covered in reversed(before):
+                    if to < end - length - self.gap:
+                        break
+                    lap = max(0, to - (end - length), template_to - (at - length))
+                    if to < end and template_to < at and lap < length and at - length - template_to <= self.gap:
+                        most = max(most, covered + length - lap)
+                before.append((end, at, most))
+                best[k] = max(best.get(k, 0), most)
         return [(k, min(1.0, n / self.sizes[k])) for k, n in best.items()]
 
     def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
