@@ -125,10 +125,10 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What op3 returns, read back from formatted conversations."""
+    """What op3 returns, read back from formatted conversations: turns from the text, what is taught from the text under the loss mask."""
     back = formatted.withColumn("turns", parse(F.col("formatted")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    taught = F.array_join(F.filter(F.zip_with("turns", "loss_turns", lambda t, m: F.when(m, t["text"])), lambda x: x.isNotNull()), "")
+    taught = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int") + 1, s["length"].cast("int")))), "")
     return back.withColumn("taught", taught).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
