@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, text_chunks
+from tessera.llm.common import discard, materialize, mix, text_chunks
 
 #: Characters of a q-gram; of a window of an item, one from each character on: the least passage that is looked for; the share of a window that edits may change.
 Q, WINDOW, EDITS = 10, 100, 0.08
@@ -218,18 +219,19 @@ def _verify(codes: np.ndarray, row: np.ndarray, w: Index, owner: np.ndarray, own
     return np.stack((own, owner, offset, first, end, distance), axis=1)[distance <= e]
 
 
-def _blocks(benchmark: DataFrame, size: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """The benchmark, a stated query set, in blocks of at most `size` characters (a longer item alone), each small enough to go to all tasks."""
-    rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), normal(F.col("text")).alias("text")).distinct().orderBy("item_id", "text")
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for r in rows.toLocalIterator():
-        if held and held + len(r.text) > size:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r.item_id, r.text))
-        held += len(r.text)
-    return blocks
+def _blocks(benchmark: DataFrame, size: int | None = None) -> Iterator[tuple[Index, bool]]:
+    """Indexes of the benchmark, a stated query set, in blocks of about `size` characters (an item stays whole), and whether there are several.
+
+    A block is made when it is asked for, small enough to go to all tasks; the driver holds one at a time.
+    """
+    rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), normal(F.col("text")).alias("text")).where(F.length("text") >= LEAST).distinct()
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-chars // (size or BLOCK_CHARS))
+    for b in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").toArrow()
+        w = index(list(zip(part.column("item_id").to_pylist(), part.column("text").to_pylist(), strict=True)))
+        if len(w.item):
+            yield w, blocks > 1
 
 
 def _lines(column: pa.Array, w: Index) -> list[np.ndarray]:
@@ -261,10 +263,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one id are one document. Texts are scanned whole, long ones in pieces that overlap by more than a window.
     """
     parts = []
-    for block in _blocks(benchmark):
-        w = index(block)
-        if not len(w.item):
-            continue
+    for w, several in _blocks(benchmark):
 
         def run(batches: Iterable[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
             for batch in text_chunks(batches):
@@ -272,33 +271,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), *rest], ["doc_id", "item_id", "window_at", "first", "end", "edits"])
 
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("text"))
-        parts.append(texts.mapInArrow(run, "doc_id long, item_id long, window_at long, first long, end long, edits long"))
+        found = texts.mapInArrow(run, "doc_id long, item_id long, window_at long, first long, end long, edits long")
+        parts.append(materialize(found, "leaks") if several else found)  # written, so that no block's index is kept
     if not parts:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, chars long, edits long")
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows = reduce(DataFrame.unionByName, parts)
     return rows.groupBy("doc_id", "item_id").agg(F.countDistinct("window_at").alias("n_windows"), (F.max("end") - F.min("first")).alias("chars"), F.min("edits").alias("edits"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose text holds no passage of a benchmark item (find_leaks). Each row is judged by its own text, whatever its id; nothing is shuffled."""
+    """The rows of docs, with whatever columns, whose text holds no passage of a benchmark item (find_leaks). Each row is judged by its own text, whatever its id; nothing is shuffled."""
     names, schema = docs.columns, docs.schema
-    for block in _blocks(benchmark):
-        w = index(block)
-        if not len(w.item):
-            continue
+    before = None
+    for w, several in _blocks(benchmark):
 
         def run(batches: Iterable[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
             for batch in text_chunks(batches, "normal_text"):
                 clean = np.ones(batch.num_rows, bool)
                 clean[_lines(batch.column("normal_text"), w)[0]] = False
-                yield batch.select(names).filter(pa.array(clean))
-
-        docs = docs.withColumn("normal_text", normal(F.col("text"))).mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays(batch.column("row").flatten(), names).filter(pa.array(clean))
+
+        packed = docs.select(normal(F.col("text")).alias("normal_text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+        docs = packed.mapInArrow(run, schema)
+        if several:
+            docs = materialize(docs, "clean")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a passage of a benchmark item go."""
+    """Pipeline stage: documents that hold a passage of a benchmark item go, by find_leaks' rules. Null and empty texts stay; rows with null or repeated ids are judged one by one, repeated rows alike; without items or rows nothing goes."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, materialize, mix, text_buffers, text_chunks, words
+from tessera.llm.common import LOWER, discard, materialize, mix, text_buffers, text_chunks, words
 from tessera.llm.learn import Adam, Rows, remainder, sample_texts, sigmoid
 
 #: Buckets of hashed words (lower case), of hashed pairs of them, and of n-grams of character classes, with the lengths of the latter.
@@ -126,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", most_rows
     sample = materialize(sample_texts(docs, rated, most_rows), "rated")
     grades = sorted(r[0] for r in sample.select("grade").distinct().collect())  # no more than the sample has rows
     if len(grades) < 2:
+        discard(sample)
         return None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", most_rows
             yield pa.RecordBatch.from_arrays([batch.column("grade"), columns, pa.ListArray.from_arrays(cut, pa.array(value.astype(np.float32)))], ["grade", "columns", "values"])
 
     rows = sample.mapInArrow(run, "grade double, columns array<int>, values array<float>").toArrow()
+    discard(sample)
     columns, values = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("columns", "values"))
     sizes = np.array([len(c) for c in columns], np.int64)
     x = Rows(np.repeat(np.arange(len(sizes)), sizes), np.concatenate(columns).astype(np.int64), np.concatenate(values).astype(np.float64), len(sizes), COLUMNS)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, mix, text_buffers, text_chunks, whole_groups
+from tessera.llm.common import discard, materialize, mix, text_buffers, text_chunks, whole_groups
 from tessera.llm.graph import components
 
 #: Bits of the three blocks of a fingerprint: of two differing bits none falls into one of the blocks at least.
@@ -353,6 +353,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sets = materialize(docs.select("row_key", "text").join(nodes, "row_key").dropDuplicates(["c"]).select("c", "text").mapInArrow(_sets, "c long, shingles binary"), "near-shingles")
     pairs = edges.join(sets.select(F.col("c").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("c").alias("v"), F.col("shingles").alias("b")), "v")
     roots = components(pairs.select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u long, v long"))
+    discard(edges)
+    discard(sets)
     grouped = texts.join(roots.withColumnRenamed("node", "c"), "c", "left").groupBy(F.coalesce("root", "c").alias("group")).agg(F.min("first").alias("first"))
     return grouped.select("first.row_key", "group")
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, text_buffers, text_chunks, whole_groups
+from tessera.llm.common import discard, materialize, text_buffers, text_chunks, whole_groups
 
 #: Bytes of a string that counts as repeated, and of the gram that anchors it: the least hash among a string's grams.
 SPAN, GRAM = 100, 24
@@ -275,6 +275,7 @@ def frequent_grams(docs: DataFrame) -> np.ndarray:
     told = materialize(docs.select("text").mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
     total = told.where("h IS NULL").agg(F.sum("n")).first()[0] or 0
     found = told.where(F.col("h").isNotNull() & (F.col("n") * 2 * HOT_SHARE >= total) & (F.col("n") > HOT_GROUP // 2)).limit(2 * HOT_SHARE).collect()
+    discard(told)
     return np.sort(np.array([r.h for r in found], np.int64))
 
 

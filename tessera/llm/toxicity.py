@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, WORD, materialize, mix, text_buffers, text_chunks, words
+from tessera.llm.common import LOWER, WORD, discard, materialize, mix, text_buffers, text_chunks, words
 from tessera.llm.learn import Adam, Rows, bounded, remainder, sample_texts, sigmoid
 
 #: Buckets of hashed words and word openings; openings have this many bytes.
@@ -135,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4_096, most_u
             yield pa.RecordBatch.from_arrays([batch.column("positive"), slots], ["positive", "slots"])
 
     rows = sample.mapInArrow(run, "positive boolean, slots array<int>").toArrow()
+    discard(sample)
 
     def sparse(mask: np.ndarray) -> Rows:
         lists = [x for x, m in zip(rows.column("slots").to_numpy(zero_copy_only=False), mask, strict=True) if m]

@@ -85,3 +85,23 @@ def test_excerpts_cut_at_every_offset_are_found(spark):
     assert set(got) == {i for i, _ in docs} - {2001}  # 90 characters: under the least passage, and more than eight edits from any window
     assert all(got[i].edits == 0 for i, _ in docs if i < 1000)
     assert got[2000].n_windows >= 33
+
+
+def test_blocks_long_texts_and_clashing_columns(spark, monkeypatch):
+    """A benchmark of several blocks, texts of several pieces, repeated rows, null ids and columns of any name."""
+    rng = random.Random(15)
+    item = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    items = [(i, item(150)) for i in range(6)] + [(6, "tiny")]
+    filler = lambda n: "".join(rng.choice("ijklmnop") for _ in range(n))
+    docs = [(i, filler(40) + t + filler(40)) for i, t in items]
+    docs += [(20, filler(1_950) + items[0][1] + filler(900)), (21, filler(3_000)), (None, items[1][1]), (None, filler(200)), (22, None), (22, None), (0, docs[0][1])]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((str(i), k) for i, t in dict(enumerate(docs)).values() for k, x in items if t and x in t and len(x) >= d.LEAST)
+    clash = df.selectExpr("*", "1 AS leaked_id", "'n' AS normal_text", "doc_id AS item_id", "true AS `row`", "2 AS edits")
+    clean = sorted(str(i) for i, t in docs if not any(x in (t or "") for _, x in items[:6]))
+    for chars, piece in ((d.BLOCK_CHARS, d.PIECE), (300, 1_000)):
+        monkeypatch.setattr(d, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(d, "PIECE", piece)
+        assert sorted((str(r.doc_id), r.item_id) for r in d.find_leaks(df, bench).collect()) == sorted(set(want))
+        left = d.without_leaks(clash, bench)
+        assert left.dtypes == clash.dtypes and sorted(str(r.doc_id) for r in left.collect()) == clean
