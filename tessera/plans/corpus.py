@@ -188,12 +188,12 @@ def log_sink(t: Tables) -> DataFrame:
     return S.count_exact(t.spark.read.parquet(path))
 
 
-@query("X4_stream_change_detect", "SELECT page_id, seq, oh IS NULL OR oh <> h AS changed FROM (SELECT page_id, seq, h, lag(h) OVER (PARTITION BY page_id ORDER BY seq) AS oh FROM (SELECT doc_id % 200 AS page_id, doc_id AS seq, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM documents))")
+@query("X4_stream_change_detect", "SELECT page_id, seq, oh IS NULL OR oh <> h AS changed FROM (SELECT page_id, seq, h, lag(h) OVER (PARTITION BY page_id ORDER BY seq) AS oh FROM (SELECT doc_id // 5 AS page_id, doc_id AS seq, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM documents))")
 def change_stream(t: Tables) -> DataFrame:
     from tessera.sources.scratch import folder
 
     path = folder(t.spark, "changes")
-    pages = streamed(t, "documents").select((F.col("doc_id") % 200).alias("page_id"), F.col("doc_id").alias("seq"), F.col("text").alias("content_text"))
+    pages = streamed(t, "documents").select(F.floor(F.col("doc_id") / 5).alias("page_id"), F.col("doc_id").alias("seq"), F.col("text").alias("content_text"))
     streams.stream_change_detect(pages, f"{path}/versions", f"{path}/rows", f"{path}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{path}/rows").select("page_id", "seq", "changed")
 

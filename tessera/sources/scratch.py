@@ -21,3 +21,19 @@ def shared_root(spark: SparkSession) -> str:
 def folder(spark: SparkSession, name: str) -> str:
     """A new path under the shared root."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _path(spark, path)
+    return files.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote; one that isn't there is no error."""
+    where, files = _path(spark, path)
+    files.delete(where, True)

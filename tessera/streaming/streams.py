@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.sources.scratch import folder
+from tessera.sources.scratch import delete, exists, folder
 from tessera.sources.tables import validate_records
 
 
@@ -54,27 +54,27 @@ def stream_dedup_hash(stream: DataFrame, text: str, ts: str, late: str = "1 day"
 
 
 def stream_change_detect(stream: DataFrame, versions: str, changes: str, checkpoint: str, trigger: dict | None = None):
-    """Change rows of a stream of pages (page_id, seq, content_text): each micro-batch is compared with the latest versions written so far, and its own versions in the order of seq, then appended.
+    """Change rows of a stream of pages (page_id, seq, content_text): each micro-batch is compared with the latest version of every page, and its own versions in the order of seq.
 
-    versions and changes are folders; a micro-batch writes to a folder of its own number, so repeating it replaces it.
+    versions and changes are folders. A micro-batch writes its changes, and the latest versions after it, to folders of its own number,
+    so repeating it replaces them; it reads the latest versions before it, not the history, and the ones before those are deleted.
     """
     spark = stream.sparkSession
 
+    def latest(number: int) -> str:
+        return f"{versions}/latest-{number}"
+
     def step(batch: DataFrame, number: int) -> None:
         from tessera.operators.windows import change_lag
 
         rows = batch.select("page_id", "seq", C.content_hash("content_text").alias("content_hash"), F.length("content_text").cast("long").alias("content_length"))
-        try:
-            known = spark.read.parquet(versions).where(F.col("batch") < number).drop("batch")
-            last = known.groupBy("page_id").agg(F.max_by(F.struct("seq", "content_hash", "content_length"), "seq").alias("v")).select("page_id", "v.*")
-        except Exception as error:  # no version is written yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            last = rows.limit(0)
+        last = spark.read.schema(rows.schema).parquet(latest(number - 1)) if number and exists(spark, latest(number - 1)) else rows.limit(0)
         both = rows.withColumn("new", F.lit(True)).unionByName(last.withColumn("new", F.lit(False)))
         lagged = change_lag(both.withColumnRenamed("seq", "version_number")).withColumnRenamed("version_number", "seq")
         lagged.join(rows.select("page_id", "seq"), ["page_id", "seq"], "left_semi").write.mode("overwrite").parquet(f"{changes}/batch={number}")
-        rows.write.mode("overwrite").parquet(f"{versions}/batch={number}")
+        after = both.groupBy("page_id").agg(F.max_by(F.struct("seq", "content_hash", "content_length"), "seq").alias("v")).select("page_id", "v.*")
+        after.write.mode("overwrite").parquet(latest(number))
+        delete(spark, latest(number - 2))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
