@@ -22,10 +22,10 @@ CANDIDATES, QUERIES = 4_096, 1_024
 BLOCK, DEVIATIONS = 16, 2.1
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part: no null, zero or non-finite vector, none of another length than most have."""
+def usable(vectors: DataFrame, wanted: Column) -> DataFrame:
+    """vec_id, embedding and whether they are asked for, of the rows that take part: no null, zero or non-finite vector, none of another length than most have."""
     whole = F.expr("forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)")
-    kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(whole)
+    kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), wanted.alias("asked")).where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(whole)
     return kept
 
 
@@ -108,7 +108,7 @@ def _listed(index: Index):
         for batch in batches:
             for at in range(0, batch.num_rows, 2_048):
                 part = batch.slice(at, 2_048)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column("embedding"), pa.array(_near(index, part, False, 1)[:, 0].astype(np.int32))], ["id", "embedding", "list"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column("embedding"), pa.array(_near(index, part, False, 1)[:, 0].astype(np.int32))], ["id", "key", "embedding", "list"])
 
     return run
 
@@ -194,10 +194,10 @@ def _bound(limit: np.ndarray, d: int, size: int) -> np.ndarray:
 
 def _scan(index: Index, most: int):
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        cut, qid, cid, score = np.zeros(1, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        cut, qid, cid, key, score = np.zeros(1, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if candidates.num_rows and queries.num_rows:
             order = np.lexsort((candidates.column("id").to_numpy(), candidates.column("list").to_numpy()))
-            cid, x = candidates.column("id").to_numpy()[order], _matrix(candidates.column("embedding"), index.dim)[order]
+            cid, key, x = candidates.column("id").to_numpy()[order], candidates.column("key").to_numpy()[order], _matrix(candidates.column("embedding"), index.dim)[order]
             numbers, held = np.unique(candidates.column("list").to_numpy()[order], return_inverse=True)
             qid, q = queries.column("id").to_numpy(), _matrix(queries.column("embedding"), index.dim)
             turned = index.rotated(q, query=True)
@@ -215,10 +215,10 @@ def _scan(index: Index, most: int):
             order = np.lexsort((cid[at], -score, row))
             row, at, score = row[order], at[order], score[order]
             near = np.arange(len(row)) - np.searchsorted(row, row) < most
-            row, cid, score = row[near], cid[at[near]], score[near]
+            row, cid, key, score = row[near], cid[at[near]], key[at[near]], score[near]
             asked, head = np.unique(row, return_index=True)
             qid, cut = qid[asked], np.append(head, len(row)).astype(np.int32)
-        found = pa.StructArray.from_arrays([pa.array(-score), pa.array(cid, pa.int64())], ["s", "cid"])
+        found = pa.StructArray.from_arrays([pa.array(-score), pa.array(cid, pa.int64()), pa.array(key, pa.int64())], ["s", "cid", "key"])
         return pa.table({"qid": pa.array(qid, pa.int64()), "found": pa.ListArray.from_arrays(pa.array(cut), found)})
 
     return run
@@ -234,9 +234,9 @@ def _probe(index: Index, listed: DataFrame, n: int, queries: DataFrame, probes:
     deal = materialize(sizes.join(asked, "grp").select("grp", F.ceil(F.col("held") / CANDIDATES).cast("int").alias("cs"), F.ceil(F.col("asked") / QUERIES).cast("int").alias("qs")), "deal")
     own = lambda part: F.pmod(F.xxhash64("id"), F.col(part))
     every = lambda part: F.explode(F.sequence(F.lit(0).cast("long"), F.col(part).cast("long") - 1))
-    held = placed.join(deal, "grp").select("grp", "id", "embedding", "list", own("cs").alias("c"), every("qs").alias("q")).groupBy("grp", "c", "q")
+    held = placed.join(deal, "grp").select("grp", "id", "key", "embedding", "list", own("cs").alias("c"), every("qs").alias("q")).groupBy("grp", "c", "q")
     wanted = probed.join(deal, "grp").select("grp", "id", "embedding", "lists", own("qs").alias("q"), every("cs").alias("c")).groupBy("grp", "c", "q")
-    found = held.cogroup(wanted).applyInArrow(_scan(index, most), "qid long, found array<struct<s: double, cid: long>>")
+    found = held.cogroup(wanted).applyInArrow(_scan(index, most), "qid long, found array<struct<s: double, cid: long, key: long>>")
     best = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, most)
     return found.groupBy("qid").agg(best.alias("best"))
 
@@ -248,21 +248,22 @@ def search(vectors: DataFrame, wanted: Column, k: int = 20, lists: int | None =
     is no candidate, all other rows are. Vectors null, zero, of another length than most, or with null or non-finite components take no
     part, nor do rows without an id. Equal vectors are one candidate and one query, of which the k + 1 smallest ids are kept, which is
     all that any answer can name, so a vector that very many rows share costs as much as one. A query probes as many lists as the
-    fitted sample needs for TARGET of its own neighbours; queries that find fewer than k in them are sought in all lists. Rows that repeat a vec_id are distinct candidates and one query.
+    fitted sample needs for TARGET of its own neighbours; queries that find fewer than k in them are sought in all lists. Rows that repeat a vec_id are distinct candidates and
+    one query, by the least of their vectors. Other columns, whatever their names, are not read.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    valid = usable(vectors)
+    valid = usable(vectors, wanted)
     common = valid.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
     if common is None:
         return empty
     valid = valid.where(F.size("embedding") == common["size"])
     first = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    classes = materialize(valid.withColumn("nth", first).where(F.col("nth") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.col("ids")[0]), "classes")
-    asking = valid.where(wanted).distinct()
+    classes = materialize(valid.withColumn("nth", first).where(F.col("nth") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("embedding", "ids", F.col("ids")[0].alias("cid"), F.monotonically_increasing_id().alias("key")), "classes")
+    asking = valid.where("asked").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     queries = materialize(asking.groupBy("embedding").agg(F.min("vec_id").alias("qid")), "queries")
     index = fit(classes, lists, k=k)
-    listed = materialize(classes.select("cid", "embedding").mapInArrow(_listed(index), "id long, embedding array<double>, list int"), "lists")
+    listed = materialize(classes.select("cid", "key", "embedding").mapInArrow(_listed(index), "id long, key long, embedding array<double>, list int"), "lists")
     n = listed.count()
     found = materialize(_probe(index, listed, n, queries, index.probes, k + 1), "found")
     if index.probes < len(index.centres):
@@ -270,7 +271,7 @@ def search(vectors: DataFrame, wanted: Column, k: int = 20, lists: int | None =
         if not short.isEmpty():
             more = _probe(index, listed, n, short, len(index.centres), k + 1)
             found = found.join(short.select("qid"), "qid", "left_anti").unionByName(more)
-    rows = found.select("qid", F.inline("best")).join(classes.select("cid", "ids"), "cid").select("qid", F.explode("ids").alias("vec_id"), (-F.col("s")).alias("score"))
+    rows = found.select("qid", F.inline("best")).join(classes.select("key", "ids"), "key").select("qid", F.explode("ids").alias("vec_id"), (-F.col("s")).alias("score"))
     asked = asking.join(queries, "embedding").select(F.col("vec_id").alias("query_id"), "qid")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return asked.join(rows, "qid").where("query_id <> vec_id").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -57,3 +57,28 @@ def test_abandoned_candidates_are_far():
     _, alive = ann.adaptive_scan(q[None], x, np.repeat(np.arange(20), 100), np.ones((1, 20), bool), 20, np.array([0]))
     assert len(set(np.argsort(d)[:20].tolist()) & set(alive.tolist())) >= 19
     assert len(alive) < 200
+
+
+def test_repeated_ids_ties_and_clashing_names(spark):
+    """Rows that repeat an id are candidates each, and one query; equal vectors tie by id; other columns are not read."""
+    rng = np.random.default_rng(11)
+    rows = [(i // 2, rng.standard_normal(5).tolist()) for i in range(80)] + [(0, rows_vector := [1.0, 0.0, 0.0, 0.0, 0.0])] + [(100 + i, rows_vector) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS cid", "'x' AS score", "2 AS list", "3 AS qid", "'n' AS norm", "0 AS rank")
+    got = found(ann.search(df, F.col("vec_id") == 100, k=8))
+    q = np.array(rows_vector)
+    want = sorted((-float(np.array(v) @ q), i) for i, v in rows if i != 100)[:8]
+    assert [(i, round(s, 9)) for i, s in got[100]] == [(i, round(-d, 9)) for d, i in want]
+
+
+def test_recall_where_lists_are_many(spark):
+    """A thousand random vectors, the hardest case for lists, with four times as many lists as usual."""
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.standard_normal(32).tolist()) for i in range(3000)]
+    got = found(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, lists=400))
+    x = np.array([v for _, v in rows])
+    hits = 0
+    for qid in range(0, 3000, 100):
+        score = x @ x[qid]
+        score[qid] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & {i for i, _ in got[qid]})
+    assert hits / (30 * 20) >= 0.9
