@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.joins import page_source_filter
 from tessera.operators.predicates import filter_tags_overlap, filter_type
+from tessera.sources.scratch import stored
 
 # Words that are not indexed; positions count them all the same.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
@@ -25,6 +26,12 @@ def tokenize_index(df: DataFrame, id: str, col: str) -> DataFrame:
     return df.select(F.col(id).alias("id"), F.posexplode(words).alias("pos", "term")).where(~F.col("term").isin(*STOP))
 
 
+def write_index(index: DataFrame, path: str) -> DataFrame:
+    """Postings written once, sorted by term, and read again: what searches share, as a stored text index is."""
+    index.repartitionByRange(F.col("term")).sortWithinPartitions("term", "id", "pos").write.mode("overwrite").parquet(path)
+    return index.sparkSession.read.schema(index.schema).parquet(path)
+
+
 def _frequencies(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, term, tf) of the terms that any query has: each row's postings of a term become one before queries are joined."""
     return index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"))
@@ -41,7 +48,7 @@ def match_all_terms(index: DataFrame, terms: DataFrame) -> DataFrame:
 
     Only the rows that have a query's rarest term are looked at for its others.
     """
-    held = _frequencies(index, terms)
+    held = stored(_frequencies(index, terms), "frequencies")
     rows = held.groupBy("term").agg(F.count("*").alias("rows"))
     rare = terms.join(rows, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "term")).alias("rare"), F.count("*").alias("n"))
     maybe = held.join(rare.select("query_id", "n", F.col("rare.term").alias("term")), "term").select("query_id", "id", "n")
@@ -64,8 +71,8 @@ def text_rank_cd(index: DataFrame, terms: DataFrame) -> DataFrame:
     at a place; it is minimal if it starts later than the one before. Any number of terms is looked at.
     """
     need = terms.groupBy("query_id").agg(F.count("*").alias("n"))
-    whole = match_all_terms(index, terms).join(need, "query_id")
-    rows = index.join(whole.join(terms, "query_id"), ["id", "term"])
+    whole = stored(match_all_terms(index, terms).join(need, "query_id").join(terms, "query_id"), "matches")
+    rows = index.join(whole, ["id", "term"])
     places = rows.groupBy("query_id", "id", "n").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "term_no"))).alias("places"))
     begin = F.struct(F.array_repeat(F.lit(-1).cast("long"), F.col("n").cast("int")).alias("last"), F.lit(-1).cast("long").alias("before"), F.lit(0.0).alias("rank"))
 

@@ -13,6 +13,7 @@ from tessera.operators.windows import topk_per_query
 from tessera.plans.fixtures import Tables
 from tessera.plans.registry import query
 from tessera.session import AS_OF
+from tessera.sources.scratch import folder
 
 D = "::DOUBLE[]"
 
@@ -63,8 +64,16 @@ def indexed(rest: str) -> str:
     return f"WITH idx AS ({INDEX}), wanted AS ({WANTED}), need AS ({NEED}), held AS ({HELD}), cover AS ({COVER}) {rest}"
 
 
+#: The text index of each input folder, by application: built by the first search of it, as a store builds its index once.
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
+
+
 def index(t: Tables) -> DataFrame:
-    return T.tokenize_index(t("documents"), "doc_id", "text")
+    """The stored postings of all documents."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = T.write_index(T.tokenize_index(t("documents"), "doc_id", "text"), folder(t.spark, "postings"))
+    return _INDEXES[key]
 
 
 HYBRID = f"""SELECT q.query_id, q.q_text, x.id, NULL AS chunk_id, {COS} AS similarity FROM kb_documents x CROSS JOIN qv q WHERE x.embedding IS NOT NULL AND {COS} > 0.1
@@ -167,7 +176,7 @@ query("V19_reembed_all", "SELECT count(*) FILTER (WHERE b <> '') AS processed, c
 query("V20_embed_or_placeholder", "SELECT id, CASE WHEN content_text IS NULL THEN 0e0 ELSE 1e0 END AS confidence, CASE WHEN content_text IS NULL THEN 'error' ELSE 'text' END AS method, 64 AS dim FROM kb_documents")(lambda t: V.embed_safe(t("kb_documents").drop("embedding"), "content_text", V.hashed_embedder()).select("id", "confidence", "method", F.size("embedding").alias("dim")))
 query("V21_document_embedding")(lambda t: _unit(V.document_embedding(t("kb_documents").select("id", "type", "content_text"), t("kb_frames").select("document_id", "frame_number", F.col("ocr_text").alias("description")), V.hashed_embedder()), "id"))
 
-query("T1_tokenize_index", f"SELECT id, count(*) AS n, cast(max(pos) AS bigint) AS last_pos, count(DISTINCT term) AS terms FROM ({INDEX}) GROUP BY 1")(lambda t: index(t).groupBy("id").agg(F.count("*").alias("n"), F.max("pos").cast("long").alias("last_pos"), F.countDistinct("term").alias("terms")))
+query("T1_tokenize_index", f"SELECT id, count(*) AS n, cast(max(pos) AS bigint) AS last_pos, count(DISTINCT term) AS terms FROM ({INDEX}) GROUP BY 1")(lambda t: T.tokenize_index(t("documents"), "doc_id", "text").groupBy("id").agg(F.count("*").alias("n"), F.max("pos").cast("long").alias("last_pos"), F.countDistinct("term").alias("terms")))
 query("T2_match_all_terms", indexed(ALL))(lambda t: T.match_all_terms(index(t), T.query_terms(text_queries(t))))
 
 
