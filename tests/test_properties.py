@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
+from tessera.functions import udtf
 from tessera.operators import fulltext, ranking, text, vectors, web
 from tessera.plans import registry
 from tessera.sources import tables
@@ -195,3 +196,22 @@ def test_all_links_of_a_page(spark):
     pages = spark.createDataFrame([(1, "https://a.example/", html)], "page_id long, url string, html string")
     assert web.extract_links(pages).count() == 100
     assert web.extract_links(pages, 250).count() == 250
+
+
+def test_stems_let_forms_of_a_word_meet(spark):
+    docs = spark.createDataFrame([(1, "Deployments of the services"), (2, "deploying a service"), (3, "the dear deer")], "id long, text string")
+    asked = spark.createDataFrame([(7, "service deployed")], "query_id long, query string")
+    hits = fulltext.match_all_terms(fulltext.tokenize_index(docs, "id", "text", stems=True), fulltext.query_terms(asked, stems=True))
+    assert {r.id for r in hits.collect()} == {1, 2}
+    assert fulltext.match_all_terms(fulltext.tokenize_index(docs, "id", "text"), fulltext.query_terms(asked)).count() == 0
+
+
+def test_table_functions_give_what_the_operators_give(spark):
+    udtf.register(spark)
+    spark.createDataFrame([(1, "# A\nsome words here. " * 600 + "\n# B\nmore of them! " * 400), (2, None), (3, "")], "id long, content_text string").createOrReplaceTempView("udtf_docs")
+    got = spark.sql("SELECT id, chunk_index, chunk_text, token_count FROM udtf_docs, LATERAL text_chunks(content_text)").collect()
+    want = text.chunk_documents(spark.table("udtf_docs")).select("document_id", "chunk_index", "chunk_text", "token_count").collect()
+    assert len(got) > 3 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    spark.createDataFrame([(1, "https://a.example/x/", '<a href="y">1</a><a href="/z">2</a><a href="y">3</a>')], "page_id long, url string, html string").createOrReplaceTempView("udtf_pages")
+    links = spark.sql("SELECT page_id, pos, link FROM udtf_pages, LATERAL page_links(url, html)").collect()
+    assert sorted(map(tuple, links)) == sorted(map(tuple, web.extract_links(spark.table("udtf_pages")).collect())) and len(links) == 2
