@@ -55,3 +55,11 @@ def test_round_trip_of_odd_rows(spark):
         spans = "".join(r.formatted[s.start : s.start + s.length] for s in r.loss_spans)
         assert r.conv_id != 3 or spans == "".join(f"t{t}" for t in range(1, 40, 2))
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_clashing_columns_are_not_read(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "assistant", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clash = df.selectExpr("*", "7 AS tree", "true AS no_tree", "9 AS node", "'p' AS parent", "1.5 AS score", "0 AS depth", "'f' AS formatted", "1 AS branch")
+    plain, odd = (sorted(map(tuple, chat.digests(chat.format_conversations(d)).collect())) for d in (df, clash))
+    assert plain == odd and [r[0] for r in odd] == [1, 2]
