@@ -152,7 +152,7 @@ def _unit(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     return df.select(key, F.size(vector).alias("dim"), F.round(C.norm(vector), 6).alias("norm"))
 
 
-query("V14_embed_text")(lambda t: _unit(V.embed_text(t("documents"), "text", V.hashed_embedder()), "doc_id"))
+query("V14_embed_text", "SELECT doc_id, CASE WHEN regexp_matches(text, '\\S') THEN 64 END AS dim, CASE WHEN regexp_matches(text, '\\S') THEN 1e0 END AS norm FROM documents")(lambda t: _unit(V.embed_text(t("documents"), "text", V.hashed_embedder()), "doc_id"))
 query("V15_parse_embedding", "SELECT vec_id, len(embedding) AS dim FROM embeddings WHERE vec_id % 5 <> 0")(
     lambda t: t("embeddings").withColumn("e", C.parse_embedding(F.when(F.col("vec_id") % 5 == 0, "not a vector").otherwise(F.to_json("embedding")))).where("e IS NOT NULL").select("vec_id", F.size("e").cast("long").alias("dim"))
 )
