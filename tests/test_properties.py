@@ -1,5 +1,6 @@
 """Rules that hold for any input, and hand-made cases of odd rules."""
 
+import hashlib
 import random
 import re
 
@@ -215,3 +216,33 @@ def test_table_functions_give_what_the_operators_give(spark):
     spark.createDataFrame([(1, "https://a.example/x/", '<a href="y">1</a><a href="/z">2</a><a href="y">3</a>')], "page_id long, url string, html string").createOrReplaceTempView("udtf_pages")
     links = spark.sql("SELECT page_id, pos, link FROM udtf_pages, LATERAL page_links(url, html)").collect()
     assert sorted(map(tuple, links)) == sorted(map(tuple, web.extract_links(spark.table("udtf_pages")).collect())) and len(links) == 2
+
+
+def plain_chunks(body):
+    """The rule of chunks in closed form: 385 words, on to the first that ends a sentence, 770 at most; the next begins 76 back."""
+    words, s, out = re.split(r"\s+", body), 0, []
+    while True:
+        last = min(s + 770, len(words))
+        e = next((i + 1 for i in range(s + 385, last) if words[i][-1:] in (".", "!", "?")), last)
+        if len(" ".join(words[s:e])) >= 100:
+            out.append((" ".join(words[s:e]), int((e - s) * 13) // 10))
+        if e >= len(words):
+            return out
+        s = max(e - 76, s + 1)
+
+
+def test_chunks_of_whole_tables_against_brute_force(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {}
+    for r in sorted(registry.queries()["T10_chunk_section"](spark, sf_dir).collect(), key=lambda r: (r.document_id, r.chunk_index)):
+        got.setdefault(r.document_id, []).append((r.n_chars, r.token_count))
+    want = {i: [(len(c), n) for c, n in plain_chunks(re.sub(r"\n\s*\n", "\n", t))] for i, t in docs.items() if t}
+    assert got == {i: c for i, c in want.items() if c}
+    found = {}
+    for r in sorted(registry.queries()["T12_chunk_documents"](spark, sf_dir).collect(), key=lambda r: (r.document_id, r.chunk_index)):
+        assert r.chunk_index == len(found.setdefault(r.document_id, []))
+        found[r.document_id].append((r.digest, r.token_count))
+    whole = {i: plain_chunks(t) for i, t in docs.items() if t and i % 13 and not re.search(r"(?m)^#{1,6}\s|\n\n", t)}
+    assert len(whole) > 0.9 * len([i for i in docs if i % 13])
+    for i, chunks in whole.items():
+        assert found.get(i, []) == [(hashlib.sha256(c.encode()).hexdigest(), n) for c, n in chunks]
