@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import LOWER, discard, materialize, mix, text_buffers, text_chunks, words
 from tessera.llm.learn import Adam, Rows, remainder, sample_texts, sigmoid
 
-#: Buckets of hashed words (lower case), of hashed pairs of them, and of n-grams of character classes, with the lengths of the latter.
+#: Buckets of hashed words (lower case), and of n-grams of character classes, with the lengths of the latter.
 BUCKETS, GRAMS = 1 << 14, (2, 4)
 #: Steps of the share of words that repeat the word before them, and of distinct words, each a feature of its own.
 STEPS = 16
-PARTS = len(GRAMS) + 2
+PARTS = len(GRAMS) + 1
 COLUMNS = BUCKETS * PARTS + 2 * STEPS
 
 
@@ -36,7 +36,7 @@ CLASSES = _classes()
 
 
 def features(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, column, value) parts: shares of the class n-grams, words and word pairs of a text, and a constant for the step of each share of words."""
+    """(row, column, value) parts: shares of the class n-grams and words of a text, and a constant for the step of each share of words."""
     raw, starts = text_buffers(batch.column("text"))
     n = batch.num_rows
     size = np.diff(starts)
@@ -55,10 +55,6 @@ def features(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.nda
     hashed, _, _, of = words(LOWER[raw], starts)
     count = np.bincount(of, minlength=n)
     parts.append((of, (hashed % np.uint64(BUCKETS)).astype(np.int64) + len(GRAMS) * BUCKETS, 1.0 / count[of]))
-    together = of[1:] == of[:-1]
-    with np.errstate(over="ignore"):
-        pair = mix(hashed[:-1] * np.uint64(3) + hashed[1:])[together]
-    parts.append((of[1:][together], (pair % np.uint64(BUCKETS)).astype(np.int64) + (len(GRAMS) + 1) * BUCKETS, 1.0 / count[of[1:][together]]))
     again = np.bincount(of[1:][(hashed[1:] == hashed[:-1]) & (of[1:] == of[:-1])], minlength=n) if len(hashed) else np.zeros(n)
     order = np.lexsort((hashed, of))
     fresh = np.ones(len(hashed), bool)
@@ -140,10 +136,13 @@ def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", most_rows
 
     rows = sample.mapInArrow(run, "grade double, columns array<int>, values array<float>").toArrow()
     discard(sample)
-    columns, values = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("columns", "values"))
-    sizes = np.array([len(c) for c in columns], np.int64)
-    x = Rows(np.repeat(np.arange(len(sizes)), sizes), np.concatenate(columns).astype(np.int64), np.concatenate(values).astype(np.float64), len(sizes), COLUMNS)
-    weight, thresholds = fit(x, np.searchsorted(grades, rows.column("grade").to_numpy()), len(grades))
+    grade = np.searchsorted(grades, rows.column("grade").to_numpy())
+    columns, values = (rows.column(c).combine_chunks() for c in ("columns", "values"))
+    del rows  # the driver holds each array once
+    sizes = np.diff(columns.offsets.to_numpy())
+    x = Rows(np.repeat(np.arange(len(sizes)), sizes), columns.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy(), len(sizes), COLUMNS)
+    del columns
+    weight, thresholds = fit(x, grade, len(grades))
     return Model(grades, weight, thresholds)
 
 

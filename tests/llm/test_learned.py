@@ -125,8 +125,6 @@ def plain_quality_features(text):
     low = [word_hash(w) for w in raw.lower().split()]
     for h in low:
         add(h % quality.BUCKETS + 2 * quality.BUCKETS, 1 / len(low))
-    for a, b in zip(low, low[1:]):
-        add(mixed(a * 3 + b) % quality.BUCKETS + 3 * quality.BUCKETS, 1 / len(low))
     n = max(len(low), 1)
     for k, share in enumerate((sum(a == b for a, b in zip(low, low[1:])) / n, len(set(low)) / n)):
         add(quality.BUCKETS * quality.PARTS + k * quality.STEPS + min(int(share * quality.STEPS), quality.STEPS - 1), 0.2)
