@@ -22,6 +22,17 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8 bytes, by halves of bytes."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    digit = f"instr('0123456789ABCDEF', hex(encode({text}))[i + 2 - 2 * (i % 2)]) - 1"
+    return f"xor(list_reduce(list_transform(range(2 * octet_length(encode({text}))), lambda i: {digit}), lambda c, n: xor(c >> 4, {table}[(xor(c, n) & 15) + 1]), 4294967295), 4294967295)"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or without that setting a new temporary one, in local mode (tests) only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
