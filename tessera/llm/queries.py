@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, decontaminate, licenses, lm, mixing, quality, resample, simhash, suffix, tokens, toxicity
+from tessera.llm import ann, chat, decontaminate, licenses, lm, mixing, quality, resample, simhash, spelling, suffix, tokens, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op11_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_scan_licenses": op9_scan_licenses,
         "op10_decontaminate": op10_decontaminate,
         "op11_count_tokens": op11_count_tokens,
+        "op12_spelling": op12_spelling,
         "op13_resample": op13_resample,
     }
 
@@ -88,5 +93,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": mixing.ORACLE_SQL.format(docs="documents"),
         "op3_format_chat": chat.ORACLE_SQL,
+        "op12_spelling": spelling.ORACLE_SQL,
         "op13_resample": resample.ORACLE_SQL,
     }
