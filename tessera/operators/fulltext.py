@@ -16,30 +16,14 @@ STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "i
 TERM = r"[\p{L}\p{N}]+"
 
 
-#: Endings that a stem goes without; four letters at least stay before them.
-ENDINGS = "ments|ment|ations|ation|ings|ing|edly|ied|ies|ed|es|ly|s|e"
-
-
-def stem(term: Column) -> Column:
-    """A word without a common English ending, so that forms of one word meet: deploying, deployed and deployments are deploy."""
-    return F.regexp_replace(term, rf"^([\p{{L}}\p{{N}}]{{4,}}?)(?:{ENDINGS})$", "$1")
-
-
 def terms_of(text: str) -> list[str]:
     return [w for w in dict.fromkeys(re.findall(r"[^\W_]+", text.lower())) if w not in STOP]
 
 
-def tokenize_index(df: DataFrame, id: str, col: str, stems: bool = False) -> DataFrame:
-    """Postings of a text column: words of letters and digits, lower case, with their positions from 0; stems: by their stems, as query_terms then must too."""
+def tokenize_index(df: DataFrame, id: str, col: str) -> DataFrame:
+    """Postings of a text column: words of letters and digits, lower case, with their positions from 0. English stems are in textindex."""
     words = F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(TERM), F.lit(0))
-    rows = df.select(F.col(id).alias("id"), F.posexplode(words).alias("pos", "term")).where(~F.col("term").isin(*STOP))
-    return rows.withColumn("term", stem(F.col("term"))) if stems else rows
-
-
-def write_index(index: DataFrame, path: str) -> DataFrame:
-    """Postings written once, sorted by term, and read again: what searches share, as a stored text index is."""
-    index.repartitionByRange(F.col("term")).sortWithinPartitions("term", "id", "pos").write.mode("overwrite").parquet(path)
-    return index.sparkSession.read.schema(index.schema).parquet(path)
+    return df.select(F.col(id).alias("id"), F.posexplode(words).alias("pos", "term")).where(~F.col("term").isin(*STOP))
 
 
 def _frequencies(index: DataFrame, terms: DataFrame) -> DataFrame:
@@ -47,11 +31,10 @@ def _frequencies(index: DataFrame, terms: DataFrame) -> DataFrame:
     return index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def query_terms(queries: DataFrame, text: str = "query", stems: bool = False) -> DataFrame:
-    """The distinct terms of each query, numbered from 0; stems: their stems."""
+def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
+    """The distinct terms of each query, numbered from 0."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda w: ~w.isin(*STOP))
-    words = F.array_distinct(F.transform(words, stem) if stems else words)
-    return queries.select("query_id", F.posexplode(words).alias("term_no", "term"))
+    return queries.select("query_id", F.posexplode(F.array_distinct(words)).alias("term_no", "term"))
 
 
 def match_all_terms(index: DataFrame, terms: DataFrame) -> DataFrame:

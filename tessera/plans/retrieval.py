@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import fulltext as T
+from tessera.operators import textindex as X
 from tessera.operators import ranking as R
 from tessera.operators import vectors as V
 from tessera.operators.windows import topk_per_query
 from tessera.plans.fixtures import Tables
 from tessera.plans.registry import query
 from tessera.session import AS_OF
-from tessera.sources.scratch import folder
 
 D = "::DOUBLE[]"
 
@@ -64,16 +64,9 @@ def indexed(rest: str) -> str:
     return f"WITH idx AS ({INDEX}), wanted AS ({WANTED}), need AS ({NEED}), held AS ({HELD}), cover AS ({COVER}) {rest}"
 
 
-#: The text index of each input folder, by application: built by the first search of it, as a store builds its index once.
-_INDEXES: dict[tuple[str, str], DataFrame] = {}
-
-
 def index(t: Tables) -> DataFrame:
-    """The stored postings of all documents."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _INDEXES:
-        _INDEXES[key] = T.write_index(T.tokenize_index(t("documents"), "doc_id", "text"), folder(t.spark, "postings"))
-    return _INDEXES[key]
+    """The postings of all documents as they are now; a search reads those of its queries' terms."""
+    return T.tokenize_index(t("documents"), "doc_id", "text")
 
 
 HYBRID = f"""SELECT q.query_id, q.q_text, x.id, NULL AS chunk_id, {COS} AS similarity FROM kb_documents x CROSS JOIN qv q WHERE x.embedding IS NOT NULL AND {COS} > 0.1
@@ -177,6 +170,14 @@ query("V20_embed_or_placeholder", "SELECT id, CASE WHEN content_text IS NULL THE
 query("V21_document_embedding")(lambda t: _unit(V.document_embedding(t("kb_documents").select("id", "type", "content_text"), t("kb_frames").select("document_id", "frame_number", F.col("ocr_text").alias("description")), V.hashed_embedder()), "id"))
 
 query("T1_tokenize_index", f"SELECT id, count(*) AS n, cast(max(pos) AS bigint) AS last_pos, count(DISTINCT term) AS terms FROM ({INDEX}) GROUP BY 1")(lambda t: T.tokenize_index(t("documents"), "doc_id", "text").groupBy("id").agg(F.count("*").alias("n"), F.max("pos").cast("long").alias("last_pos"), F.countDistinct("term").alias("terms")))
+
+
+@query("T1_english_terms")
+def english_terms(t: Tables) -> DataFrame:
+    """The English index of all documents: stems without stop words, with how often and where they stand."""
+    return X.english_terms(t("documents"), "doc_id", "text").select("id", "term", "tf", F.element_at("places", 1).alias("first_pos"), F.element_at("places", -1).alias("last_pos"))
+
+
 query("T2_match_all_terms", indexed(ALL))(lambda t: T.match_all_terms(index(t), T.query_terms(text_queries(t))))
 
 
@@ -199,6 +200,30 @@ def keyword(t: Tables) -> DataFrame:
 query("T5_text_rank_cd", indexed("SELECT query_id, id, round(text_rank, 6) AS text_rank FROM cover"))(lambda t: shown(T.text_rank_cd(index(t), T.query_terms(text_queries(t))), "query_id", "id", "text_rank"))
 RANK = "SELECT f.query_id, f.id, sum(0.1e0 * (1 + ln(f.tf))) / any_value(d.n) AS text_rank FROM (SELECT w.query_id, i.id, i.term, count(*) AS tf FROM idx i JOIN wanted w ON w.term = i.term GROUP BY 1, 2, 3) f JOIN need d ON d.query_id = f.query_id GROUP BY 1, 2"
 query("T6_text_rank", indexed(RANK.replace("SELECT f.query_id, f.id, sum", "SELECT f.query_id, f.id, round(sum", 1).replace("any_value(d.n) AS", "any_value(d.n), 6) AS")))(lambda t: shown(T.text_rank(index(t), T.query_terms(text_queries(t))), "query_id", "id", "text_rank"))
+
+def short_terms(t: Tables) -> DataFrame:
+    """Short queries: the first three terms of every benchmark item."""
+    texts = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return T.query_terms(texts).where("term_no < 3")
+
+
+def shortly(rest: str) -> str:
+    """SQL over the same names as indexed, for the short queries."""
+    return f"WITH idx AS ({INDEX}), all_wanted AS ({WANTED.replace('WHERE item_id % 8 = 0', '')}), wanted AS (SELECT * FROM all_wanted WHERE term_no < 3), need AS ({NEED}), held AS ({HELD}), cover AS ({COVER}) {rest}"
+
+
+query("T2_match_short", shortly(ALL))(lambda t: T.match_all_terms(index(t), short_terms(t)))
+query("T5_rank_short", shortly("SELECT query_id, id, round(text_rank, 6) AS text_rank FROM cover"))(lambda t: shown(T.text_rank_cd(index(t), short_terms(t)), "query_id", "id", "text_rank"))
+
+
+@query("T6_top_blocks", None)
+def top_blocks(t: Tables) -> DataFrame:
+    """The ten best documents of every benchmark item's text, from the blocks of an English index that can hold them."""
+    held = X.build(t("documents"), "doc_id", "text")
+    texts = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return shown(X.top_ranked(held, X.english_query(texts)), "query_id", "id", "text_rank")
+
+
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 TITLED = WANTED.replace("item_id, regexp_extract_all(lower(text)", f"page_id AS item_id, regexp_extract_all(lower({TITLE})").replace("FROM benchmark WHERE item_id % 8 = 0", "FROM pages WHERE page_id % 100 = 0")
 PIDX = INDEX.replace("doc_id AS id", "page_id AS id").replace("text)", "regexp_replace(html, '<[^>]*>', ' ', 'g'))").replace("FROM documents", "FROM pages")

@@ -199,14 +199,6 @@ def test_all_links_of_a_page(spark):
     assert web.extract_links(pages, 250).count() == 250
 
 
-def test_stems_let_forms_of_a_word_meet(spark):
-    docs = spark.createDataFrame([(1, "Deployments of the services"), (2, "deploying a service"), (3, "the dear deer")], "id long, text string")
-    asked = spark.createDataFrame([(7, "service deployed")], "query_id long, query string")
-    hits = fulltext.match_all_terms(fulltext.tokenize_index(docs, "id", "text", stems=True), fulltext.query_terms(asked, stems=True))
-    assert {r.id for r in hits.collect()} == {1, 2}
-    assert fulltext.match_all_terms(fulltext.tokenize_index(docs, "id", "text"), fulltext.query_terms(asked)).count() == 0
-
-
 def test_table_functions_give_what_the_operators_give(spark):
     udtf.register(spark)
     spark.createDataFrame([(1, "# A\nsome words here. " * 600 + "\n# B\nmore of them! " * 400), (2, None), (3, "")], "id long, content_text string").createOrReplaceTempView("udtf_docs")
