@@ -13,6 +13,7 @@ from tessera.operators.vectors import hashed_embedder
 from tessera.plans.fixtures import Tables
 from tessera.plans.registry import query
 from tessera.session import AS_OF
+from tessera.sources import files
 from tessera.sources import tables as S
 from tessera.streaming import streams
 
@@ -42,6 +43,7 @@ query("S4_blob_reassemble", f"SELECT session, CASE WHEN bool_and(there) THEN sha
 query("S5_text_ingest", "SELECT id, regexp_extract(lower(file_path), '(\\.[^./]+)$', 1) AS ext, CASE WHEN lower(file_path) LIKE '%.txt' OR lower(file_path) LIKE '%.md' THEN length(trim(content_text)) END AS n, CASE WHEN lower(file_path) LIKE '%.txt' OR lower(file_path) LIKE '%.md' THEN 'completed' ELSE 'error' END AS status FROM kb_documents WHERE content_text IS NOT NULL")(
     lambda t: S.text_ingest(t("kb_documents").where("content_text IS NOT NULL").select("id", F.col("file_path").alias("path"), F.col("content_text").alias("content"))).select("id", "ext", F.length("content_text").cast("long").alias("n"), "status")
 )
+query("S3_file_manifest")(lambda t: files.manifest(files.read_files(t.spark, t.sf_dir, "*.parquet")).select("name", "ext", "length"))
 query("S6_whitespace_clean", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS cleaned FROM documents")(lambda t: t("documents").select("doc_id", C.whitespace_clean("text").alias("cleaned")))
 query("S7_json_field", "SELECT event_id, json_extract_string(props, '$.k') AS field FROM events")(lambda t: t("events").select("event_id", C.json_field("props", "$.k").alias("field")))
 NEW = lambda t: t("kb_documents").where("id % 4 = 0").select("id", F.concat("title", F.lit(" v2")).alias("title"), "type").unionByName(t("kb_documents").where("id % 100 = 1").select((F.col("id") + 1_000_000).alias("id"), "title", "type"))
