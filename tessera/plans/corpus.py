@@ -172,11 +172,11 @@ def health_stream(t: Tables) -> DataFrame:
     return streamed(t).select("ts", F.expr(HEALTH).alias("overall_status"), F.col("value").alias("avg_response_time"), (F.col("value") / 10).alias("error_rate"), (F.col("value") * 2).alias("throughput"))
 
 
-query("X1_stream_health_trend", "SELECT date_trunc('hour', ts) AS time_bucket, round(avg(avg_response_time), 6) AS avg_response_time, round(count(*) FILTER (WHERE overall_status = 'healthy') * 100e0 / count(*), 6) AS healthy_percentage FROM kb_health GROUP BY 1")(
-    lambda t: streams.drained(streams.stream_health_trend(health_stream(t)), "complete").select("time_bucket", F.round("avg_response_time", 6).alias("avg_response_time"), F.round("healthy_percentage", 6).alias("healthy_percentage"))
+query("X1_stream_health_trend", "SELECT date_trunc('hour', ts) AS time_bucket, round(avg(avg_response_time), 6) AS avg_response_time, round(count(*) FILTER (WHERE overall_status = 'healthy') * 100e0 / count(*), 6) AS healthy_percentage FROM kb_health GROUP BY 1 HAVING date_trunc('hour', ts) + INTERVAL '3' HOUR <= (SELECT max(ts) FROM kb_health)")(
+    lambda t: streams.drained(streams.stream_health_trend(health_stream(t))).select("time_bucket", F.round("avg_response_time", 6).alias("avg_response_time"), F.round("healthy_percentage", 6).alias("healthy_percentage"))
 )
-query("X2_stream_error_summary", "SELECT as_of, component, error_type, count(*) AS error_count, max(ts) AS last_occurrence, count(*) FILTER (WHERE resolved) AS resolved_count FROM (SELECT *, unnest(list_transform(range(1, 25), lambda h: date_trunc('hour', ts) + h * INTERVAL '1' HOUR)) AS as_of FROM kb_errors) GROUP BY 1, 2, 3")(
-    lambda t: streams.drained(streams.stream_error_summary(streamed(t).where("event_type = 'error'").selectExpr("ts", "concat('component_', cast(user_id % 5 AS string)) AS component", "CASE WHEN value < 20 THEN 'timeout' ELSE 'exception' END AS error_type", "event_id % 3 = 0 AS resolved")), "complete")
+query("X2_stream_error_summary", "SELECT as_of, component, error_type, count(*) AS error_count, max(ts) AS last_occurrence, count(*) FILTER (WHERE resolved) AS resolved_count FROM (SELECT *, unnest(list_transform(range(1, 25), lambda h: date_trunc('hour', ts) + h * INTERVAL '1' HOUR)) AS as_of FROM kb_errors) GROUP BY 1, 2, 3 HAVING as_of + INTERVAL '2' HOUR <= (SELECT max(ts) FROM kb_errors)")(
+    lambda t: streams.drained(streams.stream_error_summary(streamed(t).where("event_type = 'error'").selectExpr("ts", "concat('component_', cast(user_id % 5 AS string)) AS component", "CASE WHEN value < 20 THEN 'timeout' ELSE 'exception' END AS error_type", "event_id % 3 = 0 AS resolved")))
 )
 
 
@@ -196,8 +196,8 @@ def change_stream(t: Tables) -> DataFrame:
 
     path = folder(t.spark, "changes")
     pages = streamed(t, "documents").select(F.floor(F.col("doc_id") / 5).alias("page_id"), F.col("doc_id").alias("seq"), F.col("text").alias("content_text"))
-    streams.stream_change_detect(pages, f"{path}/versions", f"{path}/rows", f"{path}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{path}/rows").select("page_id", "seq", "changed")
+    streams.stream_change_detect(pages, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return streams.current_changes(t.spark.read.parquet(f"{path}/rows")).select("page_id", "seq", "changed")
 
 
 query("X5_stream_pending_sweep", "SELECT id FROM kb_documents WHERE (content_text IS NULL OR transcription IS NULL) AND id % 11 <> 0")(

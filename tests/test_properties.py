@@ -136,22 +136,6 @@ def test_analysis_records(spark):
     assert got[2].contains_diagrams and got[2].contains_ui and got[2].confidence == 0.3 and got[3].confidence == 0.3
 
 
-def test_stream_changes_over_batches(spark, tmp_path):
-    rng = random.Random(1)
-    rows = [(rng.randrange(5), i, rng.choice("abc") * rng.randrange(1, 30)) for i in range(60)]
-    df = spark.createDataFrame(rows, "page_id int, seq int, content_text string")
-    for k in range(3):
-        df.where((F.col("seq") >= k * 20) & (F.col("seq") < k * 20 + 20)).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{tmp_path}/in")
-    streams.stream_change_detect(stream, f"{tmp_path}/v", f"{tmp_path}/c", f"{tmp_path}/k").awaitTermination()
-    got = {(r.page_id, r.seq): r.changed for r in spark.read.parquet(f"{tmp_path}/c").collect()}
-    last, want = {}, {}
-    for p, i, t in rows:
-        want[(p, i)] = last.get(p) != t
-        last[p] = t
-    assert got == want
-
-
 def test_long_queries_are_answered_whole(spark):
     """Nine and twenty terms: a row that lacks one is no hit, and ranks are those of a plain count of minimal spans."""
     names = [f"w{i}x" for i in range(20)]
