@@ -219,12 +219,13 @@ def _verify(codes: np.ndarray, row: np.ndarray, w: Index, owner: np.ndarray, own
     return np.stack((own, owner, offset, first, end, distance), axis=1)[distance <= e]
 
 
-def _blocks(benchmark: DataFrame, size: int | None = None) -> Iterator[tuple[Index, bool]]:
+def _blocks(benchmark: DataFrame, size: int | None = None, named: bool = True) -> Iterator[tuple[Index, bool]]:
     """Indexes of the benchmark, a stated query set, in blocks of about `size` characters (an item stays whole), and whether there are several.
 
-    A block is made when it is asked for, small enough to go to all tasks; the driver holds one at a time.
+    A block is made when it is asked for, small enough to go to all tasks; the driver holds one at a time. named: items with an id, which is kept; else every text counts, as 0.
     """
-    rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), normal(F.col("text")).alias("text")).where(F.length("text") >= LEAST).distinct()
+    kept = benchmark.where(F.col("item_id").isNotNull()).withColumn("item_id", F.col("item_id").cast("long")) if named else benchmark.select(F.lit(0).cast("long").alias("item_id"), "text")
+    rows = kept.select("item_id", normal(F.col("text")).alias("text")).where(F.length("text") >= LEAST).distinct()
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // (size or BLOCK_CHARS))
     for b in range(blocks):
@@ -258,7 +259,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and benchmark item of which it holds a passage: doc_id, item_id, n_windows (windows found), chars (from the first to the end of the last), edits (fewest of a window).
 
     Both sides are lower-cased and white space is one blank. An item is looked for by windows of WINDOW characters
-    from each of its characters on (a shorter item whole), each within EDITS of its length, so no excerpt of WINDOW characters is missed. Null and empty texts hold nothing; null item ids and
+    from each of its characters on (a shorter item whole), each within EDITS of its length, so no excerpt of WINDOW characters is missed. Null and empty texts hold nothing; items without an id, which have no name to report, and
     items under LEAST characters are not looked for; items that repeat are found under each id. Repeated documents of
     one id are one document. Texts are scanned whole, long ones in pieces that overlap by more than a window.
     """
@@ -280,10 +281,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with whatever columns, whose text holds no passage of a benchmark item (find_leaks). Each row is judged by its own text, whatever its id; nothing is shuffled."""
+    """The rows of docs, with whatever columns, whose text holds no passage of a benchmark item (find_leaks), with or without an id. Each row is judged by its own text, whatever its id; nothing is shuffled."""
     names, schema = docs.columns, docs.schema
     before = None
-    for w, several in _blocks(benchmark):
+    for w, several in _blocks(benchmark, named=False):
 
         def run(batches: Iterable[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
             for batch in text_chunks(batches, "normal_text"):

@@ -47,22 +47,23 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 def permuted_positions(docs: DataFrame) -> DataFrame:
     """First word position of each document in its source's permuted stream.
 
-    The permutation orders a source by md5 of the seed and id. Its running sum is taken in two steps,
+    The permutation orders a source by md5 of the seed and id, and rows without an id by md5 of the seed and their text's digest; rows of
+    one id follow each other by digest, so no order depends on size. Rows alike in id and text are in one bucket, in any order. The running sum is taken in two steps,
     within a bucket of hash digits and over the buckets of a source, so that a source with a third of
     all documents is summed by thousands of tasks.
     """
-    key = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    key = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), "digest"))))
     keyed = docs.withColumn("order_key", key).withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
     heads = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     heads = heads.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("has_source", F.coalesce("source", F.lit(""))).withColumn("no_source", F.col("source").isNull()).drop("source", "bucket_size")
-    inside = Window.partitionBy("has_source", "no_source", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("has_source", "no_source", "bucket").orderBy("order_key", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return (
         keyed.withColumn("has_source", F.coalesce("source", F.lit("")))
         .withColumn("no_source", F.col("source").isNull())
         .withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(heads, ["has_source", "no_source", "bucket"])
         .withColumn("first", F.col("bucket_start") + F.col("within"))
-        .drop("has_source", "no_source", "bucket", "bucket_start", "within")
+        .drop("has_source", "no_source", "bucket", "bucket_start", "within", "digest")
     )
 
 
@@ -166,7 +167,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     Null sources are one source, last. Repeated rows are dealt each for itself. No rows give no rows.
     Other columns of docs are not read; write_mix joins them.
     """
-    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry)
+    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), *carry)
     slim = materialize(slim, "sizes")
     targets = materialize(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     # one row a source, as the mix's own statement: its number is checked before it is sent to all tasks
@@ -214,7 +215,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     plan = mix(held, carry=("row_id",), **how)
     placed = plan.select("row_id", "size", "source_size", "target", F.inline("placements"))
     rows = placed.join(held, "row_id").select("shard", "rank", "copy", "doc_id", "source", "text", "size", "source_size", "target", F.col("size").alias("taken"))
-    return rows.repartition("shard").sortWithinPartitions("shard", "rank", "copy", "doc_id")
+    return rows.repartition("shard").sortWithinPartitions("shard", "rank", "copy", "doc_id", "text")
 
 
 def write_mix(docs: DataFrame, path: str, **how) -> None:
@@ -226,7 +227,7 @@ def write_mix(docs: DataFrame, path: str, **how) -> None:
 ORACLE_SQL = """
 WITH sized AS (
   SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS bigint) AS size,
-    md5(concat('mix-1:', coalesce(cast(doc_id AS varchar), 'null'))) AS order_key
+    md5(coalesce(text, '')) AS digest, md5(concat('mix-1:', coalesce(cast(doc_id AS varchar), concat('null:', md5(coalesce(text, '')))))) AS order_key
   FROM {docs}),
 sources AS (
   SELECT source, cast(sum(size) AS bigint) AS source_size,
@@ -245,7 +246,7 @@ targets AS (
   FROM stops),
 placed AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
-    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.order_key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.order_key, s.digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, cast(source_size AS bigint) AS source_size, target,
   cast(size * ((CASE WHEN first + size / 2e0 < target THEN 1 ELSE 0 END) + (CASE WHEN source_size + first + size / 2e0 < target THEN 1 ELSE 0 END)) AS bigint) AS taken

@@ -105,3 +105,16 @@ def test_blocks_long_texts_and_clashing_columns(spark, monkeypatch):
         assert sorted((str(r.doc_id), r.item_id) for r in d.find_leaks(df, bench).collect()) == sorted(set(want))
         left = d.without_leaks(clash, bench)
         assert left.dtypes == clash.dtypes and sorted(str(r.doc_id) for r in left.collect()) == clean
+
+
+def test_items_without_an_id_take_documents_with_them(spark, tmp_path):
+    """Dropping needs no name: a null item id hides no leak; find_leaks, which reports names, leaves such items out."""
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    items = [text(40) for _ in range(3)]
+    bench = spark.createDataFrame([(None, items[0]), (None, items[1]), (5, items[2]), (None, None), (None, "")], "item_id long, text string")
+    rows = [(1, f"{text(10)} {items[0]} {text(5)}"), (2, items[1]), (None, items[2]), (3, text(60)), (4, None), (5, ""), (None, text(30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {tuple(r) for r in d.without_leaks(docs, bench).collect()}
+    assert kept == set(rows[3:])
+    assert {(r.doc_id, r.item_id) for r in d.find_leaks(docs, bench).collect()} == {(None, 5)}

@@ -85,3 +85,21 @@ def test_odd_rows(spark):
     assert len(got) == 6
     assert {r.doc_id: r.size for r in got}[2] == 3
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_rows_without_ids_and_with_one_id_are_taken_whatever_their_size(spark):
+    """A target of 1.05 of a source: the documents taken twice have about the mean size, without ids and with one id for half the rows; another partitioning changes nothing."""
+    rng = random.Random(9)
+    texts = [f"t{i} " + "w " * rng.randrange(5, 60) for i in range(4_000)]
+    mean = sum(len(t.split()) for t in texts) / len(texts)
+    how = {"share": 1.05, "block_words": 2_000, "shard_blocks": 32}
+    for ids in ([None] * 4_000, [7] * 2_000 + [8] * 2_000):
+        docs = spark.createDataFrame([(i, "a", t) for i, t in zip(ids, texts, strict=True)], "doc_id long, source string, text string")
+        out = [tuple(r) for r in mixing.mixed(docs, **how).select("shard", "rank", "copy", "doc_id", "text").collect()]
+        taken = Counter(r[4] for r in out)
+        twice = [len(t.split()) for t, n in taken.items() if n == 2]
+        assert len(taken) == 4_000 and 150 < len(twice) < 250
+        assert abs(sum(twice) / len(twice) / mean - 1) < 0.1
+        if ids[0] is None:
+            again = [tuple(r) for r in mixing.mixed(docs.repartition(7), **how).select("shard", "rank", "copy", "doc_id", "text").collect()]
+            assert sorted(out, key=str) == sorted(again, key=str)
