@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
@@ -145,11 +145,17 @@ def throughput(logs: DataFrame, as_of: str, component: str = "api") -> DataFrame
 
 
 # Milliseconds under which a component is healthy, and degraded.
-HEALTH_LIMITS = {"database": (1000.0, 3000.0), "vector_search": (2000.0, 5000.0), "embedding_api": (3000.0, 8000.0), "storage": (2000.0, 5000.0)}
+HEALTH_LIMITS = {"database": (1000.0, 3000.0), "vector_search": (2000.0, 5000.0), "embedding_api": (3000.0, 10000.0), "storage": (2000.0, 5000.0)}
 
 
-def health_rollup(checks: DataFrame, thresholds: DataFrame, components: int = 4) -> DataFrame:
-    """checks (component, response_time, ok) against thresholds (component, healthy, degraded): one row of states, means over a fixed number of components."""
+def health_limits(spark: SparkSession) -> DataFrame:
+    """HEALTH_LIMITS as a table (component, healthy, degraded)."""
+    return spark.createDataFrame([(name, *limits) for name, limits in HEALTH_LIMITS.items()], "component string, healthy double, degraded double")
+
+
+def health_rollup(checks: DataFrame, thresholds: DataFrame | None = None, components: int = 4) -> DataFrame:
+    """checks (component, response_time, ok) against thresholds (component, healthy, degraded; without them health_limits): one row of states, means over a fixed number of components."""
+    thresholds = health_limits(checks.sparkSession) if thresholds is None else thresholds
     state = F.when(~F.col("ok"), "unhealthy").when(F.col("response_time") < F.col("healthy"), "healthy").when(F.col("response_time") < F.col("degraded"), "degraded").otherwise("unhealthy")
     rated = checks.join(thresholds, "component").withColumn("state", state)
     overall = F.when(F.bool_and(F.col("state") == "healthy"), "healthy").when(F.bool_or(F.col("state") == "unhealthy"), "unhealthy").otherwise("degraded")

@@ -120,6 +120,7 @@ query("V11_similar_pairs_in_cells", f"SELECT a.vec_id AS a, b.vec_id AS b, round
 )
 
 
+query("V11_similar_pairs")(lambda t: shown(V.similar_pairs(t("embeddings").withColumnRenamed("vec_id", "id"), 0.4), "a", "b", "similarity"))
 #: Cells of the index and those that a query probes: what reaches a recall of 0.9 on vectors without clusters, measured by a test.
 ANN_CELLS, ANN_PROBES = 20, 14
 
