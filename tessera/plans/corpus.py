@@ -130,7 +130,7 @@ SEP = "\n\n--- Text in frames ---\n\n"
 query("T19_combine_media_text", f"SELECT d.id, sha256(concat_ws('{SEP}', nullif(transcription, ''), o.seen)) AS digest FROM kb_documents d LEFT JOIN (SELECT document_id, string_agg(ocr_text, chr(10) ORDER BY frame_timestamp, id) AS seen FROM kb_frames GROUP BY 1) o ON o.document_id = d.id WHERE transcription IS NOT NULL")(
     lambda t: X.combine_media_text(t("kb_documents").where("transcription IS NOT NULL"), t("kb_frames").withColumn("frame_id", F.col("id"))).select("id", F.sha2("combined_text", 256).alias("digest"))
 )
-query("T20_best_ocr", "SELECT DISTINCT ON (event_id % 700) event_id % 700 AS frame_id, event_id AS pos, props AS body FROM events ORDER BY event_id % 700, value DESC, event_id")(lambda t: X.best_ocr(t("events").select((F.col("event_id") % 700).alias("frame_id"), F.col("value").alias("confidence"), F.col("event_id").alias("pos"), F.col("props").alias("body"))).drop("confidence"))
+query("T20_best_ocr", "SELECT DISTINCT ON (event_id // 9) event_id // 9 AS frame_id, event_id AS pos, props AS body FROM events ORDER BY event_id // 9, value DESC, event_id")(lambda t: X.best_ocr(t("events").select(F.floor(F.col("event_id") / 9).alias("frame_id"), F.col("value").alias("confidence"), F.col("event_id").alias("pos"), F.col("props").alias("body"))).drop("confidence"))
 query("T22_token_estimates", "SELECT doc_id, cast(ceil(length(text) / 4e0) AS bigint) AS by_quarter, cast(ceil(length(text) / 3e0) AS bigint) AS by_third, cast(floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 1.3e0) AS bigint) AS by_words FROM documents")(lambda t: t("documents").select("doc_id", C.token_estimates("text").alias("e")).select("doc_id", "e.*"))
 
 query(

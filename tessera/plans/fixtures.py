@@ -20,13 +20,13 @@ VIEWS = {
   TIMESTAMP '2024-01-01 00:00:00' + (d.doc_id % 720) * INTERVAL '1' HOUR AS created_at
 FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
     "kb_chunks": """SELECT c.conv_id * 1000 + c.turn AS id, c.conv_id AS document_id, c.turn AS chunk_index, c.text AS chunk_text, e.embedding AS embedding
-FROM conversations c LEFT JOIN embeddings e ON e.vec_id = (c.conv_id * 7 + c.turn) % 500""",
+FROM conversations c CROSS JOIN (SELECT count(*) AS n FROM embeddings) m LEFT JOIN embeddings e ON e.vec_id = (c.conv_id * 7 + c.turn) % m.n""",
     "kb_frames": """SELECT v.event_id AS id, v.user_id AS document_id,
   cast(row_number() OVER (PARTITION BY v.user_id ORDER BY v.ts, v.event_id) - 1 AS bigint) AS frame_number,
   v.value AS frame_timestamp, v.props AS ocr_text,
   v.event_type = 'click' AS contains_code, v.event_type = 'view' AS contains_diagrams, v.event_type = 'signup' AS contains_text, v.event_type = 'purchase' AS contains_ui_elements,
   a.embedding AS visual_embedding, b.embedding AS text_embedding
-FROM events v LEFT JOIN embeddings a ON a.vec_id = v.event_id % 600 LEFT JOIN embeddings b ON b.vec_id = (v.event_id * 3 + 1) % 600""",
+FROM events v CROSS JOIN (SELECT cast(floor(count(*) * 1.2E0) AS bigint) AS n FROM embeddings) m LEFT JOIN embeddings a ON a.vec_id = v.event_id % m.n LEFT JOIN embeddings b ON b.vec_id = (v.event_id * 3 + 1) % m.n""",
     "kb_scenes": """SELECT u.user_id AS document_id, n.n_nationkey AS scene_number, cast(n.n_nationkey * 5 AS double) AS start_timestamp, cast(n.n_nationkey * 5 + 5 AS double) AS end_timestamp,
   CASE n.n_nationkey % 5 WHEN 0 THEN 'code' WHEN 1 THEN 'presentation' WHEN 2 THEN 'demonstration' WHEN 3 THEN 'discussion' ELSE 'diagram' END AS scene_type
 FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN nation n""",
@@ -42,7 +42,7 @@ FROM pages""",
   CASE WHEN event_id % 97 = 0 THEN 'running' WHEN event_id % 89 = 0 THEN 'pending' WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status,
   ts AS created_at, event_id % 40 AS pages_crawled
 FROM events""",
-    "kb_pages": """SELECT page_id AS id, page_id % 40 AS source_id, url, html AS content_text,
+    "kb_pages": """SELECT page_id AS id, cast(floor(page_id / 25.0E0) AS bigint) AS source_id, url, html AS content_text,
   CASE page_id % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'error' WHEN 2 THEN 'skipped' ELSE 'completed' END AS processing_status,
   TIMESTAMP '2024-01-01 00:00:00' + page_id * INTERVAL '1' MINUTE AS crawled_at
 FROM pages""",
@@ -71,7 +71,7 @@ FROM benchmark""",
   CASE d.doc_id % 4 WHEN 0 THEN 'knowledge' WHEN 1 THEN 'sop' WHEN 2 THEN 'strategy' ELSE 'email' END AS type,
   CASE WHEN d.doc_id % 3 = 0 THEN d.doc_id * 10 END AS chunk_id,
   TIMESTAMP '2024-01-01 00:00:00' - (d.doc_id % 60) * INTERVAL '1' DAY + INTERVAL '30' DAY AS created_at
-FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40""",
+FROM benchmark b CROSS JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 5) o CROSS JOIN (SELECT count(*) AS n FROM documents) m JOIN documents d ON d.doc_id = (b.item_id * 5 + o.k) % m.n""",
 }
 
 

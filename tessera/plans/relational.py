@@ -74,9 +74,9 @@ query("J10_page_source_filter", "SELECT p.id, s.domain FROM kb_pages p JOIN kb_w
 query("J11_query_cross_corpus", "SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q")(
     lambda t: J.query_cross_corpus(t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), t("embeddings")).select("query_id", F.col("vec_id").alias("id"), F.round(C.dot("q", "embedding"), 6).alias("score"))
 )
-META = "SELECT id, CASE WHEN id % 3 = 0 THEN concat('{\"page_id\":', cast(id % 200 AS varchar(20)), '}') END AS metadata FROM kb_documents"
-query("J12_existing_doc_lookup", "SELECT p.page_id AS id, m.d AS existing_id FROM pages p LEFT JOIN (SELECT id % 200 AS k, min(id) AS d FROM kb_documents WHERE id % 3 = 0 GROUP BY 1) m ON m.k = p.page_id")(
-    lambda t: J.existing_doc_lookup(t("kb_pages").select("id"), t("kb_documents").withColumn("metadata", F.when(F.col("id") % 3 == 0, F.to_json(F.struct((F.col("id") % 200).alias("page_id"))))))
+META = "SELECT id, CASE WHEN id % 3 = 0 THEN concat('{\"page_id\":', cast(cast(floor(id / 5.0E0) AS bigint) AS varchar(20)), '}') END AS metadata FROM kb_documents"
+query("J12_existing_doc_lookup", "SELECT p.page_id AS id, m.d AS existing_id FROM pages p LEFT JOIN (SELECT id // 5 AS k, min(id) AS d FROM kb_documents WHERE id % 3 = 0 GROUP BY 1) m ON m.k = p.page_id")(
+    lambda t: J.existing_doc_lookup(t("kb_pages").select("id"), t("kb_documents").withColumn("metadata", F.when(F.col("id") % 3 == 0, F.to_json(F.struct(F.floor(F.col("id") / 5).alias("page_id"))))))
 )
 
 GS = "SELECT 'status' AS dim, status AS key, count(*) AS n FROM kb_web_sources GROUP BY status UNION ALL SELECT 'domain', domain, count(*) FROM kb_web_sources GROUP BY domain UNION ALL SELECT 'total', NULL, count(*) FROM kb_web_sources"
@@ -137,9 +137,9 @@ query("A26_avg_page_time", "SELECT source_id AS job_id, count(*) AS pages, count
 )
 
 query("W1_first_per_bucket", "SELECT DISTINCT ON (document_id, floor(frame_timestamp / 30.0)) id, document_id FROM kb_frames ORDER BY document_id, floor(frame_timestamp / 30.0), frame_timestamp, id")(lambda t: W.first_per_bucket(t("kb_frames")).select("id", "document_id"))
-DEDUP = "SELECT query_id % 7 AS session_id, query_id AS query_no, id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS pos FROM kb_hits"
+DEDUP = "SELECT query_id // 8 AS session_id, query_id AS query_no, id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS pos FROM kb_hits"
 query("W2_dedup_keep_first", f"SELECT session_id, query_no, id FROM (SELECT *, row_number() OVER (PARTITION BY session_id, coalesce('c' || cast(chunk_id AS varchar), 'd' || cast(id AS varchar)) ORDER BY query_no, pos) AS nth FROM ({DEDUP})) WHERE nth = 1")(
-    lambda t: W.dedup_keep_first(W.topk_per_query(t("kb_hits").withColumnRenamed("rank", "r").withColumn("score", F.col("similarity")), 10**9).select((F.col("query_id") % 7).alias("session_id"), F.col("query_id").alias("query_no"), "id", "chunk_id", F.col("rank").alias("pos"))).select("session_id", "query_no", "id")
+    lambda t: W.dedup_keep_first(W.topk_per_query(t("kb_hits").withColumnRenamed("rank", "r").withColumn("score", F.col("similarity")), 10**9).select(F.floor(F.col("query_id") / 8).alias("session_id"), F.col("query_id").alias("query_no"), "id", "chunk_id", F.col("rank").alias("pos"))).select("session_id", "query_no", "id")
 )
 query("W3_latest_version", "SELECT page_id, max(version_number) AS version_number, arg_max(content_length, version_number) AS content_length FROM kb_versions GROUP BY 1")(lambda t: W.latest_version(t("kb_versions")).select("page_id", "version_number", "content_length"))
 query("W4_reindex_chunks", "SELECT id, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index % 3, chunk_index) - 1 AS chunk_index FROM kb_chunks")(lambda t: W.reindex_chunks(t("kb_chunks").withColumn("section", F.col("chunk_index") % 3).withColumn("place", F.col("chunk_index"))).select("id", "chunk_index"))

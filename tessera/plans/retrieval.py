@@ -261,17 +261,17 @@ query("R5_query_defaults", f"SELECT query_id, CASE WHEN regexp_matches(query, '[
 query("R6_normalize_query", "SELECT query_id, lower(trim(regexp_replace(query, '\\s+', ' ', 'g'))) AS processed FROM kb_asked")(lambda t: t("kb_asked").select("query_id", C.normalize_query("query").alias("processed")))
 RELEVANT = "len(list_filter(regexp_split_to_array(lower(q.query), '\\s+'), lambda w: length(w) > 2 AND contains(lower(concat(h.title, ' ', h.content)), w))) / len(regexp_split_to_array(lower(q.query), '\\s+'))::DOUBLE"
 query("R7_query_relevance", f"SELECT h.query_id, h.id, round({RELEVANT}, 6) AS relevance FROM kb_hits h JOIN kb_asked q ON q.query_id = h.query_id")(lambda t: R.query_relevance(t("kb_hits"), t("kb_asked")).select("query_id", "id", F.round("relevance", 6).alias("relevance")))
-SUB = "SELECT query_id % 7 AS session_id, query_id AS query_no, id, chunk_id, title, content, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS pos FROM kb_hits"
-MERGED = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, coalesce('c' || cast(chunk_id AS varchar), 'd' || cast(id AS varchar)) ORDER BY query_no, pos) AS nth FROM (SELECT s.*, n.n FROM ({SUB}) s JOIN (SELECT query_id % 7 AS session_id, count(DISTINCT query_id) AS n FROM kb_hits GROUP BY 1) n ON n.session_id = s.session_id WHERE s.pos <= ceil(10e0 / n.n))) WHERE nth = 1"
+SUB = "SELECT query_id // 8 AS session_id, query_id AS query_no, id, chunk_id, title, content, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS pos FROM kb_hits"
+MERGED = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, coalesce('c' || cast(chunk_id AS varchar), 'd' || cast(id AS varchar)) ORDER BY query_no, pos) AS nth FROM (SELECT s.*, n.n FROM ({SUB}) s JOIN (SELECT query_id // 8 AS session_id, count(DISTINCT query_id) AS n FROM kb_hits GROUP BY 1) n ON n.session_id = s.session_id WHERE s.pos <= ceil(10e0 / n.n))) WHERE nth = 1"
 
 
 def sub_hits(t: Tables) -> DataFrame:
     ranked = topk_per_query(t("kb_hits").drop("rank").withColumn("score", F.col("similarity")), 10**6)
-    return ranked.select((F.col("query_id") % 7).alias("session_id"), F.col("query_id").alias("query_no"), F.col("rank").alias("pos"), "id", "chunk_id", "title", "content", "similarity")
+    return ranked.select(F.floor(F.col("query_id") / 8).alias("session_id"), F.col("query_id").alias("query_no"), F.col("rank").alias("pos"), "id", "chunk_id", "title", "content", "similarity")
 
 
 query("R8_multi_query_merge", f"SELECT session_id, id, rank FROM (SELECT h.session_id, h.id, row_number() OVER (PARTITION BY h.session_id ORDER BY h.similarity * ({RELEVANT}) DESC, h.query_no, h.pos) AS rank FROM ({MERGED}) h JOIN kb_asked q ON q.query_id = h.session_id) WHERE rank <= 10")(
-    lambda t: R.multi_query_merge(sub_hits(t), t("kb_asked").where("query_id < 7").select(F.col("query_id").alias("session_id"), "query")).select("session_id", "id", F.col("rank").cast("long").alias("rank"))
+    lambda t: R.multi_query_merge(sub_hits(t), t("kb_asked").select(F.col("query_id").alias("session_id"), "query")).select("session_id", "id", F.col("rank").cast("long").alias("rank"))
 )
 query("R9_recommendations", f"SELECT q.query_id, concat(CASE WHEN c < 0.3 THEN 'Put the question in other words|Ask about the wider subject first|' ELSE '' END, CASE WHEN {INTENT} = 'chunk-based' AND n < 3 THEN 'Search by meaning in place of passages|' ELSE '' END, CASE WHEN {TECH} AND c < 0.5 THEN 'Name the technical terms or the code that is meant|' ELSE '' END) AS advice FROM kb_asked q JOIN (SELECT query_id, min(similarity) AS c, count(*) % 5 + 1 AS n FROM kb_hits GROUP BY 1) h ON h.query_id = q.query_id")(
     lambda t: R.recommendations(R.analyze_query(t("kb_asked")).drop("strategy").join(R.classify_intent(t("kb_asked")).select("query_id", "strategy"), "query_id").join(t("kb_hits").groupBy("query_id").agg(F.min("similarity").alias("confidence"), (F.count("*") % 5 + 1).alias("n")), "query_id")).select("query_id", F.array_join(F.transform("recommendations", lambda x: F.concat(x, F.lit("|"))), "").alias("advice"))

@@ -27,11 +27,11 @@ def links(t: Tables) -> DataFrame:
     """Made links: every page to the addresses of some later ones, with fragments and other schemes among them."""
     p = t("pages")
     url = F.concat("url", F.when(F.col("page_id") % 3 == 0, F.lit("#part")).otherwise(F.lit("")))
-    to = p.select((F.col("page_id") % 50).alias("k"), F.when(F.col("page_id") % 11 == 0, F.concat(F.lit("mailto:"), "url")).otherwise(url).alias("url"))
-    return p.select((F.col("page_id") % 50).alias("k"), F.col("url").alias("base_url")).join(to, "k").drop("k")
+    to = p.select(F.explode(F.sequence(F.col("page_id") - 4, F.col("page_id"))).alias("k"), F.when(F.col("page_id") % 11 == 0, F.concat(F.lit("mailto:"), "url")).otherwise(url).alias("url"))
+    return p.select(F.col("page_id").alias("k"), F.col("url").alias("base_url")).join(to, "k").drop("k")
 
 
-LINKS = "SELECT a.url AS base_url, CASE WHEN b.page_id % 11 = 0 THEN concat('mailto:', b.url) ELSE concat(b.url, CASE WHEN b.page_id % 3 = 0 THEN '#part' ELSE '' END) END AS url FROM pages a JOIN pages b ON a.page_id % 50 = b.page_id % 50"
+LINKS = "SELECT a.url AS base_url, CASE WHEN b.page_id % 11 = 0 THEN concat('mailto:', b.url) ELSE concat(b.url, CASE WHEN b.page_id % 3 = 0 THEN '#part' ELSE '' END) END AS url FROM pages a JOIN pages b ON b.page_id BETWEEN a.page_id AND a.page_id + 4"
 HOST = lambda c: f"lower(regexp_extract({c}, '^https?://([^/?#]+)', 1))"
 query("C3_filter_normalize_urls", f"SELECT DISTINCT base_url, regexp_replace(url, '#.*$', '') AS url FROM ({LINKS}) WHERE regexp_matches(url, '^https?://') AND {HOST('url')} = {HOST('base_url')} AND NOT regexp_matches(url, '7')")(lambda t: W.filter_normalize_urls(links(t), exclude=["7"]))
 query("C3_filter_external_urls", f"SELECT DISTINCT base_url, regexp_replace(url, '#.*$', '') AS url FROM ({LINKS}) WHERE regexp_matches(url, '^https?://') AND (regexp_matches(url, '1') OR regexp_matches(url, '2'))")(lambda t: W.filter_normalize_urls(links(t), include=["1", "2"], external=True))
@@ -79,10 +79,10 @@ query("C8_append_version", f"SELECT page_id, version_number, significant_change,
 
 @query(
     "C9_page_to_document",
-    "SELECT coalesce(k.d, -p.page_id - 1) AS document_id, k.d IS NOT NULL AS updates, concat('web-crawled,', 'k', cast(p.page_id % 4 AS varchar)) AS tags, length(p.html) > 50 AS to_embed FROM pages p LEFT JOIN (SELECT id % 200 AS k, min(id) AS d FROM kb_documents WHERE id % 3 = 0 GROUP BY 1) k ON k.k = p.page_id WHERE p.page_id % 2 = 0",
+    "SELECT coalesce(k.d, -p.page_id - 1) AS document_id, k.d IS NOT NULL AS updates, concat('web-crawled,', 'k', cast(p.page_id % 4 AS varchar)) AS tags, length(p.html) > 50 AS to_embed FROM pages p LEFT JOIN (SELECT id // 5 AS k, min(id) AS d FROM kb_documents WHERE id % 3 = 0 GROUP BY 1) k ON k.k = p.page_id WHERE p.page_id % 2 = 0",
 )
 def to_documents(t: Tables) -> DataFrame:
-    docs = t("kb_documents").withColumn("metadata", F.when(F.col("id") % 3 == 0, F.to_json(F.struct((F.col("id") % 200).alias("page_id")))))
+    docs = t("kb_documents").withColumn("metadata", F.when(F.col("id") % 3 == 0, F.to_json(F.struct(F.floor(F.col("id") / 5).alias("page_id")))))
     changes = t("pages").select(F.col("page_id").alias("id"), "url", F.lit("t").alias("title"), F.col("html").alias("content"), F.array(F.concat(F.lit("k"), (F.col("page_id") % 4).cast("string"))).alias("keywords"), (F.col("page_id") % 2 == 0).alias("significant_change"))
     return W.page_to_document(changes, docs).select("document_id", "updates", F.array_join("tags", ",").alias("tags"), "to_embed")
 
