@@ -13,8 +13,9 @@ from tessera.operators.vectors import hashed_embedder
 from tessera.plans.fixtures import Tables
 from tessera.plans.registry import query
 from tessera.session import AS_OF
-from tessera.sources import files
+from tessera.sources import files, partitioned
 from tessera.sources import tables as S
+from tessera.sources.scratch import folder
 from tessera.streaming import streams
 
 TS = f"TIMESTAMP '{AS_OF}'"
@@ -47,17 +48,36 @@ query("S3_file_manifest")(lambda t: files.manifest(files.read_files(t.spark, t.s
 query("S6_whitespace_clean", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS cleaned FROM documents")(lambda t: t("documents").select("doc_id", C.whitespace_clean("text").alias("cleaned")))
 query("S7_json_field", "SELECT event_id, json_extract_string(props, '$.k') AS field FROM events")(lambda t: t("events").select("event_id", C.json_field("props", "$.k").alias("field")))
 NEW = lambda t: t("kb_documents").where("id % 4 = 0").select("id", F.concat("title", F.lit(" v2")).alias("title"), "type").unionByName(t("kb_documents").where("id % 100 = 1").select((F.col("id") + 1_000_000).alias("id"), "title", "type"))
-query("S8_upsert_by_key", "SELECT id, CASE WHEN id % 4 = 0 THEN concat(title, ' v2') ELSE title END AS title, type FROM kb_documents UNION ALL SELECT id + 1000000, title, type FROM kb_documents WHERE id % 100 = 1")(lambda t: S.upsert_by_key(t("kb_documents").select("id", "title", "type"), NEW(t), ["id"]))
-query("S9_replace_children", "SELECT id, document_id, chunk_text FROM kb_chunks WHERE document_id % 3 <> 0 UNION ALL SELECT id + 7, document_id, 'new' FROM kb_chunks WHERE document_id % 3 = 0 AND chunk_index = 0")(
-    lambda t: S.replace_children(t("kb_chunks").select("id", "document_id", "chunk_text"), t("kb_chunks").where("document_id % 3 = 0 AND chunk_index = 0").select((F.col("id") + 7).alias("id"), "document_id", F.lit("new").alias("chunk_text")), "document_id")
-)
+UPSERTED = "SELECT id, CASE WHEN id % 4 = 0 THEN concat(title, ' v2') ELSE title END AS title, type FROM kb_documents UNION ALL SELECT id + 1000000, title, type FROM kb_documents WHERE id % 100 = 1"
+query("S8_upsert_by_key", UPSERTED)(lambda t: S.upsert_by_key(t("kb_documents").select("id", "title", "type"), NEW(t), ["id"]))
+REPLACED = "SELECT id, document_id, chunk_text FROM kb_chunks WHERE document_id % 3 <> 0 UNION ALL SELECT id + 7, document_id, 'new' FROM kb_chunks WHERE document_id % 3 = 0 AND chunk_index = 0"
+FIRST = lambda t: t("kb_chunks").where("document_id % 3 = 0 AND chunk_index = 0").select((F.col("id") + 7).alias("id"), "document_id", F.lit("new").alias("chunk_text"))
+query("S9_replace_children", REPLACED)(lambda t: S.replace_children(t("kb_chunks").select("id", "document_id", "chunk_text"), FIRST(t), "document_id"))
+
+
+@query("S8_upsert_keyed", UPSERTED)
+def upserted(t: Tables) -> DataFrame:
+    """The upsert into a stored table of which it rewrites the parts that it touches; a repeat finds nothing to do."""
+    path = folder(t.spark, "keyed")
+    partitioned.write_keyed(t("kb_documents").select("id", "title", "type"), path, ["id"], 16)
+    for _ in range(2):
+        partitioned.upsert_keyed(t.spark, path, NEW(t), ["id"], 16)
+    return partitioned.read_keyed(t.spark, path)
+
+
+@query("S9_replace_children_keyed", REPLACED)
+def replaced(t: Tables) -> DataFrame:
+    path = folder(t.spark, "children")
+    partitioned.write_keyed(t("kb_chunks").select("id", "document_id", "chunk_text"), path, ["document_id"], 16)
+    partitioned.replace_children_keyed(t.spark, path, FIRST(t), "document_id", 16)
+    return partitioned.read_keyed(t.spark, path).select("id", "document_id", "chunk_text")
+
+
 VALID = "coalesce(component, '') <> '' AND coalesce(action, '') <> '' AND coalesce(message, '') <> '' AND level IN ('debug', 'info', 'warn', 'error')"
 
 
 @query("S10_append_sink", f"SELECT count(*) * 2 AS n FROM kb_logs WHERE {VALID}")
 def appended(t: Tables) -> DataFrame:
-    from tessera.sources.scratch import folder
-
     path = folder(t.spark, "logs")
     ok, _, _ = S.validate_records(t("kb_logs"))
     for _ in range(2):
@@ -65,7 +85,17 @@ def appended(t: Tables) -> DataFrame:
     return S.count_exact(t.spark.read.parquet(path))
 
 
-query("S11_validate_records", f"SELECT count(*) FILTER (WHERE {VALID}) AS ok, count(*) FILTER (WHERE NOT ({VALID})) AS failed FROM kb_logs")(lambda t: S.validate_records(t("kb_logs"))[2])
+CHECKED = f"SELECT count(*) FILTER (WHERE {VALID}) AS ok, count(*) FILTER (WHERE NOT ({VALID})) AS failed FROM kb_logs"
+
+
+@query("S11_write_validated", CHECKED)
+def counted(t: Tables) -> DataFrame:
+    """The counts that come with writing the logs, in one scan of them."""
+    found = partitioned.write_validated(t("kb_logs"), folder(t.spark, "validated"))
+    return t.spark.createDataFrame([(found["ok"], found["failed"])], "ok long, failed long")
+
+
+query("S11_validate_records", CHECKED)(lambda t: S.validate_records(t("kb_logs"))[2])
 query("S12_patch_update", "SELECT id, CASE WHEN id % 6 = 0 THEN 'patched' ELSE title END AS title, CASE WHEN id % 6 = 0 AND id % 12 <> 0 THEN type WHEN id % 12 = 0 THEN NULL ELSE type END AS type FROM kb_documents")(
     lambda t: S.patch_update(t("kb_documents").select("id", "title", "type"), t("kb_documents").where("id % 6 = 0").select("id", F.lit("patched").alias("title"), F.lit(None).cast("string").alias("type"), (F.col("id") % 12 == 0).alias("has_type")), "id")
 )
@@ -84,6 +114,17 @@ def cascaded(t: Tables) -> DataFrame:
 
 query("S14_orphan_cleanup", "SELECT id FROM kb_chunks WHERE document_id IN (SELECT id FROM kb_documents WHERE id % 2 = 0)")(lambda t: S.orphan_cleanup(t("kb_chunks"), t("kb_documents").where("id % 2 = 0")).select("id"))
 query("S15_retention_logs", f"SELECT id, level FROM kb_logs WHERE CASE WHEN level = 'error' THEN ts >= {TS} - INTERVAL '17' DAY ELSE ts >= {TS} - INTERVAL '10' DAY END")(lambda t: S.retention(t("kb_logs"), "logs", AS_OF, 10).select("id", "level"))
+
+
+@query("S15_expire_by_day", f"SELECT id, level FROM kb_logs WHERE CASE WHEN level = 'error' THEN ts >= {TS} - INTERVAL '17' DAY ELSE ts >= {TS} - INTERVAL '10' DAY END")
+def expired(t: Tables) -> DataFrame:
+    """Logs stored by day after what is too old is gone: whole days by their folders, days at the edge written anew."""
+    path = folder(t.spark, "by-day")
+    partitioned.write_by_day(t("kb_logs").select("id", "level", "ts"), path)
+    partitioned.expire(t.spark, path, "logs", AS_OF, 10)
+    return partitioned.retained(t.spark, path, "logs", AS_OF, 10).select("id", "level")
+
+
 query("S15_retention_errors", f"SELECT id FROM kb_errors WHERE ts >= {TS} - INTERVAL '10' DAY OR NOT resolved")(lambda t: S.retention(t("kb_errors"), "errors", AS_OF, 10).select("id"))
 CACHE = lambda t: t("kb_queries").select("id", F.col("created_at").alias("last_accessed"), F.col("result_count").alias("usage_count"))
 query("S16_cache_evict", f"SELECT id FROM kb_queries WHERE NOT (created_at < {TS} - INTERVAL '10' DAY AND result_count < 4)")(lambda t: S.cache_evict(CACHE(t), AS_OF, 10, 4).select("id"))
@@ -182,8 +223,6 @@ query("X2_stream_error_summary", "SELECT as_of, component, error_type, count(*)
 
 @query("X3_stream_log_sink", f"SELECT count(*) AS n FROM kb_logs WHERE {VALID}")
 def log_sink(t: Tables) -> DataFrame:
-    from tessera.sources.scratch import folder
-
     logs = streamed(t).selectExpr("event_id AS id", "ts", "CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'info' WHEN 'click' THEN 'debug' ELSE 'warn' END AS level", "CASE WHEN event_id % 41 <> 0 THEN concat('component_', cast(user_id % 5 AS string)) END AS component", "event_type AS action", "CASE WHEN event_id % 43 = 0 THEN '' ELSE props END AS message")
     path = folder(t.spark, "log-sink")
     streams.stream_log_sink(logs, path, f"{path}-checkpoint", {"availableNow": True}).awaitTermination()
@@ -192,8 +231,6 @@ def log_sink(t: Tables) -> DataFrame:
 
 @query("X4_stream_change_detect", "SELECT page_id, seq, oh IS NULL OR oh <> h AS changed FROM (SELECT page_id, seq, h, lag(h) OVER (PARTITION BY page_id ORDER BY seq) AS oh FROM (SELECT doc_id // 5 AS page_id, doc_id AS seq, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM documents))")
 def change_stream(t: Tables) -> DataFrame:
-    from tessera.sources.scratch import folder
-
     path = folder(t.spark, "changes")
     pages = streamed(t, "documents").select(F.floor(F.col("doc_id") / 5).alias("page_id"), F.col("doc_id").alias("seq"), F.col("text").alias("content_text"))
     streams.stream_change_detect(pages, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
