@@ -66,6 +66,7 @@ def token_estimates(c) -> Column:
     return F.struct(F.ceil(F.length(text) / 4).cast("long").alias("by_quarter"), F.ceil(F.length(text) / 3).cast("long").alias("by_third"), F.floor(word_count(text) * 1.3).cast("long").alias("by_words"))
 
 
+# The model's tokens, the share of them that is used, characters a token, the longest text and what is cut from it.
 def truncate_for_model(c, mode: str = "chars", tokens: int = 8191, most: int = 18_000) -> Column:
     """'tokens': at most 0.9 of the model's tokens at four characters each; 'chars': 17,950 characters and a notice."""
     text = _c(c)

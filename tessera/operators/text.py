@@ -201,6 +201,7 @@ def parse_analysis_json(df: DataFrame, col: str) -> DataFrame:
         return F.when(ok, a).otherwise(b)
 
     nothing = F.lit(None).cast("string")
+    # fixed values: the key words of the fallback rules
     record = F.struct(
         pick(F.coalesce(read["description"], F.lit("")), F.substring(col, 1, 500)).alias("description"),
         pick(F.coalesce(tech["containsCode"], no), rule("function|class|def|SELECT|FROM|WHERE|import|const|let|var")).alias("contains_code"),

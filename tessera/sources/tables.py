@@ -83,6 +83,7 @@ def replace_children(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def append_sink(df: DataFrame, path: str) -> None:
+    """Adds the rows to a folder as one commit: a write that fails leaves none. streams.stream_log_sink is the form that flushes by time."""
     df.write.mode("append").parquet(path)
 
 
