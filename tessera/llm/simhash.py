@@ -71,18 +71,18 @@ def fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ())
     return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} string" for c in carry), "fp long"]))
 
 
-def trie_pairs(values: np.ndarray, roots: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], bits: int, budget: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of values within budget differing bits, by traversing pairs of binary trie nodes together.
+def trie_blocks(values: np.ndarray, roots: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], bits: int, budget: int, label: np.ndarray | None = None, forest: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of values within budget differing bits, block by block, by traversing pairs of binary trie nodes together.
 
     values: uint64, sorted within each root, so that a trie node is a range of them. roots: the ranges
     (a from, a to, b from, b to) of the node pairs to start from; equal ranges are a node paired with
     itself. Going down a bit, a pair becomes the pairs of its children; a 0 with a 1 costs one differing bit,
     and a pair over the budget is dropped with all below it. Two single leaves are compared at once.
-    label (values distinct within a root, equal labels: joined already): only pairs that join what was apart are returned, labels
-    become those of the joined, and node pairs that hold one label alone are dropped.
+    label (equal labels: joined already): node pairs that hold one label alone are dropped. With forest (values distinct within a
+    root) only pairs that join what was apart are returned and labels become those of the joined; else all pairs of two labels are.
     """
     zeros = [np.concatenate(([0], np.cumsum((values >> np.uint64(d)) & np.uint64(1) == 0))) for d in range(bits)]
-    out_a, out_b = [], []
+    apart = (lambda x, y: (x, y)) if label is None else (lambda x, y: joining(label, x, y)) if forest else (lambda x, y: (x[label[x] != label[y]], y[label[x] != label[y]]))
     waiting = [(bits - 1, *roots, np.zeros(len(roots[0]), np.int8))]
     while waiting:
         d, al, ah, bl, bh, cost = waiting.pop()
@@ -99,19 +99,18 @@ def trie_pairs(values: np.ndarray, roots: tuple[np.ndarray, np.ndarray, np.ndarr
             x, y = al[single], bl[single]
             low = np.uint64((1 << max(d + 1, 0)) - 1)
             near = np.bitwise_count((values[x] ^ values[y]) & low) + cost[single] <= budget
-            x, y = (x[near], y[near]) if label is None else joining(label, x[near], y[near])
-            out_a.append(x)
-            out_b.append(y)
+            yield apart(x[near], y[near])
         rest = kept & ~single
         if not rest.any():
             continue
         al, ah, bl, bh, cost, same = (v[rest] for v in (al, ah, bl, bh, cost, same))
         if d < 0:  # leaves of equal values
             for i in range(len(al)):
-                x, y = np.meshgrid(np.arange(al[i], ah[i]), np.arange(bl[i], bh[i]))
-                less = x < y if same[i] else np.ones_like(x, bool)
-                out_a.append(x[less])
-                out_b.append(y[less])
+                rows = max(1, FRONTIER // int(bh[i] - bl[i]))
+                for at in range(int(al[i]), int(ah[i]), rows):
+                    x, y = (v.ravel() for v in np.meshgrid(np.arange(at, min(at + rows, ah[i])), np.arange(bl[i], bh[i])))
+                    less = x < y if same[i] else np.ones_like(x, bool)
+                    yield apart(x[less], y[less])
             continue
         z = zeros[d]
         am, bm = al + z[ah] - z[al], bl + z[bh] - z[bl]
@@ -121,10 +120,13 @@ def trie_pairs(values: np.ndarray, roots: tuple[np.ndarray, np.ndarray, np.ndarr
         grown = [np.concatenate(v) for v in zip(*parts, strict=True)]
         for at in range(0, len(grown[0]), FRONTIER):
             waiting.append((d - 1, *(v[at : at + FRONTIER] for v in grown)))
-    if not out_a:
-        none = np.zeros(0, np.int64)
-        return none, none
-    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def trie_pairs(values: np.ndarray, roots: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], bits: int, budget: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All blocks of trie_blocks at once; with label, those of its forest."""
+    none = np.zeros(0, np.int64)
+    found = [(none, none), *trie_blocks(values, roots, bits, budget, label)]
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
 def joining(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,23 +262,24 @@ def minima(values: np.ndarray) -> np.ndarray:
 
 
 def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each row: a digest of its words, the SimHash of its shingles and its band hashes."""
+    """Of each row: a digest of its words, the SimHash of its shingles, how many different ones it has, and its band hashes."""
     for batch in text_chunks(batches):
         raw, starts = text_buffers(batch.column("text"))
         whole, at = raw.tobytes(), starts.tolist()
-        digests, fps, bands = [], [], []
+        digests, fps, sizes, bands = [], [], [], []
         for a, b in zip(at[:-1], at[1:], strict=True):
             found = whole[a:b].lower().split()
             values = shingle_hashes(found, WORDS)
             digests.append(xxhash.xxh3_128_digest(b" ".join(found)))
             fps.append(majority(values))
+            sizes.append(len(np.unique(values)))
             bands.append(minima(values) if len(values) else np.zeros(BANDS, np.uint64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], ["doc_id", "row_key", "digest", "fp", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], ["doc_id", "row_key", "digest", "fp", "size", "bands"])
 
 
 def _band_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between the texts of a band that the trie join finds, closest first, as forests."""
+    """Edges between the texts of a band (key) that the trie join finds, closest first, as forests."""
     for part in whole_groups(batches, "key"):
         key, fp, c = part.column("key").to_numpy(), part.column("fp").to_numpy().view(np.uint64), part.column("c").to_numpy()
         order = np.lexsort((fp, key))
@@ -284,7 +287,7 @@ def _band_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
         head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
         again = np.flatnonzero(~fresh)
-        u, v = [c[again]], [c[head[again]]]  # equal fingerprints are one leaf
+        u, v, band = [c[again]], [c[head[again]]], [key[again]]  # equal fingerprints are one leaf
         key, fp, c = key[fresh], fp[fresh], c[fresh]
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         ends = np.append(cut[1:], len(key))
@@ -294,9 +297,32 @@ def _band_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = trie_pairs(fp, (cut[more], ends[more], cut[more], ends[more]), 64, budget, label)
             u.append(c[a])
             v.append(c[b])
-        u, v = np.concatenate(u), np.concatenate(v)
+            band.append(key[a])
+        u, v, band = np.concatenate(u), np.concatenate(v), np.concatenate(band)
         apart = u != v
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)[apart]), pa.array(np.minimum(u, v)[apart])], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)[apart]), pa.array(np.minimum(u, v)[apart]), pa.array(band[apart])], ["u", "v", "key"])
+
+
+def _rest_links(least: float):
+    """Pairs of a band within NEAR_BITS bits whose groups are still apart (root), and whose sizes allow a similarity of `least`: all of them, block by block."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, "key"):
+            key, fp = part.column("key").to_numpy(), part.column("fp").to_numpy().view(np.uint64)
+            order = np.lexsort((fp, key))
+            c, size = part.column("c").to_numpy()[order], part.column("size").to_numpy()[order]
+            label = np.unique(part.column("root").to_numpy()[order], return_inverse=True)[1]
+            key, fp = key[order], fp[order]
+            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            ends = np.append(cut[1:], len(key))
+            more = ends - cut > 1
+            for a, b in trie_blocks(fp, (cut[more], ends[more], cut[more], ends[more]), 64, NEAR_BITS, label, forest=False):
+                fits = (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])) & (c[a] != c[b])
+                u, v = c[a[fits]], c[b[fits]]
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+    return run
 
 
 def _dealt(rows: DataFrame, cap: int) -> DataFrame:
@@ -339,22 +365,37 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Rows with the same words (lower case) are one text. Texts whose WORDS-word shingle sets have a similarity of at least `similarity`
     are linked: texts that share a band of least shingle hashes enter the trie of their SimHash fingerprints together, its self-join
-    finds those within NEAR_BITS bits, closest first, and the shingles of a pair found are compared exactly. A group is what
-    links reach; of it the row with the least id stays, null last, then the least row_key. Rows without words are one text.
+    finds those within NEAR_BITS bits, and the shingles of a pair found are compared exactly. The first pass takes a forest of a band,
+    closest first. Where a pair of it turns out not to be similar, texts of the band may be apart that are similar themselves: a second
+    pass takes all pairs of such a band whose groups are still apart. So no pair of a band is missed through a third text. A group is
+    what links reach; of it the row with the least id stays, null last, then the least row_key. Rows without words are one text.
     """
-    sketch = docs.select("doc_id", "row_key", "text").mapInArrow(_sketched, "doc_id long, row_key string, digest binary, fp long, bands array<long>")
+    sketch = docs.select("doc_id", "row_key", "text").mapInArrow(_sketched, "doc_id long, row_key string, digest binary, fp long, size long, bands array<long>")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    texts = sketch.groupBy("digest").agg(F.min(first).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    texts = materialize(texts.select(F.monotonically_increasing_id().alias("c"), "first", "fp", "bands"), "near-texts")
-    bands = texts.select("c", "fp", F.explode("bands").alias("key"))
-    found = _dealt(bands, GROUP_CAP).repartition("key").sortWithinPartitions("key").mapInArrow(_band_links, "u long, v long")
-    edges = materialize(found.distinct(), "near-edges")
+    texts = sketch.groupBy("digest").agg(F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")])
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("c"), "first", "fp", "size", "bands"), "near-texts")
+    bands = _dealt(texts.select("c", "fp", F.explode("bands").alias("key")), GROUP_CAP)
+    edges = materialize(bands.repartition("key").sortWithinPartitions("key").mapInArrow(_band_links, "u long, v long, key long"), "near-edges")
     nodes = edges.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(texts, "c").select("c", "first.row_key")
     sets = materialize(docs.select("row_key", "text").join(nodes, "row_key").dropDuplicates(["c"]).select("c", "text").mapInArrow(_sets, "c long, shingles binary"), "near-shingles")
-    pairs = edges.join(sets.select(F.col("c").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("c").alias("v"), F.col("shingles").alias("b")), "v")
-    roots = components(pairs.select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u long, v long"))
-    discard(edges)
-    discard(sets)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        with_sets = pairs.join(sets.select(F.col("c").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("c").alias("v"), F.col("shingles").alias("b")), "v")
+        return with_sets.select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u long, v long")
+
+    joined = materialize(similar(edges.select("u", "v").distinct()), "near-joined")
+    roots = components(joined)
+    again = materialize(edges.join(joined, ["u", "v"], "left_anti").select("key").distinct(), "near-again")
+    if not again.isEmpty():
+        named = texts.select("c", "size").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        open_ = bands.join(again, "key", "left_semi").join(named, "c").select("key", "fp", "c", "size", "root")
+        rest = open_.repartition("key").sortWithinPartitions("key").mapInArrow(_rest_links(similarity), "u long, v long")
+        more = materialize(similar(rest.distinct()), "near-more")
+        if not more.isEmpty():
+            roots = components(joined.unionByName(more))
+        discard(more)
+    for done in (edges, sets, joined, again):
+        discard(done)
     grouped = texts.join(roots.withColumnRenamed("node", "c"), "c", "left").groupBy(F.coalesce("root", "c").alias("group")).agg(F.min("first").alias("first"))
     return grouped.select("first.row_key", "group")
 

@@ -153,3 +153,71 @@ def test_forest_joins_what_all_pairs_join():
         want = simhash.spanning(len(values), x, y)
         assert len(a) == len(values) - len(set(want.tolist()))
         assert np.array_equal(simhash.spanning(len(values), a, b), want)
+
+
+def family(rng, members):
+    """Texts of one base whose similarity to each other lies around 0.8 on both sides: many are candidates, some are links."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(120)]
+    out = []
+    for _ in range(members):
+        new = list(base)
+        for at in rng.sample(range(120), rng.randrange(0, 5)):
+            new[at] = word()
+        out.append(" ".join(new))
+    return out
+
+
+def candidates(rows):
+    """Pairs of rows that share a band within NEAR_BITS bits, and of them those similar by shingles."""
+    values = {i: simhash.shingle_hashes(t.encode().split(), 5) for i, t in rows}
+    bands, fps, sets = ({i: f(v) for i, v in values.items()} for f in (simhash.minima, simhash.majority, lambda v: set(v.tolist())))
+    pairs = [(a, b) for a, b in itertools.combinations(values, 2) if (bands[a] == bands[b]).any() and bin(fps[a] ^ fps[b]).count("1") <= simhash.NEAR_BITS]
+    return pairs, {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= simhash.SIMILARITY * len(sets[a] | sets[b])}, bands, fps
+
+
+def reached(ids, pairs):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_links_over_a_text_that_is_not_similar(spark):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = [(i, t) for i, t in enumerate(t for _ in range(12) for t in family(rng, 9))]
+    rows = list({t: (i, t) for i, t in reversed(rows)}.values())
+    _, similar, bands, fps = candidates(rows)
+    want = reached([i for i, _ in rows], sorted(similar))
+    band = sorted((int(v), i) for i, found in bands.items() for v in found.view(np.int64))
+    signed = {i: f - (1 << 64) if f >> 63 else f for i, f in fps.items()}
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in band]), pa.array([signed[i] for _, i in band]), pa.array([i for _, i in band])], ["key", "fp", "c"])
+    forest = {(v, u) for out in simhash._band_links([batch]) for u, v in zip(out.column("u").to_pylist(), out.column("v").to_pylist(), strict=True)}
+    once = reached(list(want), [p for p in similar if p in forest])
+    assert once != want  # the forest alone, checked afterwards, loses links
+    for cap in (simhash.GROUP_CAP, 4):
+        simhash.GROUP_CAP, before = cap, simhash.GROUP_CAP
+        try:
+            got = {r.doc_id for r in simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+        finally:
+            simhash.GROUP_CAP = before
+        assert got == set(want.values())
+
+
+def test_all_pairs_of_two_labels():
+    rng = np.random.default_rng(8)
+    values = np.sort(np.repeat(rng.integers(0, 1 << 63, 6, np.uint64), 5) ^ rng.integers(0, 4, 30).astype(np.uint64))
+    label = rng.integers(0, 4, 30)
+    whole = (np.array([0]), np.array([30])) * 2
+    got = [(int(x), int(y)) for a, b in simhash.trie_blocks(values, whole, 64, 1, label, forest=False) for x, y in zip(a, b, strict=True)]
+    want = {(x, y) for x, y in itertools.combinations(range(30), 2) if label[x] != label[y] and bin(int(values[x] ^ values[y])).count("1") <= 1}
+    assert len(got) == len(want) and {tuple(sorted(p)) for p in got} == want
