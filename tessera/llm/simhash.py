@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ STEP_BITS = 10
 FRONTIER = 200_000
 #: Near copies: words of a shingle, least similarity of their sets, differing bits that a candidate may have (a pair at the least similarity has 9.8 of 64 expected).
 WORDS, SIMILARITY, NEAR_BITS = 5, 0.8, 16
+#: Shingles that the texts of a group have together when their sets go to one task; a larger group is dealt to pairs of parts.
+SET_CAP = 4_000_000
 #: Bands that near copies enter the trie by, and minima in one: a pair at 0.8 shares none of 16 x 4 once in 4,600.
 BANDS, MINIMA = 16, 4
 
@@ -303,31 +306,57 @@ def _band_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)[apart]), pa.array(np.minimum(u, v)[apart]), pa.array(band[apart])], ["u", "v", "key"])
 
 
+def shared_counts(ids: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many elements the sets a[i] and b[i] have in common; ids: the elements of all sets (numbers from 0), end to end; starts: where each set begins, one more at the end."""
+    out = np.zeros(len(a), np.int64)
+    mark = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    order = np.argsort(a, kind="stable")
+    cut = np.append(np.flatnonzero(np.diff(a[order], prepend=-1)), len(a))
+    for lo, hi in itertools.pairwise(cut):
+        own = ids[starts[a[order[lo]]] : starts[a[order[lo]] + 1]]
+        mark[own] = True
+        while lo < hi:
+            length = np.cumsum(starts[b[order[lo:hi]] + 1] - starts[b[order[lo:hi]]])
+            rows = order[lo : lo + max(1, int(np.searchsorted(length, 10 * FRONTIER, "right")))]
+            length = np.append(0, length[: len(rows)])
+            at = np.repeat(starts[b[rows]] - length[:-1], np.diff(length)) + np.arange(length[-1])
+            out[rows] = np.add.reduceat(mark[ids[at]].astype(np.int64), length[:-1])
+            lo += len(rows)
+        mark[own] = False
+    return out
+
+
 def _rest_links(least: float):
-    """Pairs of a band within NEAR_BITS bits whose groups are still apart (root), and whose sizes allow a similarity of `least`: all of them, block by block."""
+    """Edges between similar texts of a band within NEAR_BITS bits whose groups (root) are still apart: all such pairs are compared, until they are joined."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_groups(batches, "key"):
+        for part in whole_groups(batches, "key", 2_000):
             key, fp = part.column("key").to_numpy(), part.column("fp").to_numpy().view(np.uint64)
             order = np.lexsort((fp, key))
-            c, size = part.column("c").to_numpy()[order], part.column("size").to_numpy()[order]
-            label = np.unique(part.column("root").to_numpy()[order], return_inverse=True)[1]
-            key, fp = key[order], fp[order]
+            part, key, fp = part.take(pa.array(order)), key[order], fp[order]
+            c, sets = part.column("c").to_numpy(), part.column("shingles").to_pylist()
+            size = np.array([len(v) // 8 for v in sets], np.int64)
+            ids = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)[1]
+            starts = np.append(0, np.cumsum(size))
             cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             ends = np.append(cut[1:], len(key))
+            label = np.unique(np.stack((np.repeat(cut, ends - cut), part.column("root").to_numpy())), axis=1, return_inverse=True)[1].ravel()
             more = ends - cut > 1
             for a, b in trie_blocks(fp, (cut[more], ends[more], cut[more], ends[more]), 64, NEAR_BITS, label, forest=False):
-                fits = (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])) & (c[a] != c[b])
-                u, v = c[a[fits]], c[b[fits]]
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+                fits = np.minimum(size[a], size[b]) >= np.maximum(least * np.maximum(size[a], size[b]), 1)
+                a, b = a[fits], b[fits]
+                both = shared_counts(ids, starts, a, b)
+                near = both >= least * (size[a] + size[b] - both)
+                a, b = joining(label, a[near], b[near])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(c[a], c[b])), pa.array(np.minimum(c[a], c[b]))], ["u", "v"])
 
     return run
 
 
-def _dealt(rows: DataFrame, cap: int) -> DataFrame:
-    """rows (key, ...) with the keys of more than cap rows replaced: their rows are dealt to parts, and each pair of parts is a group of its own, so no group is unbounded and no pair is lost."""
-    sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap).withColumn("parts", F.ceil(2 * F.col("n") / cap).cast("long")), "hot-bands")
+def _dealt(rows: DataFrame, cap: int, weight: str = "1") -> DataFrame:
+    """rows (key, ...) with the keys of more than cap rows (or sum of weight) replaced: their rows are dealt to parts, and each pair of parts is a group of its own, so no group is unbounded and no pair is lost."""
+    sizes = materialize(rows.groupBy("key").agg(F.sum(F.expr(weight)).alias("n")).where(F.col("n") > cap).withColumn("parts", F.ceil(2 * F.col("n") / cap).cast("long")), "hot-bands")
     if sizes.isEmpty():
         return rows
     own = F.pmod(F.xxhash64("c"), F.col("parts"))
@@ -367,7 +396,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     are linked: texts that share a band of least shingle hashes enter the trie of their SimHash fingerprints together, its self-join
     finds those within NEAR_BITS bits, and the shingles of a pair found are compared exactly. The first pass takes a forest of a band,
     closest first. Where a pair of it turns out not to be similar, texts of the band may be apart that are similar themselves: a second
-    pass takes all pairs of such a band whose groups are still apart. So no pair of a band is missed through a third text. A group is
+    pass brings the shingles of such a band together and compares all pairs whose groups are still apart. So no pair of a band is missed through a third text. A group is
     what links reach; of it the row with the least id stays, null last, then the least row_key. Rows without words are one text.
     """
     sketch = docs.select("doc_id", "row_key", "text").mapInArrow(_sketched, "doc_id long, row_key string, digest binary, fp long, size long, bands array<long>")
@@ -388,9 +417,11 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     again = materialize(edges.join(joined, ["u", "v"], "left_anti").select("key").distinct(), "near-again")
     if not again.isEmpty():
         named = texts.select("c", "size").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        open_ = bands.join(again, "key", "left_semi").join(named, "c").select("key", "fp", "c", "size", "root")
-        rest = open_.repartition("key").sortWithinPartitions("key").mapInArrow(_rest_links(similarity), "u long, v long")
-        more = materialize(similar(rest.distinct()), "near-more")
+        rows = bands.join(again, "key", "left_semi").join(named, "c").select("key", "fp", "c", "size", "root")
+        apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        rows = _dealt(rows.join(apart.select("key"), "key", "left_semi"), SET_CAP, "size")
+        rest = rows.join(sets, "c").select("key", "fp", "c", "root", "shingles").repartition("key").sortWithinPartitions("key")
+        more = materialize(rest.mapInArrow(_rest_links(similarity), "u long, v long"), "near-more")
         if not more.isEmpty():
             roots = components(joined.unionByName(more))
         discard(more)

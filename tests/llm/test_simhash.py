@@ -190,7 +190,7 @@ def reached(ids, pairs):
     return {i: find(i) for i in ids}
 
 
-def test_links_over_a_text_that_is_not_similar(spark):
+def test_links_over_a_text_that_is_not_similar(spark, monkeypatch):
     import pyarrow as pa
 
     rng = random.Random(5)
@@ -204,12 +204,10 @@ def test_links_over_a_text_that_is_not_similar(spark):
     forest = {(v, u) for out in simhash._band_links([batch]) for u, v in zip(out.column("u").to_pylist(), out.column("v").to_pylist(), strict=True)}
     once = reached(list(want), [p for p in similar if p in forest])
     assert once != want  # the forest alone, checked afterwards, loses links
-    for cap in (simhash.GROUP_CAP, 4):
-        simhash.GROUP_CAP, before = cap, simhash.GROUP_CAP
-        try:
-            got = {r.doc_id for r in simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
-        finally:
-            simhash.GROUP_CAP = before
+    for caps in ((simhash.GROUP_CAP, simhash.SET_CAP), (4, simhash.SET_CAP), (simhash.GROUP_CAP, 500)):
+        monkeypatch.setattr(simhash, "GROUP_CAP", caps[0])
+        monkeypatch.setattr(simhash, "SET_CAP", caps[1])
+        got = {r.doc_id for r in simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
         assert got == set(want.values())
 
 
@@ -221,3 +219,16 @@ def test_all_pairs_of_two_labels():
     got = [(int(x), int(y)) for a, b in simhash.trie_blocks(values, whole, 64, 1, label, forest=False) for x, y in zip(a, b, strict=True)]
     want = {(x, y) for x, y in itertools.combinations(range(30), 2) if label[x] != label[y] and bin(int(values[x] ^ values[y])).count("1") <= 1}
     assert len(got) == len(want) and {tuple(sorted(p)) for p in got} == want
+
+
+def test_shared_counts(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [rng.choice(50, rng.integers(1, 20), replace=False) for _ in range(12)]
+    starts = np.append(0, np.cumsum([len(s) for s in sets]))
+    a, b = rng.integers(0, 12, 200), rng.integers(0, 12, 200)
+    for frontier in (simhash.FRONTIER, 1):
+        monkeypatch.setattr(simhash, "FRONTIER", frontier)
+        got = simhash.shared_counts(np.concatenate(sets), starts, a, b)
+        assert got.tolist() == [len(set(sets[x]) & set(sets[y])) for x, y in zip(a, b, strict=True)]
+    none = np.zeros(0, np.int64)
+    assert simhash.shared_counts(none, np.zeros(1, np.int64), none, none).tolist() == []
