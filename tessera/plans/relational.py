@@ -10,6 +10,7 @@ from tessera.operators import aggregates as A
 from tessera.operators import joins as J
 from tessera.operators import predicates as P
 from tessera.operators import windows as W
+from tessera.operators.vectors import every_score
 from tessera.plans.registry import query
 from tessera.session import AS_OF
 
@@ -72,7 +73,7 @@ query("J10_page_source_filter", "SELECT p.id, s.domain FROM kb_pages p JOIN kb_w
     lambda t: J.page_source_filter(t("kb_pages"), t("kb_web_sources")).join(t("kb_web_sources").agg(F.min("domain").alias("domain")), "domain", "left_semi").select("id", "domain")
 )
 query("J11_query_cross_corpus", "SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q")(
-    lambda t: J.query_cross_corpus(t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), t("embeddings")).select("query_id", F.col("vec_id").alias("id"), F.round(C.dot("q", "embedding"), 6).alias("score"))
+    lambda t: every_score(t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), t("embeddings").withColumnRenamed("vec_id", "id"), cosine=False).select("query_id", "id", F.round("score", 6).alias("score"))
 )
 META = "SELECT id, CASE WHEN id % 3 = 0 THEN concat('{\"page_id\":', cast(cast(floor(id / 5.0E0) AS bigint) AS varchar(20)), '}') END AS metadata FROM kb_documents"
 query("J12_existing_doc_lookup", "SELECT p.page_id AS id, m.d AS existing_id FROM pages p LEFT JOIN (SELECT id // 5 AS k, min(id) AS d FROM kb_documents WHERE id % 3 = 0 GROUP BY 1) m ON m.k = p.page_id")(
