@@ -88,7 +88,7 @@ def _absolute(base: str, url: str) -> str | None:
         return None
 
 
-def read_page(url: str, html: str) -> dict:
+def read_page(url: str, html: str, whole: bool = False) -> dict:
     page = Page()
     page.feed(html or "")
     page.close()
@@ -97,14 +97,14 @@ def read_page(url: str, html: str) -> dict:
     links = [u for u in (_absolute(url, h) for h in page.links) if u]
     images = [{"src": u, "alt": alt} for src, alt in page.images if (u := _absolute(url, src))]
     return {
-        "title": (page.title.strip() or page.first_header or "Untitled")[:500],
+        "title": (page.title.strip() or page.first_header or "Untitled")[: None if whole else 500],
         "description": (m("description") or m("og:description") or "")[:1000],
         "author": m("author") or m("article:author"),
         "keywords": [k.strip() for k in m("keywords", "").split(",") if k.strip()][:20],
         "language": page.lang or m("content-language") or "en",
         "published": _date(m("article:published_time", ""), m("date", ""), *page.times),
         "content": text,
-        "html": (html or "")[:100_000],
+        "html": (html or "")[: None if whole else 100_000],
         "links": list(dict.fromkeys(links)),
         "images": images[:20],
     }
@@ -113,10 +113,10 @@ def read_page(url: str, html: str) -> dict:
 PAGE_SCHEMA = "page_id long, url string, title string, description string, author string, keywords array<string>, language string, published timestamp_ntz, content string, html string, links array<string>, images array<struct<src: string, alt: string>>"
 
 
-def html_extract(pages: DataFrame) -> DataFrame:
+def html_extract(pages: DataFrame, whole: bool = False) -> DataFrame:
     """Metadata, main text, links and images of every page (page_id, url, html), with hash, length and number of words of the text.
 
-    The main text is what article or main elements hold, else the body without scripts, styles and navigation.
+    The main text is what article or main elements hold, else the body without scripts, styles and navigation. Titles end at 500 characters and the stored HTML at 100,000, but not if whole.
     """
     kinds = [("page_id", pa.int64()), ("url", pa.string()), ("title", pa.string()), ("description", pa.string()), ("author", pa.string()), ("keywords", pa.list_(pa.string())), ("language", pa.string()), ("published", pa.timestamp("us")), ("content", pa.string()), ("html", pa.string()), ("links", pa.list_(pa.string())), ("images", pa.list_(pa.struct([("src", pa.string()), ("alt", pa.string())])))]
     schema = pa.schema(kinds)
@@ -125,7 +125,7 @@ def html_extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256).to_pylist()
-                yield pa.RecordBatch.from_pylist([{"page_id": r["page_id"], "url": r["url"]} | read_page(r["url"] or "", r["html"]) for r in part], schema=schema)
+                yield pa.RecordBatch.from_pylist([{"page_id": r["page_id"], "url": r["url"]} | read_page(r["url"] or "", r["html"], whole) for r in part], schema=schema)
 
     out = pages.select("page_id", "url", "html").mapInArrow(run, PAGE_SCHEMA)
     return out.withColumn("content_hash", F.sha2("content", 256)).withColumn("content_length", F.length("content")).withColumn("word_count", C.word_count("content"))

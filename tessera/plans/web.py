@@ -15,7 +15,7 @@ TS = f"TIMESTAMP '{AS_OF}'"
 TITLE = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
 
 query("C1_html_extract", f"SELECT page_id, {TITLE} AS title, regexp_extract(html, '<html[^>]* lang=\"([^\"]*)\"', 1) AS language, length(html) AS n_html FROM pages WHERE {TITLE} <> '' AND NOT contains({TITLE}, '&') AND regexp_matches(html, '<html[^>]* lang=\"[^\"]+\"')")(
-    lambda t: W.html_extract(t("pages")).join(t("pages").where("trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) <> '' AND regexp_extract(html, '<title>([^<]*)</title>', 1) NOT LIKE '%&%' AND html RLIKE '<html[^>]* lang=\"[^\"]+\"'").select("page_id"), "page_id", "left_semi").select("page_id", "title", "language", F.length("html").cast("long").alias("n_html"))
+    lambda t: W.html_extract(t("pages"), whole=True).join(t("pages").where("trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) <> '' AND regexp_extract(html, '<title>([^<]*)</title>', 1) NOT LIKE '%&%' AND html RLIKE '<html[^>]* lang=\"[^\"]+\"'").select("page_id"), "page_id", "left_semi").select("page_id", "title", "language", F.length("html").cast("long").alias("n_html"))
 )
 query("C1_html_text")(lambda t: W.html_extract(t("pages")).select("page_id", "content_hash", "content_length", "word_count", F.size("keywords").alias("n_keywords"), F.size("images").alias("n_images"), "published"))
 query("C2_extract_links", "SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]+)\"', 1))) AS n FROM pages")(
