@@ -133,9 +133,9 @@ def keyword_search(docs: DataFrame, index: DataFrame, query: str, type=None, tag
 
 
 def web_content_search(pages: DataFrame, sources: DataFrame, index: DataFrame, terms: DataFrame, domain: str | None = None, k: int = 20) -> DataFrame:
-    """Completed pages with text that have all terms, with a snippet of 300 characters, by rank."""
+    """Completed pages with text that have all terms, with a snippet of 300 characters, by rank, of equals the smaller ids. Ranks are equal to nine places: the last bits of a sum depend on its order."""
     ready = page_source_filter(pages.where((F.col("processing_status") == "completed") & (F.coalesce("content_text", F.lit("")) != "")), sources, domain)
     ranked = text_rank(index, terms).join(match_all_terms(index, terms), ["query_id", "id"], "left_semi")
     hits = ranked.join(ready.select("id", "url", "domain", F.substring("content_text", 1, 300).alias("snippet")), "id")
-    by = Window.partitionBy("query_id").orderBy(F.desc("text_rank"), "id")
+    by = Window.partitionBy("query_id").orderBy(F.desc(F.round("text_rank", 9)), "id")
     return hits.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= k)

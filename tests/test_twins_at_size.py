@@ -29,3 +29,13 @@ def test_long_pages_are_extracted_whole(spark, tmp_path):
     sf = changed(tmp_path, pages="SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN concat(replace(html, '<title>', concat('<title>', repeat('long ', 150))), repeat('<p>more</p>', 10000)) ELSE html END AS html FROM {t}")
     assert max(r.n_html for r in registry.queries()["C1_html_extract"](spark, sf).collect()) > 100_000
     twin(spark, sf, "C1_html_extract")
+
+
+def test_equal_ranks_go_by_id(spark, tmp_path):
+    """Two hundred pages of the same words rank equally, whatever the order in which these are added."""
+    words = [f"w{i} " * random.Random(i).randrange(1, 40) for i in range(40)]
+    rows = ", ".join(f"({i}, '{' '.join(random.Random(i).sample(words, 40))}')" for i in range(200))
+    title = " ".join(f"w{i}" for i in range(40))
+    sf = changed(tmp_path, pages=f"SELECT i AS page_id, concat('http://a.b/', i) AS url, concat('<title>', CASE WHEN i % 100 = 0 THEN '{title}' ELSE 'x' END, '</title>', t) AS html FROM (VALUES {rows}) v(i, t)")
+    assert registry.queries()["T7_web_content_search"](spark, sf).count() == 40
+    twin(spark, sf, "T7_web_content_search")
