@@ -49,7 +49,7 @@ def change_lag(versions: DataFrame) -> DataFrame:
 
 
 def current_job(jobs: DataFrame) -> DataFrame:
-    """Of each source its newest pending or running job, and its newest job."""
+    """Of each source its newest pending or running job, and its newest job; of jobs of one time the larger id."""
     at = F.struct("created_at", "id")
     return jobs.groupBy("source_id").agg(F.max_by("id", F.when(F.col("status").isin("pending", "running"), at)).alias("active_job"), F.max_by("id", at).alias("latest_job"))
 

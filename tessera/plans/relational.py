@@ -151,7 +151,7 @@ PCT = "CASE WHEN oh IS NULL THEN 100.0e0 WHEN oh = h THEN 0.0e0 ELSE abs(n - o)
 query("W6_change_lag", f"SELECT page_id, version_number, oh IS NULL OR oh <> h AS changed, round({PCT}, 6) AS change_percentage, CASE WHEN oh IS NULL THEN true WHEN oh = h THEN false ELSE {PCT} > 10 OR abs(n - o) > 1000 END AS significant_change FROM ({LAGGED})")(
     lambda t: W.change_lag(t("kb_versions").withColumn("content_hash", C.content_hash("content_text"))).withColumn("change_percentage", F.round("change_percentage", 6))
 )
-query("W7_current_job", "SELECT source_id, arg_max(id, created_at) FILTER (WHERE status IN ('pending', 'running')) AS active_job, arg_max(id, created_at) AS latest_job FROM kb_crawl_jobs GROUP BY 1")(lambda t: W.current_job(t("kb_crawl_jobs")))
+query("W7_current_job", "SELECT source_id, arg_max(id, (created_at, id)) FILTER (WHERE status IN ('pending', 'running')) AS active_job, arg_max(id, (created_at, id)) AS latest_job FROM kb_crawl_jobs GROUP BY 1")(lambda t: W.current_job(t("kb_crawl_jobs")))
 query("W8_recent_n", "SELECT id, type FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY created_at DESC, id DESC) AS nth FROM kb_documents) WHERE nth <= 5")(lambda t: W.recent_n(t("kb_documents"), "type", "created_at", 5).select("id", "type"))
 query("W9_ordered_dedup_limit", "SELECT doc_id, cast(least(len(list_distinct(regexp_extract_all(text, '[^ \\n]+'))), 100) AS bigint) AS n FROM documents")(lambda t: t("documents").select("doc_id", F.size(C.ordered_dedup_limit(F.regexp_extract_all("text", F.lit("[^ \\n]+"), F.lit(0)))).cast("long").alias("n")))
 

@@ -39,3 +39,8 @@ def test_equal_ranks_go_by_id(spark, tmp_path):
     sf = changed(tmp_path, pages=f"SELECT i AS page_id, concat('http://a.b/', i) AS url, concat('<title>', CASE WHEN i % 100 = 0 THEN '{title}' ELSE 'x' END, '</title>', t) AS html FROM (VALUES {rows}) v(i, t)")
     assert registry.queries()["T7_web_content_search"](spark, sf).count() == 40
     twin(spark, sf, "T7_web_content_search")
+
+
+def test_jobs_of_one_time_go_by_id(spark, tmp_path):
+    sf = changed(tmp_path, events="SELECT event_id, date_trunc('day', ts) AS ts, user_id, event_type, value, props FROM {t} ORDER BY hash(event_id)")
+    twin(spark, sf, "W7_current_job")
