@@ -44,3 +44,12 @@ def test_equal_ranks_go_by_id(spark, tmp_path):
 def test_jobs_of_one_time_go_by_id(spark, tmp_path):
     sf = changed(tmp_path, events="SELECT event_id, date_trunc('day', ts) AS ts, user_id, event_type, value, props FROM {t} ORDER BY hash(event_id)")
     twin(spark, sf, "W7_current_job")
+
+
+def test_streams_have_every_window(spark, sf_dir):
+    """The newest hours and the windows that reach beyond them, too."""
+    con = compare.connect(sf_dir)
+    newest = con.execute("SELECT date_trunc('hour', max(ts)), date_trunc('hour', max(ts) FILTER (WHERE event_type = 'error')) + INTERVAL '24' HOUR FROM events").fetchall()[0]
+    found = registry.queries()
+    assert max(r.time_bucket for r in found["X1_stream_health_trend"](spark, sf_dir).collect()) == newest[0]
+    assert max(r.as_of for r in found["X2_stream_error_summary"](spark, sf_dir).collect()) == newest[1]
