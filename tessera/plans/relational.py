@@ -107,8 +107,8 @@ query(
     "SELECT p.source_id, count(*) AS total_pages, " + ", ".join(f"count(*) FILTER (WHERE nth <= 3 AND processing_status = '{s}') AS {s}" for s in ("pending", "completed", "error", "skipped")) + ", max(j.last_job) AS last_job FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY crawled_at DESC, id DESC) AS nth FROM kb_pages) p LEFT JOIN (SELECT source_id, arg_max(id, created_at) AS last_job FROM kb_crawl_jobs GROUP BY 1) j ON j.source_id = p.source_id GROUP BY 1",
 )(lambda t: A.recent_page_status(t("kb_pages"), t("kb_crawl_jobs"), 3))
 query("A12_frame_summary", "SELECT f.document_id, count(*) AS frames, count(*) FILTER (WHERE contains_code) AS with_code, count(*) FILTER (WHERE contains_diagrams) AS with_diagrams, count(*) FILTER (WHERE contains_ui_elements) AS with_ui, (SELECT count(*) FROM kb_scenes s WHERE s.document_id = f.document_id) AS scenes FROM kb_frames f GROUP BY 1")(lambda t: A.frame_summary(t("kb_frames"), t("kb_scenes")))
-query("A13_search_summary", "SELECT count(*) AS total, count(*) FILTER (WHERE chunk_id IS NOT NULL) AS frames, count(*) FILTER (WHERE chunk_id IS NULL) AS documents, round(avg(similarity), 6) AS mean_similarity FROM kb_hits")(
-    lambda t: A.search_summary(t("kb_hits").withColumn("origin", F.when(F.col("chunk_id").isNotNull(), "frame").otherwise("document"))).withColumn("mean_similarity", F.round("mean_similarity", 6))
+query("A13_search_summary", "SELECT count(*) AS total, count(*) FILTER (WHERE chunk_id IS NOT NULL) AS frames, count(*) FILTER (WHERE chunk_id IS NULL) AS documents, round(avg(similarity), 6) AS mean_similarity FROM kb_all_hits")(
+    lambda t: A.search_summary(t("kb_all_hits").withColumn("origin", F.when(F.col("chunk_id").isNotNull(), "frame").otherwise("document"))).withColumn("mean_similarity", F.round("mean_similarity", 6))
 )
 query("A14_health_trend", f"SELECT date_trunc('hour', ts) AS time_bucket, round(avg(avg_response_time), 6) AS avg_response_time, round(avg(error_rate), 6) AS avg_error_rate, round(avg(throughput), 6) AS avg_throughput, round(count(*) FILTER (WHERE overall_status = 'healthy') * 100.0e0 / count(*), 6) AS healthy_percentage FROM kb_health WHERE ts >= {TS} - INTERVAL '240' HOUR GROUP BY 1")(
     lambda t: A.health_trend(t("kb_health"), AS_OF, 240).select("time_bucket", *[F.round(c, 6).alias(c) for c in ("avg_response_time", "avg_error_rate", "avg_throughput", "healthy_percentage")])
@@ -138,13 +138,13 @@ query("A26_avg_page_time", "SELECT source_id AS job_id, count(*) AS pages, count
 )
 
 query("W1_first_per_bucket", "SELECT DISTINCT ON (document_id, floor(frame_timestamp / 30.0)) id, document_id FROM kb_frames ORDER BY document_id, floor(frame_timestamp / 30.0), frame_timestamp, id")(lambda t: W.first_per_bucket(t("kb_frames")).select("id", "document_id"))
-DEDUP = "SELECT query_id // 8 AS session_id, query_id AS query_no, id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS pos FROM kb_hits"
+DEDUP = "SELECT query_id % 7 AS session_id, query_id AS query_no, id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS pos FROM kb_all_hits"
 query("W2_dedup_keep_first", f"SELECT session_id, query_no, id FROM (SELECT *, row_number() OVER (PARTITION BY session_id, coalesce('c' || cast(chunk_id AS varchar), 'd' || cast(id AS varchar)) ORDER BY query_no, pos) AS nth FROM ({DEDUP})) WHERE nth = 1")(
-    lambda t: W.dedup_keep_first(W.topk_per_query(t("kb_hits").withColumnRenamed("rank", "r").withColumn("score", F.col("similarity")), 10**9).select(F.floor(F.col("query_id") / 8).alias("session_id"), F.col("query_id").alias("query_no"), "id", "chunk_id", F.col("rank").alias("pos"))).select("session_id", "query_no", "id")
+    lambda t: W.dedup_keep_first(W.topk_per_query(t("kb_all_hits").withColumnRenamed("rank", "r").withColumn("score", F.col("similarity")), 10**9).select((F.col("query_id") % 7).alias("session_id"), F.col("query_id").alias("query_no"), "id", "chunk_id", F.col("rank").alias("pos"))).select("session_id", "query_no", "id")
 )
 query("W3_latest_version", "SELECT page_id, max(version_number) AS version_number, arg_max(content_length, version_number) AS content_length FROM kb_versions GROUP BY 1")(lambda t: W.latest_version(t("kb_versions")).select("page_id", "version_number", "content_length"))
 query("W4_reindex_chunks", "SELECT id, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index % 3, chunk_index) - 1 AS chunk_index FROM kb_chunks")(lambda t: W.reindex_chunks(t("kb_chunks").withColumn("section", F.col("chunk_index") % 3).withColumn("place", F.col("chunk_index"))).select("id", "chunk_index"))
-query("W5_topk_per_query", "SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM kb_hits) WHERE rank <= 5")(lambda t: W.topk_per_query(t("kb_hits").withColumn("score", F.col("similarity")), 5).select("query_id", "id", F.col("rank").cast("long").alias("rank")))
+query("W5_topk_per_query", "SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM kb_all_hits) WHERE rank <= 5")(lambda t: W.topk_per_query(t("kb_all_hits").withColumn("score", F.col("similarity")), 5).select("query_id", "id", F.col("rank").cast("long").alias("rank")))
 VER = "SELECT page_id, version_number, content_length, sha256(trim(regexp_replace(content_text, '\\s+', ' ', 'g'))) AS h FROM kb_versions"
 LAGGED = f"SELECT page_id, version_number, content_length AS n, h, lag(h) OVER w AS oh, lag(content_length) OVER w AS o FROM ({VER}) WINDOW w AS (PARTITION BY page_id ORDER BY version_number)"
 PCT = "CASE WHEN oh IS NULL THEN 100.0e0 WHEN oh = h THEN 0.0e0 ELSE abs(n - o) * 100.0e0 / greatest(o, 1) END"

@@ -53,3 +53,14 @@ def test_streams_have_every_window(spark, sf_dir):
     found = registry.queries()
     assert max(r.time_bucket for r in found["X1_stream_health_trend"](spark, sf_dir).collect()) == newest[0]
     assert max(r.as_of for r in found["X2_stream_error_summary"](spark, sf_dir).collect()) == newest[1]
+
+
+def test_hits_are_every_fortieth_document(spark, sf_dir):
+    """Searches' hits grow with the documents for each query."""
+    pairs = compare.connect(sf_dir).execute("SELECT count(*), count(DISTINCT b.item_id) FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40").fetchall()[0]
+    found = registry.queries()
+    for name in ("R1_rerank", "R7_query_relevance", "R13_normalize_hits"):
+        assert found[name](spark, sf_dir).count() == pairs[0], name
+    assert found["A13_search_summary"](spark, sf_dir).first().total == pairs[0]
+    assert sum(r.n for r in found["R2_confidence"](spark, sf_dir).collect()) == pairs[0]
+    assert pairs[0] >= 5 * pairs[1]
