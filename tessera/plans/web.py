@@ -24,14 +24,14 @@ query("C2_extract_links", "SELECT page_id, len(list_distinct(regexp_extract_all(
 
 
 def links(t: Tables) -> DataFrame:
-    """Made links: every page to the addresses of some later ones, with fragments and other schemes among them."""
+    """Made links: every page to the addresses of every fiftieth one, with fragments and other schemes among them."""
     p = t("pages")
     url = F.concat("url", F.when(F.col("page_id") % 3 == 0, F.lit("#part")).otherwise(F.lit("")))
-    to = p.select(F.explode(F.sequence(F.col("page_id") - 4, F.col("page_id"))).alias("k"), F.when(F.col("page_id") % 11 == 0, F.concat(F.lit("mailto:"), "url")).otherwise(url).alias("url"))
-    return p.select(F.col("page_id").alias("k"), F.col("url").alias("base_url")).join(to, "k").drop("k")
+    to = p.select((F.col("page_id") % 50).alias("k"), F.when(F.col("page_id") % 11 == 0, F.concat(F.lit("mailto:"), "url")).otherwise(url).alias("url"))
+    return p.select((F.col("page_id") % 50).alias("k"), F.col("url").alias("base_url")).join(to, "k").drop("k")
 
 
-LINKS = "SELECT a.url AS base_url, CASE WHEN b.page_id % 11 = 0 THEN concat('mailto:', b.url) ELSE concat(b.url, CASE WHEN b.page_id % 3 = 0 THEN '#part' ELSE '' END) END AS url FROM pages a JOIN pages b ON b.page_id BETWEEN a.page_id AND a.page_id + 4"
+LINKS = "SELECT a.url AS base_url, CASE WHEN b.page_id % 11 = 0 THEN concat('mailto:', b.url) ELSE concat(b.url, CASE WHEN b.page_id % 3 = 0 THEN '#part' ELSE '' END) END AS url FROM pages a JOIN pages b ON a.page_id % 50 = b.page_id % 50"
 HOST = lambda c: f"lower(regexp_extract({c}, '^https?://([^/?#]+)', 1))"
 query("C3_filter_normalize_urls", f"SELECT DISTINCT base_url, regexp_replace(url, '#.*$', '') AS url FROM ({LINKS}) WHERE regexp_matches(url, '^https?://') AND {HOST('url')} = {HOST('base_url')} AND NOT regexp_matches(url, '7')")(lambda t: W.filter_normalize_urls(links(t), exclude=["7"]))
 query("C3_filter_external_urls", f"SELECT DISTINCT base_url, regexp_replace(url, '#.*$', '') AS url FROM ({LINKS}) WHERE regexp_matches(url, '^https?://') AND (regexp_matches(url, '1') OR regexp_matches(url, '2'))")(lambda t: W.filter_normalize_urls(links(t), include=["1", "2"], external=True))

@@ -64,3 +64,12 @@ def test_hits_are_every_fortieth_document(spark, sf_dir):
     assert found["A13_search_summary"](spark, sf_dir).first().total == pairs[0]
     assert sum(r.n for r in found["R2_confidence"](spark, sf_dir).collect()) == pairs[0]
     assert pairs[0] >= 5 * pairs[1]
+
+
+def test_links_go_to_every_fiftieth_page(spark, tmp_path):
+    """A page's links grow with the pages."""
+    sf = changed(tmp_path, pages="SELECT page_id + 50 * r AS page_id, concat('http://h.example/', page_id + 50 * r) AS url, html FROM {t}, range(4) v(r)")
+    found = registry.queries()
+    assert found["C13_link_type"](spark, sf).count() == compare.connect(sf).execute("SELECT count(*) FROM pages a JOIN pages b ON a.page_id % 50 = b.page_id % 50").fetchall()[0][0] == 800
+    for name in ("C13_link_type", "C3_filter_normalize_urls", "C3_filter_external_urls"):
+        twin(spark, sf, name)
