@@ -136,11 +136,15 @@ def extract_links(pages: DataFrame, max_links: int = 100) -> DataFrame:
     return html_extract(pages).select("page_id", F.posexplode(F.slice("links", 1, max_links)).alias("pos", "url"))
 
 
+def _host(links: DataFrame, url: str, host: str) -> Column:
+    return F.col(host) if host in links.columns else C.url_host(url)
+
+
 def filter_normalize_urls(links: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, external: bool = False) -> DataFrame:
     """links (base_url, url): http(s) ones, of the base's host unless external, by patterns on the whole URL; without fragment, each once."""
     url = F.col("url")
     kept = links.where(url.rlike(r"^(?i)https?://[^/?#]+"))
-    kept = kept if external else kept.where(C.url_host("url") == C.url_host("base_url"))
+    kept = kept if external else kept.where(_host(kept, "url", "host") == _host(kept, "base_url", "base_host"))
     kept = kept.where(url.rlike("|".join(f"(?:{p})" for p in include))) if include else kept
     kept = kept.where(~url.rlike("|".join(f"(?:{p})" for p in exclude))) if exclude else kept
     return kept.select("base_url", F.regexp_replace("url", "#.*$", "").alias("url")).distinct()
@@ -263,8 +267,8 @@ def reschedule(sources: DataFrame, job_results: DataFrame, as_of: str, hours: in
 
 
 def link_type(edges: DataFrame) -> DataFrame:
-    """edges (base_url, url): internal, subdomain (of the base's host) or external."""
-    a, b = C.url_host("base_url"), C.url_host("url")
+    """edges (base_url, url): internal, subdomain (of the base's host) or external. Hosts that are columns already (base_host, host) are taken from there."""
+    a, b = _host(edges, "base_url", "base_host"), _host(edges, "url", "host")
     return edges.withColumn("link_type", F.when(a == b, "internal").when(b.endswith(F.concat(F.lit("."), a)), "subdomain").otherwise("external"))
 
 

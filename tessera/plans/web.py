@@ -24,11 +24,11 @@ query("C2_extract_links", "SELECT page_id, len(list_distinct(regexp_extract_all(
 
 
 def links(t: Tables) -> DataFrame:
-    """Made links: every page to the addresses of every fiftieth one, with fragments and other schemes among them."""
+    """Made links: every page to the addresses of every fiftieth one, with fragments and other schemes among them. Hosts are found once a page, not once a link."""
     p = t("pages")
     url = F.concat("url", F.when(F.col("page_id") % 3 == 0, F.lit("#part")).otherwise(F.lit("")))
-    to = p.select((F.col("page_id") % 50).alias("k"), F.when(F.col("page_id") % 11 == 0, F.concat(F.lit("mailto:"), "url")).otherwise(url).alias("url"))
-    return p.select((F.col("page_id") % 50).alias("k"), F.col("url").alias("base_url")).join(to, "k").drop("k")
+    to = p.select((F.col("page_id") % 50).alias("k"), F.when(F.col("page_id") % 11 == 0, F.concat(F.lit("mailto:"), "url")).otherwise(url).alias("url")).withColumn("host", C.url_host("url"))
+    return p.select((F.col("page_id") % 50).alias("k"), F.col("url").alias("base_url"), C.url_host("url").alias("base_host")).join(to, "k").drop("k")
 
 
 LINKS = "SELECT a.url AS base_url, CASE WHEN b.page_id % 11 = 0 THEN concat('mailto:', b.url) ELSE concat(b.url, CASE WHEN b.page_id % 3 = 0 THEN '#part' ELSE '' END) END AS url FROM pages a JOIN pages b ON a.page_id % 50 = b.page_id % 50"
@@ -93,7 +93,7 @@ query("C11_start_guard", "SELECT q.id, CASE WHEN s.status IS NULL THEN 'not_foun
 query("C12_reschedule", f"SELECT s.id, CASE WHEN r.ok IS NOT NULL THEN {TS} ELSE s.last_crawled END AS last_crawled, CASE WHEN r.ok THEN {TS} + INTERVAL '24' HOUR ELSE s.next_crawl END AS next_crawl, CASE WHEN r.ok THEN 0 WHEN r.ok IS NOT NULL THEN 1 END AS error_count FROM kb_web_sources s LEFT JOIN (SELECT source_id, bool_and(status <> 'failed') AS ok FROM kb_crawl_jobs WHERE source_id % 2 = 0 GROUP BY 1) r ON r.source_id = s.id")(
     lambda t: W.reschedule(t("kb_web_sources"), t("kb_crawl_jobs").where("source_id % 2 = 0").groupBy("source_id").agg(F.bool_and(F.col("status") != "failed").alias("ok"), F.sum("pages_crawled").alias("pages_crawled")), AS_OF).select("id", "last_crawled", "next_crawl", "error_count")
 )
-query("C13_link_type", f"SELECT base_url, url, CASE WHEN {HOST('url')} = {HOST('base_url')} THEN 'internal' WHEN ends_with({HOST('url')}, '.' || {HOST('base_url')}) THEN 'subdomain' ELSE 'external' END AS link_type FROM ({LINKS})")(lambda t: W.link_type(links(t)))
+query("C13_link_type", f"SELECT base_url, url, CASE WHEN {HOST('url')} = {HOST('base_url')} THEN 'internal' WHEN ends_with({HOST('url')}, '.' || {HOST('base_url')}) THEN 'subdomain' ELSE 'external' END AS link_type FROM ({LINKS})")(lambda t: W.link_type(links(t)).select("base_url", "url", "link_type"))
 query("C14_page_gate", "SELECT page_id FROM pages WHERE page_id % 3 <> 0 AND length(html) <= 1048576")(
     lambda t: W.page_gate(t("pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "application/pdf").otherwise("text/html; charset=utf-8").alias("content_type"), F.length("html").alias("size_bytes")), 1).select("page_id")
 )
