@@ -8,15 +8,20 @@ are aligned over terms so that a bound is a sum over one join.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import english
 from tessera.operators.fulltext import TERM
 from tessera.operators.windows import topk_per_query
-from tessera.sources.scratch import delete, folder
+from tessera.sources.scratch import delete, folder, stored
 
 #: Rows that a range holds on average.
 RANGE_ROWS = 256
@@ -25,15 +30,51 @@ RANGE_ROWS = 256
 def english_terms(df: DataFrame, id: str, col: str) -> DataFrame:
     """id, term, tf and places (positions from 0, in order) of the English terms of a text column.
 
-    Words are runs of letters and digits in lower case; stop words are left out but count as positions. Each
-    different word is stemmed once, however often it stands, and joined back by word. A null or empty text has no terms.
+    Words are runs of letters and digits in lower case; stop words are left out but count as positions. A task remembers
+    the stems of words it has met. Terms are put together in their row; only rows that share an id are shuffled. A null or empty text has no terms.
     """
+    rows = df.withColumnRenamed(id, "id")
+    once, again = apart(rows)
+    found = row_terms(again, col).groupBy("id", "term").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    return row_terms(once, col).unionByName(found).select("id", "term", F.size("places").alias("tf"), "places")
+
+
+def apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id no other row has, and all others: what is asked of an id needs a shuffle for the others only."""
+    shared = stored(rows.groupBy(F.col("id").alias("_shared")).agg(F.count("*").alias("_n")).where("_n > 1").select("_shared"), "shared-ids")
+    same = F.col("id").eqNullSafe(F.col("_shared"))
+    return rows.join(shared, same, "left_anti"), rows.join(shared, same, "left_semi")
+
+
+def row_terms(rows: DataFrame, col: str) -> DataFrame:
+    """id, term and places of each row's English terms, found where the row is read."""
     words = F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(TERM), F.lit(0))
-    rows = df.select(F.col(id).alias("id"), F.posexplode(words).alias("pos", "word")).where(~F.col("word").isin(*english.STOP))
-    held = rows.groupBy("id", "word").agg(F.collect_list("pos").alias("places"))
-    stems = held.select("word").distinct().withColumn("term", english.english_stem(F.col("word")))
-    merged = held.join(stems, "word").groupBy("id", "term").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
-    return merged.select("id", "term", F.size("places").alias("tf"), "places")
+    stop = frozenset(english.STOP)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stem = lru_cache(1 << 17)(lambda word: None if word in stop else english.stem(word))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                ids, held = part.column(0), part.column(1)
+                lengths = held.value_lengths().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(held)), lengths)
+                pos = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                coded = held.flatten().dictionary_encode()
+                terms = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+                term = terms.indices.take(coded.indices)
+                kept = np.flatnonzero(term.is_valid().to_numpy(zero_copy_only=False))
+                row, pos, term = row[kept], pos[kept], term.take(pa.array(kept)).to_numpy(zero_copy_only=False).astype(np.int64)
+                key = row * (len(terms.dictionary) + 1) + term
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                ends = np.append(first, len(order)).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(ends), pa.array(pos[order].astype(np.int32)))
+                at_first = order[first]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[at_first])), terms.dictionary.take(pa.array(term[at_first])), places], ["id", "term", "places"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", words.alias("words")).mapInArrow(run, f"id {kind}, term string, places array<int>")
 
 
 def english_query(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -62,18 +103,48 @@ class TextIndex:
 
 
 def build(df: DataFrame, id: str, col: str, path: str | None = None, rows: int = RANGE_ROWS) -> TextIndex:
-    """The index of a text column, written sorted by term, so that a term's blocks are read without the others'. The number of ranges follows the number of rows."""
+    """The index of a text column. A file holds ranges whole, sorted by term, so that a term's blocks are read without the others'. The number of ranges follows the number of rows."""
     spark = df.sparkSession
     path = path or folder(spark, "text-index")
     ranges = max(1, -(-df.count() // rows))
     terms = english_terms(df, id, col).withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int"))
-    listed = F.array_sort(F.collect_list(F.struct("id", "tf", "places")))
-    grouped = terms.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), listed.alias("p"))
-    blocks = grouped.select("term", "range", "n", "most_tf", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.places").alias("places"))
-    blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.mode("overwrite").parquet(path)
+    blocks = as_blocks(terms.repartition("range").sortWithinPartitions("term", "range", "id"))
+    blocks.write.mode("overwrite").parquet(path)
     return opened(spark, path, blocks)
 
 
+def as_blocks(postings: DataFrame) -> DataFrame:
+    """Blocks of postings whose partitions are sorted by term, range and id and hold a block whole: what is in order becomes a list by its ends."""
+
+    def block(rows: pa.Table) -> pa.RecordBatch:
+        term, range, tf = rows["term"].combine_chunks().dictionary_encode(), rows["range"].to_numpy(), rows["tf"].to_numpy()
+        first = np.flatnonzero((np.diff(term.indices.to_numpy(), prepend=-1) != 0) | (np.diff(range, prepend=-1) != 0))
+        ends = np.append(first, len(range))
+        listed = lambda c: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows[c].combine_chunks())
+        at, heads = pa.array(first), pa.array(np.diff(ends))
+        return pa.RecordBatch.from_arrays([term.dictionary.take(term.indices.take(at)), pa.array(range[first]), heads, pa.array(np.maximum.reduceat(tf, first)), listed("id"), listed("tf"), listed("places")], names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            if not rows.num_rows:
+                continue
+            last = rows.slice(rows.num_rows - 1).select(["term", "range"]).to_pylist()[0]
+            same = (pc.equal(rows["range"], last["range"]).to_numpy()) & (pc.equal(rows["term"], last["term"]).to_numpy())
+            open_ = rows.num_rows - int(same.sum())  # the last block goes on in the next batch
+            held = rows.slice(open_)
+            if open_:
+                yield block(rows.slice(0, open_))
+        if held is not None:
+            yield block(held)
+
+    kind = postings.schema["id"].dataType.simpleString()
+    names = ["term", "range", "n", "most_tf", "ids", "tfs", "places"]
+    return postings.select("term", "range", "id", "tf", "places").mapInArrow(run, f"term string, range int, n long, most_tf int, ids array<{kind}>, tfs array<int>, places array<array<int>>")
+
+
 def opened(spark: SparkSession, path: str, like: DataFrame | None = None) -> TextIndex:
     """An index that build() wrote."""
     reader = spark.read if like is None else spark.read.schema(like.schema)

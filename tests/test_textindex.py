@@ -46,6 +46,19 @@ def test_english_terms_of_a_whole_table(spark):
     assert {tuple(r) for r in registry.queries()["T1_english_terms"](spark, sf).collect()} == want
 
 
+def test_terms_are_shuffled_only_for_ids_that_rows_share(spark):
+    """Places of rows that share an id meet, those without an id too; all other rows are indexed where they are read."""
+    rows = [(1, "services run"), (2, "a service, services"), (1, "running"), (None, "x"), (None, "y x"), (3, None), (3, "the")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    found = textindex.english_terms(docs, "id", "text")
+    want = {(1, "servic", 1, (0,)), (1, "run", 2, (0, 1)), (2, "servic", 2, (1, 2)), (None, "x", 2, (0, 1)), (None, "y", 1, (0,))}
+    assert {(r.id, r.term, r.tf, tuple(r.places)) for r in found.collect()} == want
+    own = textindex.english_terms(docs.where("id = 2"), "id", "text")
+    own.collect()
+    plan = own._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "hashpartitioning(id" not in plan, plan
+
+
 def test_forms_of_a_word_meet(spark):
     docs = spark.createDataFrame([(1, "Deployments of the services; companies running"), (2, "deploying a service, a company runs"), (3, "the dear deer"), (4, None), (5, "")], "id long, text string")
     asked = spark.createDataFrame([(7, "services deployed"), (8, "run, company!"), (9, "the of"), (10, None)], "query_id long, query string")
