@@ -70,12 +70,23 @@ def chunks(body: str, target: int = 500, most: int = 1_000, overlap: int = 100,
         at = max(end - back, at + 1)
 
 
+#: Rows whose texts are Python strings at once.
+PIECE_ROWS = 64
+
+
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of a few rows, so that Python holds the texts and results of these only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(at, PIECE_ROWS)
+
+
 def split_sections(df: DataFrame, legacy_titles: bool = False) -> DataFrame:
     """id, section, title and body of every section of df (id, content_text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, n, t, b) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for n, (t, b) in enumerate(sections(text, legacy_titles))]
+        for part in pieces(batches):
+            rows = [(i, n, t, b) for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if text for n, (t, b) in enumerate(sections(text, legacy_titles))]
             yield pa.RecordBatch.from_pylist([dict(zip(("id", "section", "title", "body"), r, strict=True)) for r in rows], schema=pa.schema([("id", pa.int64()), ("section", pa.int64()), ("title", pa.string()), ("body", pa.string())]))
 
     return df.select(F.col("id").cast("long"), "content_text").mapInArrow(run, "id long, section long, title string, body string")
@@ -85,8 +96,8 @@ def pack_paragraphs(df: DataFrame, limit: int = SECTION_CHARS) -> DataFrame:
     """id, section and body of packed paragraphs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [{"id": i, "section": n, "body": b} for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for n, b in enumerate(packed(re.split(r"\n\n+", text), limit))]
+        for part in pieces(batches):
+            rows = [{"id": i, "section": n, "body": b} for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if text for n, b in enumerate(packed(re.split(r"\n\n+", text), limit))]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("id", pa.int64()), ("section", pa.int64()), ("body", pa.string())]))
 
     return df.select(F.col("id").cast("long"), "content_text").mapInArrow(run, "id long, section long, body string")

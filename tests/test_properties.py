@@ -44,6 +44,19 @@ def test_sections_titles():
     assert text.packed(["a" * 3000, "b" * 999, "c" * 10]) == ["a" * 3000 + "\n\n" + "b" * 999, "c" * 10]
 
 
+def test_texts_are_packed_and_split_in_pieces(spark):
+    """Python holds a few texts at once, not a whole batch; the rows are those of each text for itself."""
+    texts = [f"# t{i}\n" * (i % 3 == 0) + "\n\n".join("p" * (i * 37 % 3000) for _ in range(i % 7)) for i in range(300)]
+    batch = text.pa.RecordBatch.from_pydict({"id": list(range(300)), "content_text": texts})
+    parts = list(text.pieces([batch, batch.slice(0, 0)]))
+    assert max(p.num_rows for p in parts) <= 64 and [i for p in parts for i in p.column(0).to_pylist()] == list(range(300))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content_text string").coalesce(1)
+    want = {(i, n, b) for i, t in enumerate(texts) if t for n, b in enumerate(text.packed(re.split(r"\n\n+", t)))}
+    assert {tuple(r) for r in text.pack_paragraphs(df).collect()} == want
+    want = {(i, n, *s) for i, t in enumerate(texts) if t for n, s in enumerate(text.sections(t))}
+    assert {tuple(r) for r in text.split_sections(df).collect()} == want
+
+
 def test_cosine_rules(spark):
     rows = [(1, [1.0, 0.0], [1.0, 0.0]), (2, [1.0], [1.0, 2.0]), (3, [0.0, 0.0], [1.0, 2.0]), (4, None, [1.0]), (5, [3.0, 4.0], [4.0, 3.0])]
     df = spark.createDataFrame(rows, "id int, a array<double>, b array<double>")
