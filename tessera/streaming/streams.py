@@ -16,9 +16,9 @@ from tessera.sources.scratch import folder
 from tessera.sources.tables import validate_records
 
 
-def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A stream over the Parquet files of a path, a few at a time. The path may name one file; as a pattern it may be either."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
+def read_events(spark: SparkSession, path: str, size: int = 1 << 30) -> DataFrame:
+    """A stream over the Parquet files of a path, about so many bytes at a time: a batch has a cost of its own, so their number follows the data, not its files. The path may name one file; as a pattern it may be either."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", size).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def stream_health_trend(stream: DataFrame, late: str = "2 hours") -> DataFrame:

@@ -79,3 +79,17 @@ def test_hours_close_once_and_late_rows_are_counted(spark, tmp_path):
     again = streams.write_closed(trend, f"{tmp_path}/out", f"{tmp_path}/k")
     again.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(want)
+
+
+def test_batches_follow_the_bytes_not_the_files(spark, tmp_path):
+    """Twelve small files are one batch, and come in several where a batch is to be smaller."""
+    df, rows = versions(spark)
+    df.repartition(12).write.parquet(f"{tmp_path}/in")
+    batches = {}
+    for size in (1 << 30, 1):
+        query = streams.stream_change_detect(streams.read_events(spark, f"{tmp_path}/in", size), f"{tmp_path}/c{size}", f"{tmp_path}/k{size}")
+        query.awaitTermination()
+        batches[size] = sum(p.numInputRows > 0 for p in query.recentProgress)
+    assert batches == {1 << 30: 1, 1: 12}
+    one, many = ({tuple(r) for r in streams.current_changes(spark.read.parquet(f"{tmp_path}/c{size}")).collect()} for size in batches)
+    assert one == many and len(one) == len(set(rows))
