@@ -26,6 +26,23 @@ def tokenize_index(df: DataFrame, id: str, col: str) -> DataFrame:
     return df.select(F.col(id).alias("id"), F.posexplode(words).alias("pos", "term")).where(~F.col("term").isin(*STOP))
 
 
+def apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id no other row has, and all others: what is asked of an id needs a shuffle for the others only."""
+    shared = stored(rows.groupBy(F.col("id").alias("_shared")).agg(F.count("*").alias("_n")).where("_n > 1").select("_shared"), "shared-ids")
+    same = F.col("id").eqNullSafe(F.col("_shared"))
+    return rows.join(shared, same, "left_anti"), rows.join(shared, same, "left_semi")
+
+
+def index_sizes(df: DataFrame, id: str, col: str) -> DataFrame:
+    """id, n (postings), last_pos and terms (different ones) of what tokenize_index gives, counted where a row is read; postings are shuffled only for rows that share an id."""
+    once, again = apart(df.withColumnRenamed(id, "id"))
+    words = once.select("id", F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(TERM), F.lit(0)).alias("words"))
+    kept = words.select("id", F.filter("words", lambda w: ~w.isin(*STOP)).alias("kept"), F.array_max(F.transform("words", lambda w, i: F.when(~w.isin(*STOP), i))).cast("long").alias("last_pos"))
+    sizes = kept.where(F.size("kept") > 0).select("id", F.size("kept").cast("long").alias("n"), "last_pos", F.size(F.array_distinct("kept")).cast("long").alias("terms"))
+    found = tokenize_index(again, "id", col).groupBy("id").agg(F.count("*").alias("n"), F.max("pos").cast("long").alias("last_pos"), F.countDistinct("term").alias("terms"))
+    return sizes.unionByName(found)
+
+
 def _frequencies(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, term, tf) of the terms that any query has: each row's postings of a term become one before queries are joined."""
     return index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"))
