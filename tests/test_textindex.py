@@ -59,6 +59,17 @@ def test_terms_are_shuffled_only_for_ids_that_rows_share(spark):
     assert "hashpartitioning(id" not in plan, plan
 
 
+def test_postings_are_counted_in_their_row(spark):
+    """As over all postings, rows that share an id or have none included; of others no posting is shuffled."""
+    rows = [(1, "one two the"), (2, "Two two of"), (1, "two three"), (None, "x"), (None, "y x"), (3, None), (4, "the of"), (5, "")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    found = fulltext.index_sizes(docs, "id", "text")
+    assert {tuple(r) for r in found.collect()} == {(1, 4, 1, 3), (2, 2, 1, 1), (None, 3, 1, 2)}
+    own = fulltext.index_sizes(docs.where("id = 2"), "id", "text")
+    own.collect()
+    assert "hashpartitioning(id" not in own._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_forms_of_a_word_meet(spark):
     docs = spark.createDataFrame([(1, "Deployments of the services; companies running"), (2, "deploying a service, a company runs"), (3, "the dear deer"), (4, None), (5, "")], "id long, text string")
     asked = spark.createDataFrame([(7, "services deployed"), (8, "run, company!"), (9, "the of"), (10, None)], "query_id long, query string")
@@ -103,6 +114,27 @@ def test_best_rows_are_those_of_scoring_all(spark, every):
     index.drop()
 
 
+def test_blocks_of_a_range_are_in_one_file(spark):
+    """The bounds and scores of a range come from one task; rows that share an id are one row of their block."""
+    docs = spark.createDataFrame([(i % 90 if i < 95 else None, f"alpha w{i % 7} alpha the w{i % 3}") for i in range(97)], "id long, text string")
+    index = textindex.build(docs, "id", "text", rows=4)
+    assert index.blocks.select("range", F.input_file_name().alias("f")).distinct().groupBy("range").count().agg(F.max("count")).first()[0] == 1
+    blocks = index.blocks.collect()
+    found = {(r.term, i): (tf, p) for r in blocks for i, tf, p in zip(r.ids, r.tfs, r.places)}
+    want = {(r.term, r.id): (r.tf, r.places) for r in textindex.english_terms(docs, "id", "text").collect()}
+    assert found == want and all(r.n == len(r.ids) and r.most_tf == max(r.tfs) for r in blocks)
+    assert all(r.ids == sorted(r.ids, key=lambda i: -1 if i is None else i) for r in blocks)
+    asked = spark.createDataFrame([(1, "alpha"), (1, "w2"), (2, "w6"), (3, "none")], "query_id long, term string")
+    got = [tuple(r)[:2] for r in textindex.top_ranked(index, asked, 3).orderBy("query_id", F.desc(F.round("text_rank", 9)), "id").collect()]
+    ranks = defaultdict(lambda: defaultdict(float))
+    for (term, i), (tf, _) in want.items():
+        for q, t in ((1, "alpha"), (1, "w2"), (2, "w6")):
+            ranks[q][i] += 0.1 * (1 + math.log(tf)) * (t == term)
+    best = [(q, i) for q in (1, 2) for s, _, i in sorted((-round(s, 9), -1 if i is None else i, i) for i, s in ranks[q].items() if s)[:3]]
+    assert got == best
+    index.drop()
+
+
 def test_a_term_s_blocks_are_found_by_statistics_of_the_files(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     index = textindex.build(docs, "doc_id", "text")
