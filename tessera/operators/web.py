@@ -20,6 +20,8 @@ from tessera.sources.scratch import shared_root
 SKIPPED = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside"}
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Bases of a group that meet its addresses together; links that a task makes, where a session's partitions don't say more.
+GROUP_BLOCK, GROUP_LINKS = 1024, 2**22
 
 
 class Page(HTMLParser):
@@ -140,14 +142,43 @@ def _host(links: DataFrame, url: str, host: str) -> Column:
     return F.col(host) if host in links.columns else C.url_host(url)
 
 
-def filter_normalize_urls(links: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, external: bool = False) -> DataFrame:
-    """links (base_url, url): http(s) ones, of the base's host unless external, by patterns on the whole URL; without fragment, each once."""
+def _kept(links: DataFrame, include: list[str] | None, exclude: list[str] | None) -> DataFrame:
+    """Rows of http(s) addresses (url) that fit the patterns, without fragment."""
     url = F.col("url")
     kept = links.where(url.rlike(r"^(?i)https?://[^/?#]+"))
-    kept = kept if external else kept.where(_host(kept, "url", "host") == _host(kept, "base_url", "base_host"))
     kept = kept.where(url.rlike("|".join(f"(?:{p})" for p in include))) if include else kept
     kept = kept.where(~url.rlike("|".join(f"(?:{p})" for p in exclude))) if exclude else kept
-    return kept.select("base_url", F.regexp_replace("url", "#.*$", "").alias("url")).distinct()
+    return kept.withColumn("url", F.regexp_replace("url", "#.*$", ""))
+
+
+def filter_normalize_urls(links: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, external: bool = False) -> DataFrame:
+    """links (base_url, url): http(s) ones, of the base's host unless external, by patterns on the whole URL; without fragment, each once."""
+    kept = links if external else links.where(_host(links, "url", "host") == _host(links, "base_url", "base_host"))
+    return _kept(kept, include, exclude).select("base_url", "url").distinct()
+
+
+def _once(rows: DataFrame, on: str, value: str, before: str) -> DataFrame:
+    """Each value once for each of its groups, with its smaller groups, null for none."""
+    sets = rows.where(F.col(on).isNotNull()).groupBy(value).agg(F.array_sort(F.collect_set(on)).alias("groups"))
+    each = sets.select(value, "groups", F.posexplode("groups").alias("i", on))
+    return each.select(on, value, F.when(F.col("i") > 0, F.slice("groups", 1, F.col("i"))).alias(before))
+
+
+def filter_normalize_groups(bases: DataFrame, urls: DataFrame, on: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """filter_normalize_urls, external, of the links from every base of a group (on, base_url) to every address of that group (on, url). Values have few groups.
+
+    Addresses are filtered and cut before they meet bases. A link that several groups hold comes from the first of them, so no link is shuffled.
+    A group's bases are dealt to blocks of about GROUP_BLOCK, each of which meets all addresses of the group.
+    """
+    a, b = _once(bases, on, "base_url", "base_before"), _once(_kept(urls, include, exclude), on, "url", "before")
+    sizes = a.groupBy(on).agg(F.count("*").alias("n")).join(b.groupBy(on).agg(F.count("*").alias("m")), on)
+    groups, most, pairs = sizes.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(1)), F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()
+    blocks = -(-most // GROUP_BLOCK)
+    tasks = max(1, min(groups * blocks, max(pairs // GROUP_LINKS, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    a = a.withColumn("block", F.pmod(F.xxhash64("base_url"), F.lit(blocks)).cast("int")).repartition(tasks, on, "block")
+    b = b.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(tasks, on, "block")
+    first = F.col("base_before").isNull() | F.col("before").isNull() | ~F.arrays_overlap("base_before", "before")
+    return a.join(b.hint("merge"), [on, "block"]).where(first).select("base_url", "url")
 
 
 def robots_rules(robots: DataFrame, agent: str = "corpus-crawler", legacy: bool = False) -> DataFrame:

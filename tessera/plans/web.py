@@ -23,18 +23,23 @@ query("C2_extract_links", "SELECT page_id, len(list_distinct(regexp_extract_all(
 )
 
 
-def links(t: Tables) -> DataFrame:
-    """Made links: every page to the addresses of every fiftieth one, with fragments and other schemes among them. Hosts are found once a page, not once a link."""
-    p = t("pages")
+def link_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The pages that made links come from (k, base_url) and the addresses that they go to (k, url), with fragments and other schemes among them."""
+    p, k = t("pages"), F.col("page_id") % 50
     url = F.concat("url", F.when(F.col("page_id") % 3 == 0, F.lit("#part")).otherwise(F.lit("")))
-    to = p.select((F.col("page_id") % 50).alias("k"), F.when(F.col("page_id") % 11 == 0, F.concat(F.lit("mailto:"), "url")).otherwise(url).alias("url")).withColumn("host", C.url_host("url"))
-    return p.select((F.col("page_id") % 50).alias("k"), F.col("url").alias("base_url"), C.url_host("url").alias("base_host")).join(to, "k").drop("k")
+    return p.select(k.alias("k"), F.col("url").alias("base_url")), p.select(k.alias("k"), F.when(F.col("page_id") % 11 == 0, F.concat(F.lit("mailto:"), "url")).otherwise(url).alias("url"))
+
+
+def links(t: Tables) -> DataFrame:
+    """Made links: every page to the addresses of every fiftieth one. Hosts are found once a page, not once a link."""
+    bases, to = link_sides(t)
+    return bases.withColumn("base_host", C.url_host("base_url")).join(to.withColumn("host", C.url_host("url")), "k").drop("k")
 
 
 LINKS = "SELECT a.url AS base_url, CASE WHEN b.page_id % 11 = 0 THEN concat('mailto:', b.url) ELSE concat(b.url, CASE WHEN b.page_id % 3 = 0 THEN '#part' ELSE '' END) END AS url FROM pages a JOIN pages b ON a.page_id % 50 = b.page_id % 50"
 HOST = lambda c: f"lower(regexp_extract({c}, '^https?://([^/?#]+)', 1))"
 query("C3_filter_normalize_urls", f"SELECT DISTINCT base_url, regexp_replace(url, '#.*$', '') AS url FROM ({LINKS}) WHERE regexp_matches(url, '^https?://') AND {HOST('url')} = {HOST('base_url')} AND NOT regexp_matches(url, '7')")(lambda t: W.filter_normalize_urls(links(t), exclude=["7"]))
-query("C3_filter_external_urls", f"SELECT DISTINCT base_url, regexp_replace(url, '#.*$', '') AS url FROM ({LINKS}) WHERE regexp_matches(url, '^https?://') AND (regexp_matches(url, '1') OR regexp_matches(url, '2'))")(lambda t: W.filter_normalize_urls(links(t), include=["1", "2"], external=True))
+query("C3_filter_external_urls", f"SELECT DISTINCT base_url, regexp_replace(url, '#.*$', '') AS url FROM ({LINKS}) WHERE regexp_matches(url, '^https?://') AND (regexp_matches(url, '1') OR regexp_matches(url, '2'))")(lambda t: W.filter_normalize_groups(*link_sides(t), "k", include=["1", "2"]))
 
 
 def robots(t: Tables) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import duckdb
 
 import compare
+from tessera.operators import web as W
 from tessera.plans import registry
 
 
@@ -73,3 +74,28 @@ def test_links_go_to_every_fiftieth_page(spark, tmp_path):
     assert found["C13_link_type"](spark, sf).count() == compare.connect(sf).execute("SELECT count(*) FROM pages a JOIN pages b ON a.page_id % 50 = b.page_id % 50").fetchall()[0][0] == 800
     for name in ("C13_link_type", "C3_filter_normalize_urls", "C3_filter_external_urls"):
         twin(spark, sf, name)
+
+
+def test_external_links_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Pages that repeat, in one group and in others, before and after zero, and pages without an address: each link comes once, without an exchange after bases meet addresses."""
+    sf = changed(tmp_path, pages="SELECT page_id - 40 + 51 * r AS page_id, CASE WHEN page_id % 9 < 8 THEN concat('http://h.example/', page_id % 21, CASE WHEN r = 1 THEN '#x' ELSE '' END) END AS url, html FROM {t}, range(4) v(r) UNION ALL SELECT NULL, 'http://h.example/1', 'x'")
+    name = "C3_filter_external_urls"
+    for block in (W.GROUP_BLOCK, 2):
+        monkeypatch.setattr(W, "GROUP_BLOCK", block)
+        twin(spark, sf, name)
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Join")]
+
+
+def test_grouped_links_are_those_of_all_links(spark):
+    """Bases and addresses in some of a few groups each, against the operator on all links."""
+    draw = random.Random(3)
+    some = lambda n, value: [(draw.choice([None, -2, *range(6)]), value(draw.randrange(n))) for _ in range(150)]
+    bases = spark.createDataFrame(some(20, lambda i: f"http://b{i}.example/" if i else None), "k long, base_url string")
+    urls = spark.createDataFrame(some(60, lambda i: [None, "mailto:a@b", "HTTP://U.example/7#x", "ftp://u.example/"][i] if i < 4 else f"http://u.example/{i // 2}{'#y' * (i % 2)}"), "k long, url string")
+    for include, exclude in ((None, None), (["1", "2"], None), (["1", "2"], ["#y", "4$"])):
+        got = W.filter_normalize_groups(bases, urls, "k", include, exclude).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, W.filter_normalize_urls(bases.join(urls, "k").drop("k"), include, exclude, external=True).collect()))
+        assert len(got) > 100
+    none = W.filter_normalize_groups(bases.limit(0), urls, "k")
+    assert none.columns == ["base_url", "url"] and not none.collect()
